@@ -126,14 +126,23 @@ def with_split(facts: DataFrame, splits: dict[str, Sequence], key: str, out: str
     return facts.withColumn(out, label).where(F.col(out).isNotNull())
 
 
-def epoch_order(samples: DataFrame, row_id: str, seed: int, epoch: int) -> DataFrame:
-    """A repeatable shuffle that differs from epoch to epoch."""
-    return samples.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(row_id)), row_id)
+def hash_order(row_id: str, *salt) -> Column:
+    """A repeatable pseudo-random sort key."""
+    return F.md5(F.concat_ws(":", *[F.lit(str(x)) for x in salt], F.col(row_id).cast("string")))
+
+
+def epoch_order(samples: DataFrame, row_id: str, seed: int, epoch: int, out: str = "position") -> DataFrame:
+    """Positions of a repeatable shuffle that differs from epoch to epoch.
+
+    Rank r of n workers takes the positions with remainder r.
+    """
+    shuffled = samples.withColumn("__hash", hash_order(row_id, seed, epoch))
+    return dense_order(shuffled, ["__hash", row_id], out).drop("__hash")
 
 
 def reservoir(rows: DataFrame, row_id: str, k: int, seed: int = 0) -> DataFrame:
     """A uniform sample of k rows: those with the smallest hashes."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(row_id)), row_id).limit(k)
+    return rows.orderBy(hash_order(row_id, seed), row_id).limit(k)
 
 
 def ordered_samples(index: DataFrame, key: str = "coord_id", time: str = "timestamp",
