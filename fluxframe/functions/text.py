@@ -10,9 +10,14 @@ from fluxframe import vocab
 
 
 def fixed(col: Column, decimals: int, missing: str = "") -> Column:
-    """Fixed-point text; missing numbers give the token."""
-    return F.when(col.isNotNull() & ~F.isnan(col.cast("double")),
-                  F.format_string(f"%.{decimals}f", col.cast("double"))).otherwise(F.lit(missing))
+    """Fixed-point text, ties to even; missing numbers give the token."""
+    number = col.cast("double")
+    return F.when(number.isNotNull() & ~F.isnan(number), _printed(number, decimals)).otherwise(F.lit(missing))
+
+
+def _printed(number: Column, decimals: int, unit: str = "") -> Column:
+    # the formatter alone would round ties up
+    return F.format_string(f"%.{decimals}f{unit}", F.bround(number, decimals))
 
 
 def thousands(col: Column) -> Column:
@@ -85,11 +90,11 @@ def compact(text: Column, width: int) -> Column:
 def human_bytes(size: Column) -> Column:
     """1536 -> 1.5 KiB, up to TiB."""
     size = size.cast("double")
-    result = F.format_string("%.1f TiB", size / 1024.0 ** 4)
+    result = _printed(size / 1024.0 ** 4, 1, " TiB")
     for power, unit in ((3, "GiB"), (2, "MiB"), (1, "KiB")):
         result = F.when(F.abs(size) < 1024.0 ** (power + 1),
-                        F.format_string(f"%.1f {unit}", size / 1024.0 ** power)).otherwise(result)
-    return F.when(F.abs(size) < 1024.0, F.format_string("%.0f B", size)).otherwise(result)
+                        _printed(size / 1024.0 ** power, 1, " " + unit)).otherwise(result)
+    return F.when(F.abs(size) < 1024.0, _printed(size, 0, " B")).otherwise(result)
 
 
 def human_duration(seconds: Column) -> Column:

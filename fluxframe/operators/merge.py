@@ -11,7 +11,7 @@ from fluxframe import schema
 from fluxframe.functions import text
 from fluxframe.functions.scalars import to_number, whole_column_timestamp
 from fluxframe.operators.dims import newest_per_key
-from fluxframe.operators.ordering import dense_order, keyed_join
+from fluxframe.operators.ordering import keyed_join
 from fluxframe.operators.spatial import axis_positions
 
 ORDER = "__sample_order"
@@ -95,32 +95,41 @@ def is_static(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     return per_cell.agg(F.bool_and("same").alias("is_static"), F.count("*").alias("cells"))
 
 
-def cell_indices(df: DataFrame) -> DataFrame:
+def cube_axes(df: DataFrame) -> dict[str, DataFrame]:
     """Cube positions: time ascending, latitude descending, longitude ascending."""
-    for column, out, down in (("timestamp", "time_index", False), ("lat", "lat_index", True),
-                              ("lon", "lon_index", False)):
-        df = df.join(axis_positions(df, column, out, down), column)
-    return df
+    return {"timestamp": axis_positions(df, "timestamp", "time_index"),
+            "lat": axis_positions(df, "lat", "lat_index", descending=True),
+            "lon": axis_positions(df, "lon", "lon_index")}
 
 
-def dense_cube(df: DataFrame, variables: Sequence[str], lon_count: int | None = None) -> DataFrame:
+def dense_cube(df: DataFrame, variables: Sequence[str], axes: dict[str, DataFrame] | None = None) -> DataFrame:
     """Rows of a dense cube: (time, latitude) and one filled array per variable.
 
     Works per grid line, so the largest group is one line of the grid. Cells
-    without a row are NaN, as are cells of times and latitudes that do occur.
-    Duplicates must have been resolved.
+    without a row are NaN. Duplicates must have been resolved.
     """
-    placed = cell_indices(df)
-    lons = lon_count or placed.agg(F.max("lon_index")).first()[0] + 1
-    entry = F.struct(F.col("lon_index").cast("int").alias("key"),
-                     F.struct(*[F.col(v).cast("float").alias(v) for v in variables]).alias("value"))
+    axes = axes or cube_axes(df)
+    lons = axes["lon"].count()
+    placed = df
+    for column, axis in axes.items():
+        placed = placed.join(axis, column)
+    entry = F.struct(F.col("lon_index").cast("int").alias("at"),
+                     *[F.col(v).cast("float").alias(v) for v in variables])
     lines = (placed.groupBy("time_index", "timestamp", "lat_index", "lat")
-             .agg(F.map_from_entries(F.collect_list(entry)).alias("__cells")))
+             .agg(F.array_sort(F.collect_list(entry)).alias("__cells")))
+    hole = F.lit(float("nan")).cast("float")
+
+    def holes(count):
+        return F.array_repeat(hole, count.cast("int"))
 
     def filled(v):
-        hole = F.lit(float("nan")).cast("float")
-        return F.transform(F.sequence(F.lit(0), F.lit(lons - 1)),
-                           lambda i: F.coalesce(F.try_element_at("__cells", i)[v], hole))
+        # before each cell come as many holes as positions were skipped
+        def step(cell, k):
+            before = F.coalesce(F.get("__cells", k - 1)["at"], F.lit(-1))
+            return F.concat(holes(cell["at"] - before - 1), F.array(F.coalesce(cell[v], hole)))
+        tail = F.lit(lons - 1) - F.element_at("__cells", -1)["at"]
+        return F.concat(F.flatten(F.transform("__cells", step)), holes(tail))
+
     return lines.select("time_index", "timestamp", "lat_index", "lat",
                         *[filled(v).alias(v) for v in variables])
 
@@ -184,7 +193,3 @@ def merge_shards(shards: Sequence[DataFrame], targets: Sequence[str] | None = No
 
 def time_coordinate(df: DataFrame, column: str = "timestamp") -> DataFrame:
     return whole_column_timestamp(df, column)
-
-
-def numbered_longitudes(df: DataFrame) -> DataFrame:
-    return dense_order(df.select("lon").distinct(), ["lon"], "lon_index")

@@ -12,14 +12,15 @@ from fluxframe.queries.registry import events, query, rounded
 from fluxframe.sources.tables import table
 
 #: lineitem as scored samples: some truths are missing, two targets.
-_SCORED = """(select cast(l_suppkey as varchar) as site, l_returnflag as igbp,
+_SCORED = """(select cast(l_suppkey as varchar) as site, 'class ' || (l_suppkey % 5) as igbp,
   case when l_discount > 0.02e0 then l_extendedprice / 1000.0e0 end as y, l_quantity * 1.1e0 as p,
   l_tax * 100.0e0 as y2, l_discount * 90.0e0 as p2 from lineitem)"""
 
 
 def scored_lines(spark, folder):
     return table(spark, folder, "lineitem").select(
-        F.col("l_suppkey").cast("string").alias("site"), F.col("l_returnflag").alias("igbp"),
+        F.col("l_suppkey").cast("string").alias("site"),
+        F.concat(F.lit("class "), (F.col("l_suppkey") % 5).cast("string")).alias("igbp"),
         F.when(F.col("l_discount") > 0.02, F.col("l_extendedprice") / 1000.0).alias("gt_NEE"),
         (F.col("l_quantity") * 1.1).alias("pred_NEE"), (F.col("l_tax") * 100.0).alias("gt_LE"),
         (F.col("l_discount") * 90.0).alias("pred_LE"))

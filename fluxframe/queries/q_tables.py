@@ -304,7 +304,8 @@ select timestamp, lat, lon, round(cast(cast(price as float) as double), 2) as pr
   cast(n as double) as n from {_GRID_ROWS}""")
 def cube_long_roundtrip(spark, folder):
     long = _grid_rows(spark, folder)
-    back = merge.long_from_cube(merge.dense_cube(long, ["price", "n"]), ["price", "n"], merge.numbered_longitudes(long))
+    axes = merge.cube_axes(long)
+    back = merge.long_from_cube(merge.dense_cube(long, ["price", "n"], axes), ["price", "n"], axes["lon"])
     return back.select("timestamp", "lat", "lon", F.round(F.col("price").cast("double"), 2).alias("price"),
                        F.col("n").cast("double").alias("n"))
 
@@ -400,10 +401,10 @@ def category_order(spark, folder):
 
 
 @query("""
-select c_mktsegment as label, count(*) as n, 0 as dummy from customer group by all order by n desc limit 3""")
+select c_mktsegment as label, count(*) as n from customer group by all order by n desc, label limit 3""")
 def top_k(spark, folder):
     counted = table(spark, folder, "customer").groupBy(F.col("c_mktsegment").alias("label")).agg(F.count("*").alias("n"))
-    return counted.withColumn("dummy", F.lit(0)).orderBy(F.desc("n")).limit(3)
+    return counted.orderBy(F.desc("n"), "label").limit(3)
 
 
 @query("""
