@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime, time
 
@@ -69,14 +70,14 @@ def asset_date(name: Column) -> Column:
 
 # Accepted date texts by shape; the first two are whole days.
 DATE_SHAPES = (
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd", "%Y-%m-%d", True),
-    (r"^\d{8}$", "yyyyMMdd", "%Y%m%d", True),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S", False),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", False),
-    (r"^\d{14}$", "yyyyMMddHHmmss", "%Y%m%d%H%M%S", False),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm", "%Y-%m-%dT%H:%M", False),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M", False),
-    (r"^\d{12}$", "yyyyMMddHHmm", "%Y%m%d%H%M", False),
+    (r"^\d{4}-\d{2}-\d{2}$", "%Y-%m-%d", True),
+    (r"^\d{8}$", "%Y%m%d", True),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "%Y-%m-%dT%H:%M:%S", False),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "%Y-%m-%d %H:%M:%S", False),
+    (r"^\d{14}$", "%Y%m%d%H%M%S", False),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}$", "%Y-%m-%dT%H:%M", False),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "%Y-%m-%d %H:%M", False),
+    (r"^\d{12}$", "%Y%m%d%H%M", False),
 )
 
 
@@ -84,25 +85,24 @@ def parse_bound_column(text: Column, is_end: bool) -> Column:
     """Date text -> YYYYMMDDHHMMSS, whole days stretched to 23:59:59 for an end.
 
     The shape decides the format, so twelve digits are always minutes. Text of
-    no known shape gives NULL.
+    no known shape, or no valid date, gives NULL. Each value is parsed once:
+    its digits alone, filled up with zeros, are the number.
     """
     trimmed = F.trim(text)
-    result = F.lit(None).cast("long")
-    for shape, spark_format, _, whole_day in DATE_SHAPES:
-        parsed = F.try_to_timestamp(trimmed, F.lit(spark_format))
-        number = timestamp_to_int(parsed)
-        if whole_day and is_end:
-            number = number + 235959
-        result = F.when(trimmed.rlike(shape), number).otherwise(result)
-    return result
+    digits = F.rpad(F.regexp_replace(trimmed, "[^0-9]", ""), 14, "0")
+    shaped = trimmed.rlike("|".join(shape for shape, *_ in DATE_SHAPES))
+    valid = F.try_to_timestamp(F.when(shaped, digits), F.lit("yyyyMMddHHmmss")).isNotNull()
+    number = digits.cast("long")
+    if is_end:
+        whole_day = trimmed.rlike("|".join(shape for shape, *_, whole in DATE_SHAPES if whole))
+        number = F.when(whole_day, number + 235959).otherwise(number)
+    return F.when(valid, number)
 
 
 def parse_bound(text: str, is_end: bool) -> tuple[int, str]:
     """One bound given on a command line -> (number, label for file names)."""
-    import re
-
     trimmed = text.strip()
-    for shape, _, python_format, whole_day in DATE_SHAPES:
+    for shape, python_format, whole_day in DATE_SHAPES:
         if not re.match(shape, trimmed):
             continue
         try:

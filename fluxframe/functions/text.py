@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -33,8 +34,6 @@ def metric_label(name: Column) -> Column:
 
 def metric_label_of(name: str) -> str:
     """The same for a column name on the driver."""
-    import re
-
     bare = re.sub("^(rmse_|nse_)", "", name)
     return re.sub("(?i)_?dt$", "", bare).replace("_", "").upper()
 

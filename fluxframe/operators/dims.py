@@ -12,11 +12,15 @@ from fluxframe.functions.geo import cell_bounds, cell_key, floor_pixel
 from fluxframe.operators.ordering import dense_order, keyed_join
 
 
-def surrogate_keys(facts: DataFrame, attributes: Sequence[str], first_seen: Sequence[str],
+def surrogate_keys(facts: DataFrame, attributes: Sequence[str], first_seen: str,
                    out: str = "coord_id") -> DataFrame:
-    """Distinct attribute combinations numbered from 1 by first appearance."""
-    appeared = facts.groupBy(*attributes).agg(F.min(F.struct(*first_seen)).alias("__first"))
-    return dense_order(appeared, ["__first"], out, start=1).select(out, *attributes)
+    """Distinct attribute combinations numbered from 1 by first appearance.
+
+    ``first_seen`` is a number that grows with the input order; combinations
+    that appear together are numbered in the order of their attributes.
+    """
+    appeared = facts.groupBy(*attributes).agg(F.min(first_seen).alias("__first"))
+    return dense_order(appeared, ["__first", *attributes], out, start=1).select(out, *attributes)
 
 
 def attach_keys(facts: DataFrame, dim: DataFrame, attributes: Sequence[str]) -> DataFrame:

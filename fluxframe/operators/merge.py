@@ -90,9 +90,9 @@ def resolve_duplicates(df: DataFrame, keys: Sequence[str], policy: str, order: S
 
 def is_static(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """One row: does every cell keep one label over time? Missing is a label."""
-    shown = F.coalesce(label, F.lit(""))
-    per_cell = df.groupBy(*keys).agg((F.min(shown) == F.max(shown)).alias("same"))
-    return per_cell.agg(F.bool_and("same").alias("is_static"), F.count("*").alias("cells"))
+    pairs = df.select(*keys, F.coalesce(label, F.lit("")).alias("__label")).distinct()
+    per_cell = pairs.groupBy(*keys).agg(F.count("*").alias("__labels"))
+    return per_cell.agg(F.bool_and(F.col("__labels") <= 1).alias("is_static"), F.count("*").alias("cells"))
 
 
 def cube_axes(df: DataFrame) -> dict[str, DataFrame]:

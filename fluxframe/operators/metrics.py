@@ -44,21 +44,20 @@ def evaluate_sites(scored: DataFrame, targets: Sequence[str], site: str = "site"
                    loss: str | None = None, batch: int | None = None, digits: int | None = 4) -> DataFrame:
     """One row per site and a TOTAL row pooled over all of them.
 
-    The total is rolled up from the per-site sums, so the data is read once and
-    not doubled for it. ``loss`` is a per-sample loss to average.
+    The data is summed per site and class, by hash since all sums are numbers;
+    sites and the total are then rolled up from that small table. ``loss`` is a
+    per-sample loss to average.
     """
-    extra = [F.count("*").alias("num_samples"), F.min(label).alias(label)]
-    extra.append(F.sum(loss).alias("__loss") if loss else F.lit(None).cast("double").alias("__loss"))
-    per_site = partial_sums(scored, [site], targets, extra=extra)
-    if batch:
-        per_site = per_site.withColumn("num_batches", F.ceil(F.col("num_samples") / batch))
-    else:
-        per_site = per_site.withColumn("num_batches", F.lit(None).cast("long"))
-    sums = [F.sum(f"{p}_{t}").alias(f"{p}_{t}") for t in targets for p in PARTIALS]
+    extra = [F.count("*").alias("__rows"),
+             (F.sum(loss) if loss else F.lit(None).cast("double")).alias("__loss")]
+    small = partial_sums(scored, [site, label], targets, extra=extra)
+    names = [f"{p}_{t}" for t in targets for p in PARTIALS] + ["__rows", "__loss"]
+    per_site = small.groupBy(site).agg(F.min(label).alias(label), *[F.sum(n).alias(n) for n in names])
+    batches = F.ceil(F.col("__rows") / batch) if batch else F.lit(None)
+    per_site = per_site.withColumn("num_batches", batches.cast("long"))
     both = per_site.rollup(site).agg(
-        *sums, F.grouping(site).alias("__total"),
-        F.min(label).alias(label), F.sum("num_samples").alias("num_samples"),
-        F.sum("num_batches").alias("num_batches"), F.sum("__loss").alias("__loss"))
+        F.grouping(site).alias("__total"), F.min(label).alias(label),
+        *[F.sum(n).alias(n) for n in [*names, "num_batches"]]).withColumnRenamed("__rows", "num_samples")
 
     def shown(value: Column) -> Column:
         return value if digits is None else F.bround(value, digits)

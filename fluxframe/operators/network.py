@@ -103,7 +103,9 @@ def _gelu(x):
 
 
 def _apply(w, name, x):
-    return x @ w[name] + w[name + "/b"]
+    # one large product instead of a stack of small ones
+    flat = x.reshape(-1, x.shape[-1]) @ w[name] + w[name + "/b"]
+    return flat.reshape(*x.shape[:-1], flat.shape[-1])
 
 
 def _norm(w, name, x):

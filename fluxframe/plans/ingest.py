@@ -55,7 +55,7 @@ def build_dataset(raw: DataFrame, mask: DataFrame, cover: DataFrame, cover_frame
     rows = rows.withColumn("timestamp", scalars.timestamp_to_int(F.col("timestamp")))
 
     attributes = ["lat", "lon", "elev", "igbp"]
-    dim = dims.surrogate_keys(rows, attributes, ["timestamp", "lat", "lon"])
+    dim = dims.surrogate_keys(rows, attributes, "timestamp")
     facts = dims.attach_keys(rows, dim, attributes)
     names = ["DOY", "TOD", *[p for p in found if p not in ("DOY", "TOD")]]
     return facts.select("coord_id", "timestamp", *names), dim

@@ -29,7 +29,7 @@ from attrs a join keys k on a.c_nationkey = k.c_nationkey and a.segment is not d
 def nullsafe_attach(spark, folder):
     segment = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment")
     rows = table(spark, folder, "customer").select("c_custkey", "c_nationkey", segment)
-    keys = dims.surrogate_keys(rows, ["c_nationkey", "segment"], ["c_custkey"])
+    keys = dims.surrogate_keys(rows, ["c_nationkey", "segment"], "c_custkey")
     return dims.attach_keys(rows, keys, ["c_nationkey", "segment"]).select("c_custkey", "coord_id", "segment")
 
 
