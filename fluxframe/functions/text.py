@@ -17,8 +17,10 @@ def fixed(col: Column, decimals: int, missing: str = "") -> Column:
 
 
 def _printed(number: Column, decimals: int, unit: str = "") -> Column:
-    # the formatter alone would round ties up
-    return F.format_string(f"%.{decimals}f{unit}", F.bround(number, decimals))
+    # the formatter alone would round ties up; rounding alone drops the sign of zero
+    rounded = F.bround(number, decimals)
+    shown = F.format_string(f"%.{decimals}f{unit}", rounded)
+    return F.when((number < 0) & (rounded == 0), F.concat(F.lit("-"), F.ltrim(shown, F.lit("-")))).otherwise(shown)
 
 
 def thousands(col: Column) -> Column:

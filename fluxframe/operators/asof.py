@@ -46,8 +46,11 @@ def latest_image(rows: DataFrame, images: DataFrame, since=None, limit: int | No
     if since is not None:
         matched = matched.withColumn(
             "image_date", F.when(F.col("timestamp") >= F.lit(since), F.col("image_date")))
-    tensors = images.select("coord_id", F.col("modis_date").alias("image_date"), "data")
-    return matched.join(tensors, ["coord_id", "image_date"], "left")
+    # rows without an image match nothing; spread them instead of piling them up
+    nowhere = -1 - F.pmod(F.xxhash64("timestamp"), F.lit(1_000_000)).cast("int")
+    keyed = matched.withColumn("__at", F.coalesce("image_date", nowhere))
+    tensors = images.select("coord_id", F.col("modis_date").alias("__at"), "data")
+    return keyed.join(tensors, ["coord_id", "__at"], "left").drop("__at")
 
 
 def distinct_images(facts: DataFrame, images: DataFrame, key: str, date: str, image_date: str,

@@ -38,13 +38,13 @@ def output_columns(df: DataFrame, targets: Sequence[str] | None) -> list[str]:
     return [*BASE, *text.pick_targets(df.columns, targets)]
 
 
-def in_output_order(df: DataFrame, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """By sample order where shards carry it, else by place and time."""
-    if ORDER in df.columns:
-        return df.withColumn(ORDER, to_number(F.col(ORDER))).orderBy(ORDER, *tiebreak)
-    numeric = {c: to_number(F.col(c)) for c in ("lat", "lon", "timestamp")}
-    ordered = df.withColumns({f"__{c}": v for c, v in numeric.items()})
-    return ordered.orderBy("__lat", "__lon", "__timestamp", *tiebreak).drop("__lat", "__lon", "__timestamp")
+def in_output_order(df: DataFrame) -> DataFrame:
+    """By sample order where shards carry it, else by place and time.
+
+    A hash of the row settles ties, so the order is always the same.
+    """
+    keys = [ORDER] if ORDER in df.columns else ["lat", "lon", "timestamp"]
+    return df.orderBy(*[to_number(F.col(k)) for k in keys], F.xxhash64(*df.columns))
 
 
 def duplicate_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -66,7 +66,8 @@ class Spread:
     cut: bool
 
     def window(self, order):
-        return Window.partitionBy(*self.keys, CHUNK).orderBy(*order)
+        # among ties, cut keys must follow the order they were cut in
+        return Window.partitionBy(*self.keys, CHUNK).orderBy(*order, *([SEQ] if self.cut else []))
 
     def own(self, df: DataFrame) -> DataFrame:
         """Drop the helper rows and columns again."""
@@ -89,7 +90,9 @@ def spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], reach: int
 
     hot = settle(crowded)
     cold_rows = keyed_join(df, hot, keys, "left_anti").withColumns(plain)
-    hot_rows = dense_order(keyed_join(df, hot, keys, "left_semi"), [*keys, *order], SEQ)
+    # the hash lets even a flood of rows that tie in the order be cut
+    tie = F.xxhash64(*df.columns)
+    hot_rows = dense_order(keyed_join(df, hot, keys, "left_semi"), [*keys, *order, tie], SEQ)
     home = F.floor(F.col(SEQ) / limit)
     furthest = F.floor((F.col(SEQ) + reach) / limit)
     hot_rows = (hot_rows.withColumn(CHUNK, F.explode(F.sequence(home, furthest)))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fluxframe import vocab
 from fluxframe.functions.arrays import first_or_empty
 from fluxframe.functions.scalars import clean_target, scale_static
 from fluxframe.functions.text import colour_files, infrared_files
@@ -19,6 +20,9 @@ from fluxframe.operators.ordering import (dense_order, from_nth_row, keyed_join,
                                           over_last_rows)
 
 
+STATICS = (*vocab.STATIC, "igbp")
+
+
 def without_classes(facts: DataFrame, dim: DataFrame, classes: Sequence[str], key: str = "coord_id",
                     label: str = "igbp") -> DataFrame:
     """Drop facts of locations in the given classes.
@@ -95,7 +99,11 @@ def first_image_in_window(facts: DataFrame, images: DataFrame, key: str, row_id:
 
 
 def dim_lookup(facts: DataFrame, dim: DataFrame, key: str, strict: bool = True) -> DataFrame:
-    """Attach the attributes of a location; a missing location is an error."""
+    """Attach the attributes of a location; a missing location is an error.
+
+    Spark broadcasts the dimension if its size is below the session's limit and
+    otherwise splits the partitions of hot locations.
+    """
     flagged = dim.withColumn("__known", F.lit(True))
     joined = facts.join(flagged, key, "left")
     if strict:
@@ -108,6 +116,10 @@ def dim_lookup(facts: DataFrame, dim: DataFrame, key: str, strict: bool = True)
     return joined.drop("__known")
 
 
+def scaled_statics(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: scale_static(c, F.col(c)) for c in vocab.STATIC})
+
+
 def of_entities(facts: DataFrame, entities: DataFrame | Sequence, key: str) -> DataFrame:
     """Facts of the listed entities (a split, or those still active)."""
     if isinstance(entities, DataFrame):
@@ -171,6 +183,7 @@ def site_samples(facts: DataFrame, dim: DataFrame, length: int, predictors: Sequ
     rows = keyed_join(facts, gate.withColumnRenamed("id", "__gate"), ["site"])
     rows = rows.withColumn("__sample", has_target & (F.col("id") >= F.col("__gate"))).drop("__gate")
     rows = rows.withColumns({t: clean_target(F.col(t)) for t in targets})
+    rows = scaled_statics(dim_lookup(rows, dim, "site"))
 
     values = {"frame": F.collect_list(F.struct("id", "timestamp", *predictors, *targets))}
     if images is not None:
@@ -192,8 +205,7 @@ def site_samples(facts: DataFrame, dim: DataFrame, length: int, predictors: Sequ
             found = F.when(F.size("__files") > 0, files).otherwise(F.array().cast("array<string>"))
             framed = framed.withColumn(column, first_or_empty(found) if single_image else found)
         framed = framed.drop("__files")
-    samples = dim_lookup(framed, dim, "site")
-    return samples.withColumns({c: scale_static(c, F.col(c)) for c in ("lat", "lon", "elev")})
+    return framed
 
 
 def grid_samples(facts: DataFrame, dim: DataFrame, length: int, predictors: Sequence[str],
@@ -201,16 +213,16 @@ def grid_samples(facts: DataFrame, dim: DataFrame, length: int, predictors: Sequ
                  exclude: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """Complete grid samples: window, static attributes and latest image.
 
-    The image is found for the single rows, before windows are built: a tensor
-    is far smaller than a window, and windows are then never shuffled.
+    Attributes and image are found for the single rows, before windows are
+    built: they are far smaller than a window, and windows are never shuffled.
     """
     rows = without_classes(facts, dim, exclude).select("id", "coord_id", "timestamp", *predictors)
     rows = rows if end is None else rows.where(F.col("timestamp") <= F.lit(end))
-    carried = []
+    rows = scaled_statics(dim_lookup(rows, dim.select("coord_id", *STATICS), "coord_id"))
+    carried = list(STATICS)
     if images is not None:
         rows = latest_image(rows, images, since=start, limit=limit)
-        carried = ["image_date", "data"]
+        carried += ["image_date", "data"]
     framed = trailing_frames(rows, "coord_id", ["timestamp", "id"], length, predictors, limit=limit)
     framed = framed if start is None else framed.where(F.col("timestamp") >= F.lit(start))
-    samples = dim_lookup(framed.select("id", "coord_id", "timestamp", "frame", *carried), dim, "coord_id")
-    return samples.withColumns({c: scale_static(c, F.col(c)) for c in ("lat", "lon", "elev")})
+    return framed.select("id", "coord_id", "timestamp", "frame", *carried)

@@ -24,6 +24,10 @@ def build_session(app: str = "fluxframe", master: str | None = None,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # split hot keys even where that costs one more shuffle
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        # a dimension of every land cell on the globe still fits
+        .config("spark.sql.autoBroadcastJoinThreshold", "64m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:

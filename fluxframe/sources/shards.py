@@ -6,8 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from fluxframe import schema
-from fluxframe.sources.rasters import list_files
+from fluxframe.functions.scalars import to_number
 
 POSITION = ("__shard", "__block", "__line")
 
@@ -16,7 +15,9 @@ def shard_paths(spark: SparkSession, folder: str, count: int | None = None) -> l
     """The expected shard files, or all there are; an absent one is an error."""
     if count is not None and count <= 0:
         raise ValueError("the number of shards must be positive")
-    listed = {r.path.rsplit("/", 1)[-1]: r.path for r in list_files(spark, folder, "rank_*.csv").collect()}
+    # the file index also lists empty files, which a scan would skip
+    found = spark.read.option("pathGlobFilter", "rank_*.csv").text(folder).inputFiles()
+    listed = {p.rsplit("/", 1)[-1]: p for p in found}
     wanted = sorted(listed) if count is None else [f"rank_{n:05d}.csv" for n in range(count)]
     absent = [name for name in wanted if name not in listed]
     if absent or not wanted:
@@ -62,4 +63,10 @@ def read_shards(spark: SparkSession, paths: list[str], strict: bool = True) -> D
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """A metrics file; ``nan`` cells and the TOTAL row's empty class become NULL."""
-    return schema.nan_to_null(spark.read.option("header", True).option("inferSchema", True).csv(path))
+    df = spark.read.option("header", True).csv(path)
+
+    def typed(c):
+        if c in ("site", "igbp"):
+            return F.col(c)
+        return to_number(F.col(c)).cast("long" if c.startswith("num_") else "double").alias(c)
+    return df.select(*[typed(c) for c in df.columns])

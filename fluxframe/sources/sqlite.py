@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import sqlite3
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -104,9 +106,6 @@ def require_tables(path: str, needed=("ec_data", "coord_data"), optional=("modis
 
 def decode_floats(blob: Column) -> Column:
     """Little-endian float32 bytes -> array<float>, a batch at a time."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(values: pd.Series) -> pd.Series:
         return values.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
