@@ -30,6 +30,12 @@ def partial_sums(scored: DataFrame, keys: Sequence[str], targets: Sequence[str],
     return scored.groupBy(*keys).agg(*sums, *extra)
 
 
+def site_classes(scored: DataFrame, site: str = "site", label: str = "igbp") -> DataFrame:
+    """The class of each site and how many it has; more than one is suspicious."""
+    pairs = scored.select(site, label).distinct()
+    return pairs.groupBy(site).agg(F.min(label).alias(label), F.count("*").alias("classes"))
+
+
 def rmse(t: str) -> Column:
     return F.sqrt(F.try_divide(F.col(f"sse_{t}"), F.col(f"n_{t}")))
 

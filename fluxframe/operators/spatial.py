@@ -23,6 +23,19 @@ def with_positions(df: DataFrame, columns: dict[str, str], descending: Sequence[
     return df
 
 
+def to_matrix(df: DataFrame, row: str, column: str, value: str, columns: Sequence) -> DataFrame:
+    """Long cells -> one row per ``row`` with a column per listed value. Several
+    different values of one cell are an error."""
+    single = F.when(F.min(value) == F.max(value), F.max(value)).when(
+        F.count(value) > 0, F.raise_error(F.lit("a cell has several values")).cast(df.schema[value].dataType))
+    return df.groupBy(row).pivot(column, list(columns)).agg(single)
+
+
+def from_matrix(matrix: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """The inverse; empty cells are left out."""
+    return matrix.unpivot(row, [c for c in matrix.columns if c != row], column, value).where(F.col(value).isNotNull())
+
+
 def neighbour_count(cells: DataFrame, flag: str, i: str = "i", j: str = "j",
                     out: str = "neighbours") -> DataFrame:
     """How many of the eight surrounding cells carry the flag; outside counts as no.

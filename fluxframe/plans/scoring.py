@@ -32,18 +32,20 @@ def score_grid(facts: DataFrame, dim: DataFrame, images: DataFrame | None, weigh
     The start and end are inclusive dates or timestamps. ``light_threshold`` is
     a raw SW_IN below which GPP outputs become 0; ``low_light`` marks the rows.
     """
+    if light_threshold is not None and "SW_IN" not in cfg.predictors:
+        raise ValueError("the light override needs SW_IN among the predictors")
     low, high, _ = scalars.date_range(start, end)
-    built = samples.grid_samples(facts, dim, cfg.length, cfg.predictors, images, low, high, exclude)
     if max_samples is not None:
         index = samples.grid_sample_index(samples.without_classes(facts, dim, exclude), cfg.length, low, high)
         stop = first_samples(index, max_samples)
         if stop is not None:
-            built = built.where(F.struct(*ORDER) <= F.struct(*[F.lit(v) for v in stop]))
+            # windows only look back, so rows after the last sample are not needed
+            last = F.struct(*[F.lit(v).cast(facts.schema[c].dataType).alias(c) for c, v in zip(ORDER, stop)])
+            facts = facts.where(F.struct(*ORDER) <= last)
+    built = samples.grid_samples(facts, dim, cfg.length, cfg.predictors, images, low, high, exclude)
     if images is None:
         built = built.withColumn("data", F.lit(None).cast("array<float>"))
     light = F.element_at("frame", -1)["SW_IN"] if light_threshold is not None else F.lit(None).cast("double")
-    if light_threshold is not None and "SW_IN" not in cfg.predictors:
-        raise ValueError("the light override needs SW_IN among the predictors")
     keep = ["id", "coord_id", "timestamp", "lat", "lon", "igbp", "__light"]
     kept = built.withColumn("__light", light)
     # elev is an input of the network but not of the output

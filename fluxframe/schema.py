@@ -108,3 +108,18 @@ def require_same_header(frames: Sequence[DataFrame]) -> None:
 
 def with_prefix(df: DataFrame, prefix: str) -> list[str]:
     return [c for c in df.columns if c.startswith(prefix)]
+
+
+def drop_empty(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Leave out those of the columns that hold no value at all."""
+    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    return df.drop(*[c for c, n in counts.items() if n == 0])
+
+
+def create_tables(spark, predictors: Sequence[str] = vocab.PREDICTORS, prefix: str = "") -> list[str]:
+    """Create the empty grid tables anew; returns their names."""
+    layouts = {"ec_data": grid_facts(predictors), "coord_data": coord_dim(), "modis_data": grid_images()}
+    for name, layout in layouts.items():
+        spark.sql(f"drop table if exists {prefix}{name}")
+        spark.createDataFrame([], layout).write.saveAsTable(prefix + name)
+    return [prefix + name for name in layouts]

@@ -90,6 +90,17 @@ def read_strips(spark: SparkSession, paths: Sequence[str], height: int = vocab.T
             .option("height", str(height)).load())
 
 
+def require_raster(strips: DataFrame, bands: Sequence[int], width: int, height: int) -> DataFrame:
+    """Every file must have an allowed number of bands and the expected size."""
+    wrong = (strips.groupBy("path").agg(F.max("width").alias("width"), F.sum("height").alias("height"),
+                                        F.max(F.size("bands")).alias("bands"))
+             .where((F.col("width") != width) | (F.col("height") != height) | ~F.col("bands").isin(*bands)))
+    found = wrong.limit(1).collect()
+    if found:
+        raise ValueError(f"unexpected raster: {found[0].asDict()}")
+    return strips
+
+
 def strip_pixels(strips: DataFrame, band: int = 1) -> DataFrame:
     """Strips of one band -> (row, col, code) with pixel-centre coordinates."""
     pixels = strips.select("row", "width", "west", "north", "step",

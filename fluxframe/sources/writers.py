@@ -7,7 +7,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, functions as F
 
-from fluxframe import schema
 from fluxframe.functions.scalars import unscale_degrees
 from fluxframe.functions.text import fixed
 from fluxframe.operators.ordering import dense_order
@@ -47,6 +46,15 @@ def write_tables(facts: DataFrame, dim: DataFrame, folder: str) -> None:
     dim.write.mode("overwrite").parquet(f"{folder}/coord_data.parquet")
 
 
+def write_cube(cube: DataFrame, attributes: dict[str, object], path: str) -> None:
+    """A dense cube as one ordered parquet table, its attributes beside it."""
+    cube.repartitionByRange("time_index", "lat_index").sortWithinPartitions("time_index", "lat_index") \
+        .write.mode("overwrite").parquet(f"{path}/cells")
+    texts = [(k, str(v)) for k, v in attributes.items()]
+    cube.sparkSession.createDataFrame(texts, "name string, value string").coalesce(1) \
+        .write.mode("overwrite").json(f"{path}/attributes")
+
+
 def number_images(images: DataFrame) -> DataFrame:
     """Surrogate modis_id over (coord_id, modis_date)."""
     return dense_order(images, ["coord_id", "modis_date"], "modis_id", start=1)
@@ -91,7 +99,3 @@ def write_text(content: str, path: str) -> None:
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     target.write_text(content)
-
-
-def ingest_columns(df: DataFrame, predictors: Sequence[str]) -> list[str]:
-    return ["coord_id", "timestamp", *schema.present(df, predictors)]
