@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fluxframe.functions.scalars import int_to_date
-from fluxframe.operators.ordering import running_last, spread
+from fluxframe.operators.ordering import Hot, Limit, find_hot, running_last, spread
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str,
-                  right_time: str, payload: dict[str, str], limit: int | None = None) -> DataFrame:
+                  right_time: str, payload: dict[str, str], limit: Limit = None) -> DataFrame:
     """Left rows with columns of the latest right row whose time is not later.
 
     Both sides go through one sort per key and the latest right row is carried
@@ -33,7 +33,7 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
             .select("__row.*", *[F.col(f"__match.{n}").alias(n) for n in payload]))
 
 
-def latest_image(rows: DataFrame, images: DataFrame, since=None, limit: int | None = None) -> DataFrame:
+def latest_image(rows: DataFrame, images: DataFrame, since=None, limit: Limit = None) -> DataFrame:
     """Attach the latest image of the row's location, or NULL if there is none.
 
     Only image dates take part in the sort; the tensors are joined at the end,
@@ -54,12 +54,13 @@ def latest_image(rows: DataFrame, images: DataFrame, since=None, limit: int | No
 
 
 def distinct_images(facts: DataFrame, images: DataFrame, key: str, date: str, image_date: str,
-                    order: Sequence[str], length: int, limit: int | None = None) -> DataFrame:
+                    order: Sequence[str], length: int, limit: Limit = None) -> DataFrame:
     """The different images in use over each trailing window, oldest first.
 
     Every row first gets its own image date; the window then collects the dates
     that occur in it. Rows before the first image contribute nothing.
     """
+    limit = limit if isinstance(limit, Hot) else find_hot(facts.select(key).union(images.select(key)), [key], limit)
     matched = asof_backward(facts, images, [key], date, image_date, {"__image": image_date}, limit=limit)
     s = spread(matched, [key], order, reach=length - 1, limit=limit)
     frame = s.window(order).rowsBetween(-(length - 1), Window.currentRow)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fluxframe.operators.ordering import keyed_join, over_last_rows
+from fluxframe.operators.ordering import Limit, keyed_join, over_last_rows
 
 
 def smoothed(series: DataFrame, name: str, step: str, value: str, window: int = 20,
-             limit: int | None = None) -> DataFrame:
+             limit: Limit = None) -> DataFrame:
     """Median, mean, deviation, maximum over the last rows, and the overall mean.
 
     The median of an even number of values is the lower middle one.

@@ -57,44 +57,67 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
+@dataclass
+class Hot:
+    """Keys with more than ``limit`` rows: a written table, or None if there are none."""
+
+    keys: list[str]
+    limit: int
+    table: DataFrame | None
+
+
+#: How operators take it: rows a key may have, a count made before, or the default.
+Limit = int | Hot | None
+
+
+def find_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> Hot:
+    """Count rows per key, combining in the map tasks; only the keys are read.
+
+    Where several operators follow on the same keys, count once at the source
+    and hand the result to all of them.
+    """
+    limit = limit or hot_key_rows(df.sparkSession)
+    crowded = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
+    return Hot(list(keys), limit, None if crowded.isEmpty() else settle(crowded))
+
+
 @dataclass
 class Spread:
-    """Rows with CHUNK, HALO and (for cut keys) SEQ."""
+    """Rows ready for windows; with CHUNK, HALO and SEQ where keys were cut."""
 
     rows: DataFrame
     keys: list[str]
     cut: bool
 
     def window(self, order):
+        if not self.cut:
+            return Window.partitionBy(*self.keys).orderBy(*order)
         # among ties, cut keys must follow the order they were cut in
-        return Window.partitionBy(*self.keys, CHUNK).orderBy(*order, *([SEQ] if self.cut else []))
+        return Window.partitionBy(*self.keys, CHUNK).orderBy(*order, SEQ)
 
     def own(self, df: DataFrame) -> DataFrame:
         """Drop the helper rows and columns again."""
-        kept = df.where(~F.col(HALO)) if self.cut else df
-        return kept.drop(CHUNK, HALO, SEQ)
+        return df.where(~F.col(HALO)).drop(CHUNK, HALO, SEQ) if self.cut else df
 
 
 def spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], reach: int = 0,
-           limit: int | None = None) -> Spread:
+           limit: Limit = None) -> Spread:
     """Cut the hot keys of ``df`` into chunks of ``limit`` rows along ``order``.
 
     ``reach`` is how many preceding rows a frame looks back on.
     """
     keys = list(keys)
-    limit = limit or hot_key_rows(df.sparkSession)
-    crowded = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
-    plain = {CHUNK: F.lit(WHOLE).cast("long"), HALO: F.lit(False), SEQ: F.lit(None).cast("long")}
-    if crowded.isEmpty():
-        return Spread(df.withColumns(plain), keys, cut=False)
+    hot = limit if isinstance(limit, Hot) else find_hot(df, keys, limit)
+    if hot.table is None:
+        return Spread(df, keys, cut=False)
 
-    hot = settle(crowded)
-    cold_rows = keyed_join(df, hot, keys, "left_anti").withColumns(plain)
+    helpers = {CHUNK: F.lit(WHOLE).cast("long"), HALO: F.lit(False), SEQ: F.lit(None).cast("long")}
+    cold_rows = keyed_join(df, hot.table, keys, "left_anti").withColumns(helpers)
     # the hash lets even a flood of rows that tie in the order be cut
     tie = F.xxhash64(*df.columns)
-    hot_rows = dense_order(keyed_join(df, hot, keys, "left_semi"), [*keys, *order, tie], SEQ)
-    home = F.floor(F.col(SEQ) / limit)
-    furthest = F.floor((F.col(SEQ) + reach) / limit)
+    hot_rows = dense_order(keyed_join(df, hot.table, keys, "left_semi"), [*keys, *order, tie], SEQ)
+    home = F.floor(F.col(SEQ) / hot.limit)
+    furthest = F.floor((F.col(SEQ) + reach) / hot.limit)
     hot_rows = (hot_rows.withColumn(CHUNK, F.explode(F.sequence(home, furthest)))
                 .withColumn(HALO, F.col(CHUNK) != home))
     columns = [*df.columns, CHUNK, HALO, SEQ]
@@ -102,7 +125,7 @@ def spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], reach: int
 
 
 def over_last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], length: int,
-                   values: dict[str, Column], limit: int | None = None) -> DataFrame:
+                   values: dict[str, Column], limit: Limit = None) -> DataFrame:
     """Add aggregates over each row and the ``length - 1`` rows before it."""
     s = spread(df, keys, order, reach=length - 1, limit=limit)
     frame = s.window(order).rowsBetween(-(length - 1), Window.currentRow)
@@ -110,7 +133,7 @@ def over_last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], len
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str],
-             limit: int | None = None) -> DataFrame:
+             limit: Limit = None) -> DataFrame:
     """Add, per entry ``new: column``, the value of the row just before."""
     s = spread(df, keys, order, reach=1, limit=limit)
     w = s.window(order)
@@ -137,7 +160,7 @@ def _running(s: Spread, order, local: Column, end: Column, merge, complete, out:
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-                limit: int | None = None) -> DataFrame:
+                limit: Limit = None) -> DataFrame:
     """Cumulative sum of ``value`` per key."""
     s = spread(df, keys, order, limit=limit)
     return _running(s, order, F.sum(value), F.sum(value), F.sum,
@@ -145,14 +168,14 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
 
 
 def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
-                  limit: int | None = None) -> DataFrame:
+                  limit: Limit = None) -> DataFrame:
     """1-based position of each row within its key."""
     ones = df.withColumn("__one", F.lit(1).cast("long"))
     return running_sum(ones, keys, order, "__one", out, limit=limit).drop("__one")
 
 
 def running_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-                 limit: int | None = None) -> DataFrame:
+                 limit: Limit = None) -> DataFrame:
     """Latest non-NULL ``value`` at or before each row of its key."""
     s = spread(df, keys, order, limit=limit)
     newest = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(SEQ)))
@@ -162,7 +185,7 @@ def running_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
 
 
 def nth_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
-            limit: int | None = None) -> DataFrame:
+            limit: Limit = None) -> DataFrame:
     """The n-th row of every key that has one (keys and order columns only).
 
     Up to 1000, Spark keeps the first n rows per key in each map task before it
@@ -178,7 +201,7 @@ def nth_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
 
 
 def from_nth_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
-                 rows: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+                 rows: DataFrame | None = None, limit: Limit = None) -> DataFrame:
     """Drop the first n-1 rows of every key.
 
     ``rows`` may be an already filtered ``df``; positions still count in ``df``.

@@ -16,8 +16,8 @@ from fluxframe.functions.arrays import first_or_empty
 from fluxframe.functions.scalars import clean_target, scale_static
 from fluxframe.functions.text import colour_files, infrared_files
 from fluxframe.operators.asof import latest_image
-from fluxframe.operators.ordering import (dense_order, from_nth_row, keyed_join, nth_row,
-                                          over_last_rows)
+from fluxframe.operators.ordering import (Hot, Limit, dense_order, find_hot, from_nth_row, keyed_join,
+                                          nth_row, over_last_rows)
 
 
 STATICS = (*vocab.STATIC, "igbp")
@@ -36,7 +36,7 @@ def without_classes(facts: DataFrame, dim: DataFrame, classes: Sequence[str], ke
 
 
 def grid_sample_index(facts: DataFrame, length: int, start=None, end=None, key: str = "coord_id",
-                      time: str = "timestamp", row_id: str = "id", limit: int | None = None) -> DataFrame:
+                      time: str = "timestamp", row_id: str = "id", limit: Limit = None) -> DataFrame:
     """Rows that have at least ``length - 1`` predecessors at their location.
 
     The end bound cuts the rows that are counted; the start bound only cuts the
@@ -48,14 +48,14 @@ def grid_sample_index(facts: DataFrame, length: int, start=None, end=None, key:
 
 
 def site_sample_index(facts: DataFrame, targets: Sequence[str], length: int, key: str = "site",
-                      row_id: str = "id", limit: int | None = None) -> DataFrame:
+                      row_id: str = "id", limit: Limit = None) -> DataFrame:
     """Rows with any target, less the first ``length - 1`` such rows per site."""
     usable = facts.where(F.coalesce(*targets).isNotNull())
     return from_nth_row(usable, [key], [row_id], length, limit=limit)
 
 
 def trailing_frames(facts: DataFrame, key: str, order: Sequence[str], length: int,
-                    fields: Sequence[str], out: str = "frame", limit: int | None = None) -> DataFrame:
+                    fields: Sequence[str], out: str = "frame", limit: Limit = None) -> DataFrame:
     """The last ``length`` rows per location, oldest first; short frames are left out."""
     item = F.struct(*order, *fields)
     framed = over_last_rows(facts, [key], order, length, {out: F.collect_list(item)}, limit=limit)
@@ -210,7 +210,7 @@ def site_samples(facts: DataFrame, dim: DataFrame, length: int, predictors: Sequ
 
 def grid_samples(facts: DataFrame, dim: DataFrame, length: int, predictors: Sequence[str],
                  images: DataFrame | None = None, start=None, end=None,
-                 exclude: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+                 exclude: Sequence[str] = (), limit: Limit = None) -> DataFrame:
     """Complete grid samples: window, static attributes and latest image.
 
     Attributes and image are found for the single rows, before windows are
@@ -218,6 +218,10 @@ def grid_samples(facts: DataFrame, dim: DataFrame, length: int, predictors: Sequ
     """
     rows = without_classes(facts, dim, exclude).select("id", "coord_id", "timestamp", *predictors)
     rows = rows if end is None else rows.where(F.col("timestamp") <= F.lit(end))
+    if not isinstance(limit, Hot):
+        counted = rows.select("coord_id")
+        counted = counted if images is None else counted.union(images.select("coord_id"))
+        limit = find_hot(counted, ["coord_id"], limit)
     rows = scaled_statics(dim_lookup(rows, dim.select("coord_id", *STATICS), "coord_id"))
     carried = list(STATICS)
     if images is not None:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from fluxframe.functions import geo, text
-from fluxframe.operators.ordering import dense_order, previous, running_sum
+from fluxframe.operators.ordering import Hot, Limit, dense_order, find_hot, previous, running_sum
 
 
 def axis_positions(df: DataFrame, column: str, out: str, descending: bool = False) -> DataFrame:
@@ -128,11 +128,12 @@ def tile_grid(spark, size: int) -> DataFrame:
 
 
 def split_at_dateline(points: DataFrame, keys: Sequence[str], order: Sequence[str], lon: str = "lon",
-                      jump: float = 180.0, limit: int | None = None) -> DataFrame:
+                      jump: float = 180.0, limit: Limit = None) -> DataFrame:
     """Number the pieces of each line, cut where the longitude jumps.
 
     Pieces of a single point are dropped.
     """
+    limit = limit if isinstance(limit, Hot) else find_hot(points, keys, limit)
     stepped = previous(points, keys, order, {"__before": lon}, limit=limit)
     cut = F.when(F.abs(F.col(lon) - F.col("__before")) > jump, 1).otherwise(0).cast("long")
     numbered = running_sum(stepped.withColumn("__cut", cut), keys, order, "__cut", "segment", limit=limit)
