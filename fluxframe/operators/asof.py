@@ -22,7 +22,8 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
     """
     keys = list(keys)
     item = F.struct(*[F.col(src).alias(dst) for dst, src in payload.items()])
-    row = F.struct(*[F.col(c) for c in left.columns])
+    # keys stay outside the row: what follows on the same keys needs no new shuffle
+    row = F.struct(F.lit(True).alias("__left"), *[F.col(c) for c in left.columns if c not in keys])
     rights = right.select(*keys, F.col(right_time).alias("__time"), F.lit(0).alias("__side"),
                           item.alias("__item"))
     lefts = left.select(*keys, F.col(left_time).alias("__time"), F.lit(1).alias("__side"),
@@ -30,7 +31,8 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
     both = rights.unionByName(lefts, allowMissingColumns=True)
     found = running_last(both, keys, ["__time", "__side"], "__item", "__match", limit=limit)
     return (found.where(F.col("__side") == 1)
-            .select("__row.*", *[F.col(f"__match.{n}").alias(n) for n in payload]))
+            .select(*[F.col(c if c in keys else f"__row.{c}").alias(c) for c in left.columns],
+                    *[F.col(f"__match.{n}").alias(n) for n in payload]))
 
 
 def latest_image(rows: DataFrame, images: DataFrame, since=None, limit: Limit = None) -> DataFrame:
