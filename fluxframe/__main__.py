@@ -38,7 +38,7 @@ def score(spark, a) -> None:
 def evaluate(spark, a) -> None:
     scored = spark.read.parquet(a.scored)
     targets = [c.removeprefix("gt_") for c in scored.columns if c.startswith("gt_")]
-    results = metrics.evaluate_sites(scored, targets, batch=a.batch_size)
+    results = evaluation.evaluate(scored, targets, a.batch_size, order=a.order)
     # one row per site
     writers.write_csv(results.orderBy(F.col("site") == "TOTAL", "site"), a.output, single_file=True)
 
@@ -113,6 +113,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--max-samples", type=int)
     c = command("evaluate", evaluate, "scored", "output")
     c.add_argument("--batch-size", type=int, default=2048)
+    c.add_argument("--order", nargs="+", default=["id"], help="columns that order the samples of a site")
     c = command("report", report, "metrics", "output")
     c.add_argument("--decimals", type=int, default=4)
     c.add_argument("--nan-token", default="--")

@@ -27,6 +27,23 @@ def batch_losses(scored: DataFrame, targets: Sequence[str], batch: int, site: st
         F.sum(F.col("loss") * F.col("__n")).alias("total_loss"))
 
 
+def evaluate(scored: DataFrame, targets: Sequence[str], batch: int = 2048, site: str = "site",
+             order: Sequence[str] = ("id",), digits: int = 4) -> DataFrame:
+    """Per-site metrics and TOTAL with the loss as a training run reports it:
+    the mean over batches of the summed per-target errors, weighted by samples."""
+    results = metrics.evaluate_sites(scored, targets, site, digits=digits).drop("avg_loss", "num_batches")
+    losses = batch_losses(scored, targets, batch, site, order)
+    # both sides have one row per site
+    summed = losses.rollup(site).agg(
+        F.grouping(site).alias("__total"), F.sum("num_batches").alias("num_batches"),
+        F.bround(F.try_divide(F.sum("total_loss"), F.sum("num_samples")), digits).alias("avg_loss"))
+    named = summed.select(F.when(F.col("__total") == 1, "TOTAL").otherwise(F.col(site).cast("string")).alias(site),
+                          "num_batches", "avg_loss")
+    joined = keyed_join(results, named, [site], "inner")
+    return joined.select(site, "igbp", "num_batches", "num_samples", "avg_loss",
+                         *[c for c in results.columns if c.startswith(("rmse_", "nse_"))])
+
+
 def report(results: DataFrame, earlier: DataFrame, digits: int = 4, missing: str = "--",
            names: Sequence[str] = ("Model A", "Model B", "Current")) -> dict[str, str]:
     """The LaTeX tables: overall, RMSE by class, NSE by class, comparison."""

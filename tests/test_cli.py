@@ -43,11 +43,11 @@ def test_merge_and_report(spark, tmp_path, capsys):
     assert (kept["num_input_rows"], kept["num_output_rows"], kept["num_duplicate_coordinate_rows"], kept["num_shards"]) == ("3", "2", "2", "2")
 
     scored = str(tmp_path / "scored")
-    spark.createDataFrame([("a", "ENF", 1.0, 2.0), ("a", "ENF", 3.0, 3.0), ("b", "CRO", 1.0, 1.0)],
-                          "site string, igbp string, pred_NEE double, gt_NEE double").write.parquet(scored)
+    spark.createDataFrame([(1, "a", "ENF", 1.0, 2.0), (2, "a", "ENF", 3.0, 3.0), (3, "b", "CRO", 1.0, 1.0)],
+                          "id long, site string, igbp string, pred_NEE double, gt_NEE double").write.parquet(scored)
     main(["evaluate", "--scored", scored, "--output", str(tmp_path / "metrics"), "--batch-size", "2"])
-    assert lines(tmp_path / "metrics") == ["site,igbp,num_batches,num_samples,avg_loss,rmse_NEE,nse_NEE", "a,ENF,1,2,,0.7071,-1.0",
-                                           "b,CRO,1,1,,0.0,", "TOTAL,,2,3,,0.5774,0.5"]
+    assert lines(tmp_path / "metrics") == ["site,igbp,num_batches,num_samples,avg_loss,rmse_NEE,nse_NEE", "a,ENF,1,2,0.5,0.7071,-1.0",
+                                           "b,CRO,1,1,0.0,0.0,", "TOTAL,,2,3,0.3333,0.5774,0.5"]
     main(["report", "--metrics", str(tmp_path / "metrics"), "--output", "-"])
     assert "ENF & 2.8141" in capsys.readouterr().out
 
