@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fluxframe.functions import scalars
 from fluxframe.operators import dims, layout, merge, metrics, network, spatial
 from fluxframe.plans import evaluation, scoring
-from fluxframe.session import build_session
+from fluxframe.session import build_session, settle
 from fluxframe.sources import shards, tables, writers
 
 
@@ -58,7 +58,7 @@ def merge_shards(spark, a) -> None:
         writers.write_csv(kept.select(*columns), a.output)
         return
     numbers = merge.require_coordinates(merge.numeric_output(rows))
-    unique = merge.resolve_duplicates(numbers, merge.COORDINATES, a.duplicates, shards.POSITION)
+    unique = settle(merge.resolve_duplicates(numbers, merge.COORDINATES, a.duplicates, shards.POSITION))
     variables = [c for c in columns if c.startswith(("pred_", "gt_"))]
     attributes = merge.cube_attributes(numbers, unique, len(set(rows.inputFiles())), a.duplicates)
     writers.write_cube(merge.dense_cube(unique, variables), attributes, a.output)

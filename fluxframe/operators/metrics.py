@@ -142,11 +142,11 @@ def mark_winners(compared: DataFrame, digits: int = 4, missing: str = "--", labe
 
 
 def masked_mse(scored: DataFrame, targets: Sequence[str], truth: str = "gt_", predicted: str = "pred_",
-               keys: Sequence[str] = ()) -> DataFrame:
+               keys: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
     """Mean squared error per target over present truths (0 if none), and their sum."""
     per = [F.coalesce(F.avg(F.when(~F.isnan(truth + t), F.pow(F.col(predicted + t) - F.col(truth + t), 2))),
                       F.lit(0.0)).alias(f"mse_{t}") for t in targets]
-    table = scored.groupBy(*keys).agg(*per)
+    table = scored.groupBy(*keys).agg(*per, *extra)
     return table.withColumn("loss", sum((F.col(f"mse_{t}") for t in targets), F.lit(0.0)))
 
 

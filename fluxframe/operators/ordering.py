@@ -30,16 +30,16 @@ def dense_order(df: DataFrame, order: Sequence[str | Column], name: str, start:
     """
     placed = settle(df.repartitionByRange(*order).sortWithinPartitions(*order)
                     .withColumn(PLACE, F.monotonically_increasing_id()))
+    # one number per slice, so no more than the shuffle has partitions
     slice_no = F.shiftright(PLACE, 33)
-    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per slice, so no more rows than the shuffle has partitions
-    shift = (placed.groupBy(slice_no.alias("__slice")).agg(F.count("*").alias("__n"))
-             .select("__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift")))
-    position = F.col("__shift") + F.col(PLACE).bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(start)
-    return (placed.withColumn("__slice", slice_no)
-            .join(F.broadcast(shift), "__slice")
-            .withColumn(name, position)
-            .drop("__slice", "__shift", PLACE))
+    sizes = {r["slice"]: r["count"] for r in placed.groupBy(slice_no.alias("slice")).count().collect()}
+    shifts = [start]
+    for n in range(max(sizes, default=0)):
+        shifts.append(shifts[-1] + sizes.get(n, 0))
+    shift = F.element_at(F.array(*[F.lit(n).cast("long") for n in shifts]), (slice_no + 1).cast("int"))
+    in_slice = F.col(PLACE).bitwiseAND(F.lit((1 << 33) - 1))
+    # a projection of a written table: its size stays known to the optimiser
+    return placed.withColumn(name, shift + in_slice).drop(PLACE)
 
 
 def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",

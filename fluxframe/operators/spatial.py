@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fluxframe.functions import geo, text
 from fluxframe.operators.ordering import Hot, Limit, dense_order, find_hot, previous, running_sum
+from fluxframe.session import settle
 
 
 def axis_positions(df: DataFrame, column: str, out: str, descending: bool = False) -> DataFrame:
@@ -60,7 +61,8 @@ def land_or_coast(cells: DataFrame, share: str = "lsm", lat: str = "lat", lon: s
     not land, and a NaN, which Spark would call larger, is not either.
     """
     land = F.coalesce((F.col(share) > threshold) & ~F.isnan(share), F.lit(False))
-    placed = with_positions(cells.withColumn("land", land), {lat: "i", lon: "j"})
+    # read four times below, so worked out once
+    placed = with_positions(settle(cells.withColumn("land", land)), {lat: "i", lon: "j"})
     counted = neighbour_count(placed, "land")
     return counted.where(F.col("land") | (F.col("neighbours") > 0))
 

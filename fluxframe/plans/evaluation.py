@@ -19,10 +19,8 @@ def batch_losses(scored: DataFrame, targets: Sequence[str], batch: int, site: st
     """
     counted = running_count(scored, [site], order, "__rn")
     batched = counted.withColumn("__batch", F.floor((F.col("__rn") - 1) / batch))
-    losses = metrics.masked_mse(batched, targets, keys=[site, "__batch"])
-    sizes = batched.groupBy(site, "__batch").agg(F.count("*").alias("__n"))
-    joined = keyed_join(losses, sizes, [site, "__batch"], "inner")
-    return joined.groupBy(site).agg(
+    losses = metrics.masked_mse(batched, targets, keys=[site, "__batch"], extra=[F.count("*").alias("__n")])
+    return losses.groupBy(site).agg(
         F.count("*").alias("num_batches"), F.sum("__n").alias("num_samples"),
         F.sum(F.col("loss") * F.col("__n")).alias("total_loss"))
 

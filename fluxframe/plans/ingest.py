@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from fluxframe import schema, vocab
 from fluxframe.functions import geo, scalars, text
 from fluxframe.operators import dims, spatial
+from fluxframe.session import settle
 
 
 @dataclass(frozen=True)
@@ -39,13 +40,15 @@ def build_dataset(raw: DataFrame, mask: DataFrame, cover: DataFrame, cover_frame
     ``cover`` row, col, code. Everything about places is worked out once per
     distinct coordinate, then joined to the hourly rows.
     """
-    places = raw.select("lat", "lon").distinct()
+    # one row per coordinate, written once: the raw rows are not read again for
+    # it, and its known size lets Spark broadcast it to them
+    places = settle(raw.select("lat", "lon").distinct())
     shares = land_share(mask, mask_origin, mask_step, mask_size, places)
     kept = spatial.land_or_coast(shares).select("lat", "lon")
     coded = spatial.sample_raster(kept, cover.select("row", "col", "code"), "lat", "lon",
                                   cover_frame.west, cover_frame.north, cover_frame.step,
                                   cover_frame.rows, cover_frame.cols, nearest_centre=True)
-    classed = coded.select("lat", "lon", text.class_of_code(F.col("code"), at_ingest=True).alias("igbp"))
+    classed = settle(coded.select("lat", "lon", text.class_of_code(F.col("code"), at_ingest=True).alias("igbp")))
 
     found = schema.present(raw, vocab.PREDICTORS)
     rows = raw.join(classed, ["lat", "lon"])

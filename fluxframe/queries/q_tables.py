@@ -8,6 +8,7 @@ from fluxframe.functions import text
 from fluxframe.functions.geo import cell_key
 from fluxframe.operators import dims, merge, spatial
 from fluxframe.queries.registry import ON_THE_MAP, customers_on_the_map, events, query, rounded
+from fluxframe.session import settle
 from fluxframe.sources.rasters import pair_files
 from fluxframe.sources.tables import latest_checkpoint, table
 
@@ -278,11 +279,12 @@ _GRID_ROWS = """(select cast(strftime(o_orderdate, '%Y%m01') as bigint) as times
 
 
 def _grid_rows(spark, folder):
-    return table(spark, folder, "orders").groupBy(
+    # the axes and the cells are read from it separately
+    return settle(table(spark, folder, "orders").groupBy(
         F.date_format("o_orderdate", "yyyyMM'01'").cast("long").alias("timestamp"),
         F.substring("o_orderpriority", 1, 1).cast("double").alias("lat"),
         (F.col("o_custkey") % 40).cast("double").alias("lon")).agg(
-        F.avg("o_totalprice").alias("price"), F.count("*").cast("double").alias("n"))
+        F.avg("o_totalprice").alias("price"), F.count("*").cast("double").alias("n")))
 
 
 @query(f"""
