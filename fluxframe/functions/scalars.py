@@ -65,7 +65,15 @@ def int_to_date(ts_int: Column) -> Column:
 def asset_date(name: Column) -> Column:
     """Date of an asset called ``.../YYYY_MM_DD``; malformed names give NULL."""
     leaf = F.element_at(F.split(name, "/"), -1)
-    return F.try_to_timestamp(F.replace(leaf, F.lit("_"), F.lit("-")), F.lit("yyyy-MM-dd")).cast("date")
+    dashed = F.when(leaf.rlike(r"^\d{4}_\d{2}_\d{2}$"), F.replace(leaf, F.lit("_"), F.lit("-")))
+    return dashed.try_cast("date")
+
+
+def digits_to_timestamp(digits: Column) -> Column:
+    """8 or 14 digits -> timestamp without zone; anything else, or no date, is NULL."""
+    day = F.regexp_replace(digits, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    spaced = F.regexp_replace(day, r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6")
+    return F.when(digits.rlike(r"^(\d{8}|\d{14})$"), spaced).try_cast("timestamp_ntz")
 
 
 # Accepted date texts by shape; the first two are whole days.
@@ -91,7 +99,7 @@ def parse_bound_column(text: Column, is_end: bool) -> Column:
     trimmed = F.trim(text)
     digits = F.rpad(F.regexp_replace(trimmed, "[^0-9]", ""), 14, "0")
     shaped = trimmed.rlike("|".join(shape for shape, *_ in DATE_SHAPES))
-    valid = F.try_to_timestamp(F.when(shaped, digits), F.lit("yyyyMMddHHmmss")).isNotNull()
+    valid = digits_to_timestamp(F.when(shaped, digits)).isNotNull()
     number = digits.cast("long")
     if is_end:
         whole_day = trimmed.rlike("|".join(shape for shape, *_, whole in DATE_SHAPES if whole))
@@ -136,12 +144,11 @@ def whole_column_timestamp(df: DataFrame, column: str) -> DataFrame:
     Only the one-row verdict reaches the driver.
     """
     text = F.col(column).cast("string")
-    for digits, pattern in ((14, "yyyyMMddHHmmss"), (8, "yyyyMMdd")):
-        parsed = F.try_to_timestamp(text, F.lit(pattern))
-        good = (F.length(text) == digits) & parsed.isNotNull()
-        if df.agg(F.bool_and(good)).first()[0]:
-            return df.withColumn(column, parsed.cast("timestamp_ntz"))
-    return df
+    parsed = digits_to_timestamp(text)
+    verdict = df.agg(F.min(F.length(text)).alias("short"), F.max(F.length(text)).alias("long"),
+                     F.bool_and(parsed.isNotNull()).alias("valid")).first()
+    fits = verdict.valid and verdict.short == verdict.long
+    return df.withColumn(column, parsed) if fits else df
 
 
 def clean_target(col: Column, limit: float = vocab.TARGET_LIMIT) -> Column:

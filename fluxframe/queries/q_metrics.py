@@ -27,11 +27,11 @@ def scored_lines(spark, folder):
 
 
 @query(f"""
-select site, round(sum((p - y) * (p - y)), 3) as sse_NEE, count(y) as n_NEE, round(sum(y), 4) as sy_NEE,
+select site, round(sum((p - y) * (p - y)), 3) as sse_NEE, count(y) as n_NEE, round(sum(y), 5) as sy_NEE,
   round(sum(y * y), 3) as syy_NEE from {_SCORED} where true group by site""")
 def partial_sums_site(spark, folder):
     sums = metrics.partial_sums(scored_lines(spark, folder), ["site"], ["NEE"])
-    return rounded(rounded(sums, 3, "sse_NEE", "syy_NEE"), 4, "sy_NEE")
+    return rounded(rounded(sums, 3, "sse_NEE", "syy_NEE"), 5, "sy_NEE")
 
 
 def _closed(p: str, y: str) -> str:
@@ -84,6 +84,29 @@ def batch_losses(spark, folder):
     return rounded(evaluation.batch_losses(scored, ["NEE"], 32), 3, "total_loss")
 
 
+@query("""
+with b as (select user_id as site, event_id, value as p, case when event_type != 'error' then value * 0.8e0 + 3.0e0 end as y,
+  (row_number() over (partition by user_id order by event_id) - 1) // 32 as batch from events),
+l as (select site, batch, coalesce(avg(pow(p - y, 2)), 0) as loss, count(*) as n from b group by all),
+t as (select site, count(*) as num_batches, round_even(sum(loss * n) / sum(n), 4) as avg_loss from l group by grouping sets ((site), ())),
+m as (select b.site, count(*) as num_samples, round_even(sqrt(sum((p - y) * (p - y)) / count(y)), 4) as rmse_NEE
+      from b group by grouping sets ((b.site), ()))
+select coalesce(cast(m.site as varchar), 'TOTAL') as site, t.num_batches, m.num_samples, t.avg_loss, m.rmse_NEE
+from m join t on t.site is not distinct from m.site""")
+def site_evaluation(spark, folder):
+    scored = events(spark, folder).select(
+        F.col("user_id").cast("string").alias("site"), F.lit("X").alias("igbp"), F.col("event_id").alias("id"),
+        F.col("value").alias("pred_NEE"), F.when(F.col("event_type") != "error", F.col("value") * 0.8 + 3.0).alias("gt_NEE"))
+    return evaluation.evaluate(scored, ["NEE"], 32).drop("igbp", "nse_NEE")
+
+
+@query("""
+select l_suppkey as site, min(l_returnflag) as igbp, count(distinct l_returnflag) as classes from lineitem group by all""")
+def site_class_check(spark, folder):
+    lines = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("site"), F.col("l_returnflag").alias("igbp"))
+    return metrics.site_classes(lines)
+
+
 @query("""
 select round(sum(l_discount * l_quantity) / sum(l_quantity), 6) as avg_loss from lineitem""")
 def weighted_loss(spark, folder):

@@ -114,6 +114,13 @@ def nearest_cell(spark, folder):
     return both.select("coord_id", "inside", F.col("code").alias("nearest"))
 
 
+@query(f"""
+select lat, cast(lon as varchar) as lon, lsm from {_CELLS} where lon between 1 and 25""")
+def matrix_and_back(spark, folder):
+    wide = spatial.to_matrix(_cells(spark, folder), "lat", "lon", "lsm", range(1, 26))
+    return spatial.from_matrix(wide, "lat", "lon", "lsm")
+
+
 _MASK = """(select p_size - 1 as gx, cast(replace(p_brand, 'Brand#', '') as integer) - 1 as gy,
   avg(p_retailprice) as v from part group by all)"""
 

@@ -90,3 +90,15 @@ def test_balanced_shards(df, shards):
     assert sizes == {s: base + (s < extra) for s in range(shards) if base + (s < extra)}
     order = [r.shard for r in o.balanced_shards(df, ["i"], shards).orderBy("i").collect()]
     assert order == sorted(order)
+
+
+def test_no_task_gets_more_than_a_chunk(spark):
+    """A key with a third of the rows, most of them tied in the order."""
+    rows = [("hot" if n % 3 == 0 else f"k{n}", 0 if n % 9 else n, n) for n in range(3000)]
+    df = spark.createDataFrame(rows, "k string, t long, i long")
+    s = o.spread(df, ["k"], ["t"], reach=4, limit=100)
+    sizes = [r["count"] for r in s.rows.groupBy("k", o.CHUNK).count().collect()]
+    assert s.cut and max(sizes) <= 104
+    assert s.own(s.rows).count() == 3000
+    # the ranges the chunks were made from are balanced too
+    assert o.find_hot(df, ["k"], 100).table.count() == 1 and o.find_hot(df, ["k"], 1000).table is None

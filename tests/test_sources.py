@@ -165,6 +165,42 @@ def test_netcdf_names(spark):
     assert df.columns == ["lat", "lon", "elev", "TA"] and tuple(df.first()) == (1.0, 2.0, 3.0, None)
 
 
+def test_netcdf_reader(monkeypatch):
+    """The task side of the NetCDF source, with a stand-in for the package."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    class Data:
+        def __init__(self, steps):
+            self.steps, self.sizes = steps, {"valid_time": len(steps), "latitude": 2}
+            self.dims, self.data_vars = ["valid_time", "latitude"], ["TA"]
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def isel(self, where):
+            return Data(self.steps[where["valid_time"]])
+
+        def to_dataframe(self):
+            index = pd.MultiIndex.from_product([pd.to_datetime(self.steps), [1.0, 2.0]], names=self.dims)
+            return pd.DataFrame({"TA": range(len(index))}, index=index).astype(float)
+
+    package = types.ModuleType("xarray")
+    package.open_dataset = lambda path: Data(["2017-06-01 00:00", "2017-06-01 01:00", "2017-06-01 02:00"])
+    monkeypatch.setitem(sys.modules, "xarray", package)
+    source = netcdf.NetcdfSource({"path": "a.nc,b.nc", "steps": "2"})
+    layout_ = source.schema()
+    assert layout_.simpleString() == "struct<valid_time:timestamp_ntz,latitude:double,TA:double>"
+    reader = source.reader(layout_)
+    parts = reader.partitions()
+    assert [(p.path, p.first, p.stop) for p in parts] == [("a.nc", 0, 2), ("a.nc", 2, 3), ("b.nc", 0, 2), ("b.nc", 2, 3)]
+    read = [r for batch in reader.read(parts[1]) for r in batch.to_pylist()]
+    assert [(r["valid_time"].hour, r["latitude"], r["TA"]) for r in read] == [(2, 1.0, 0.0), (2, 2.0, 1.0)]
+
+
 def test_outlines(spark, tmp_path):
     path = tmp_path / "land.json"
     path.write_text("""{"type": "FeatureCollection", "features": [
