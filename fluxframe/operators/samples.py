@@ -70,6 +70,7 @@ def over_id_range(facts: DataFrame, key: str, row_id: str, length: int, values:
     Ids are unique, so no task holds more than ``block + length`` rows of a key
     however many rows the key has.
     """
+    block = max(block, length)
     home = F.floor(F.col(row_id) / block)
     furthest = F.floor((F.col(row_id) + length - 1) / block)
     blocks = facts.withColumn("__block", F.explode(F.sequence(home, furthest)))

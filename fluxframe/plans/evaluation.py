@@ -28,7 +28,11 @@ def batch_losses(scored: DataFrame, targets: Sequence[str], batch: int, site: st
 def evaluate(scored: DataFrame, targets: Sequence[str], batch: int = 2048, site: str = "site",
              order: Sequence[str] = ("id",), digits: int = 4) -> DataFrame:
     """Per-site metrics and TOTAL with the loss as a training run reports it:
-    the mean over batches of the summed per-target errors, weighted by samples."""
+    the mean over batches of the summed per-target errors, weighted by samples.
+
+    ``scored`` is read more than once, so it should be a stored table and not
+    the network's output as it comes.
+    """
     results = metrics.evaluate_sites(scored, targets, site, digits=digits).drop("avg_loss", "num_batches")
     losses = batch_losses(scored, targets, batch, site, order)
     # both sides have one row per site

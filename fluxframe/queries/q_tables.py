@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fluxframe.functions import text
 from fluxframe.functions.geo import cell_key
 from fluxframe.operators import dims, merge, spatial
+from fluxframe.operators.ordering import dense_order
 from fluxframe.queries.registry import ON_THE_MAP, customers_on_the_map, events, query, rounded
 from fluxframe.session import settle
 from fluxframe.sources.rasters import pair_files
@@ -389,17 +390,15 @@ def best_checkpoint(spark, folder):
 
 
 @query("""
-select n_name, c.label as igbp, row_number() over (order by c.pos, c.label, n_name) as place from nation join (
+select c_custkey, c.label as igbp, row_number() over (order by c.pos, c.label, c_custkey) as place from customer join (
   values ('ENF', 1), ('URB', 13), ('ZZZ', 99), ('MF', 5), ('AAA', 99)) c(label, pos)
-  on c.label = case n_nationkey % 5 when 0 then 'ENF' when 1 then 'URB' when 2 then 'ZZZ' when 3 then 'MF' else 'AAA' end""")
+  on c.label = case c_nationkey % 5 when 0 then 'ENF' when 1 then 'URB' when 2 then 'ZZZ' when 3 then 'MF' else 'AAA' end""")
 def category_order(spark, folder):
-    from fluxframe.operators.ordering import dense_order
-
-    key = F.col("n_nationkey") % 5
+    key = F.col("c_nationkey") % 5
     label = (F.when(key == 0, "ENF").when(key == 1, "URB").when(key == 2, "ZZZ").when(key == 3, "MF").otherwise("AAA"))
-    named = table(spark, folder, "nation").select("n_name", label.alias("igbp"))
+    named = table(spark, folder, "customer").select("c_custkey", label.alias("igbp"))
     placed = named.withColumn("pos", text.legend_position(F.col("igbp")))
-    return dense_order(placed, ["pos", "igbp", "n_name"], "place", start=1).drop("pos")
+    return dense_order(placed, ["pos", "igbp", "c_custkey"], "place", start=1).drop("pos")
 
 
 @query("""

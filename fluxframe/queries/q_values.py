@@ -303,14 +303,14 @@ def degree_labels(spark, folder):
 
 
 @query("""
-select n_nationkey, printf('rank_%05d.csv', n_nationkey) as shard, strftime(date '2017-06-01' + n_nationkey, '%Y%m%d')
-  || '1200A4.tiff' as raster, list_distinct(['A', upper(trim(n_name)), 'B']) is not null as ok from nation""")
+select c_custkey, printf('rank_%05d.csv', c_custkey) as shard, strftime(date '2017-06-01' + cast(c_custkey % 900 as integer), '%Y%m%d')
+  || '1200A4.tiff' as raster, len(list_distinct(['BUILDING', upper(trim(c_mktsegment)), 'MACHINERY'])) as names from customer""")
 def file_names(spark, folder):
-    day = F.date_add(F.lit("2017-06-01").cast("date"), F.col("n_nationkey"))
-    names = text.upper_unique(F.array(F.lit("a"), F.col("n_name"), F.lit(" b ")))
-    return table(spark, folder, "nation").select(
-        "n_nationkey", text.shard_name(F.col("n_nationkey")).alias("shard"),
-        text.raster_name(day, F.lit("A4")).alias("raster"), names.isNotNull().alias("ok"))
+    day = F.date_add(F.lit("2017-06-01").cast("date"), (F.col("c_custkey") % 900).cast("int"))
+    names = text.upper_unique(F.array(F.lit("Building"), F.col("c_mktsegment"), F.lit(" machinery ")))
+    return table(spark, folder, "customer").select(
+        "c_custkey", text.shard_name(F.col("c_custkey")).alias("shard"),
+        text.raster_name(day, F.lit("A4")).alias("raster"), F.size(names).cast("long").alias("names"))
 
 
 _LEGEND = ", ".join(f"('{c}', '{colour}', '{name}')" for c, colour, name in vocab.LEGEND)

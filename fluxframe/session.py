@@ -29,6 +29,8 @@ def build_session(app: str = "fluxframe", master: str | None = None,
         # a dimension of every land cell on the globe still fits
         .config("spark.sql.autoBroadcastJoinThreshold", "64m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # a scored row is a window and an image, some ten kilobytes
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     )
     if master:
         builder = (builder.master(master)
