@@ -68,7 +68,7 @@ def relabel(spark, a) -> None:
     west, north, step, rows, cols = a.frame
     plan = dims.relabel(spark.read.parquet(a.dim), spark.read.parquet(a.cover), west, north, step, int(rows), int(cols),
                         a.only_null)
-    dims.top_transitions(plan.where("in_scope"), "igbp", "new_label").show(20, False)
+    dims.top_transitions(plan.where("sampled"), "igbp", "new_label").show(20, False)
     if a.write:
         dims.apply_labels(plan).write.mode("overwrite").parquet(a.write)
 

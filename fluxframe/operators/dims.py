@@ -34,7 +34,7 @@ def relabel(dim: DataFrame, raster: DataFrame, west: float, north: float, step:
     """Plan new land-cover labels from the raster pixel each location falls in.
 
     Adds ``new_label`` (the old one where the location has no coordinates),
-    ``in_scope`` and ``changed``.
+    ``in_scope``, ``sampled`` (in scope and with coordinates) and ``changed``.
     """
     known = F.col(lat).isNotNull() & F.col(lon).isNotNull()
     # the raster runs southwards, so rows count down from its north edge
@@ -44,14 +44,14 @@ def relabel(dim: DataFrame, raster: DataFrame, west: float, north: float, step:
     coded = placed.join(raster.select("row", "col", "code"), ["row", "col"], "left")
     in_scope = F.col(label).isNull() if only_missing else F.lit(True)
     fresh = F.when(known, text.class_of_code(F.col("code"), at_ingest=False)).otherwise(F.col(label))
-    return (coded.withColumns({"in_scope": in_scope, "new_label": fresh})
-            .withColumn("changed", F.col("in_scope") & known & ~F.col(label).eqNullSafe(F.col("new_label")))
+    return (coded.withColumns({"in_scope": in_scope, "sampled": in_scope & known, "new_label": fresh})
+            .withColumn("changed", F.col("sampled") & ~F.col(label).eqNullSafe(F.col("new_label")))
             .drop("row", "col", "code"))
 
 
 def apply_labels(plan: DataFrame, label: str = "igbp") -> DataFrame:
     updated = F.when(F.col("changed"), F.col("new_label")).otherwise(F.col(label))
-    return plan.withColumn(label, updated).drop("in_scope", "new_label", "changed")
+    return plan.withColumn(label, updated).drop("in_scope", "sampled", "new_label", "changed")
 
 
 def label_counts(plan: DataFrame, label: str = "igbp", new: str = "new_label") -> DataFrame:
@@ -65,7 +65,10 @@ def label_counts(plan: DataFrame, label: str = "igbp", new: str = "new_label") -
 
 
 def top_transitions(plan: DataFrame, old: str, new: str, k: int = 20) -> DataFrame:
-    """The k largest (old, new) pairs, then without those that did not change."""
+    """The k largest (old, new) pairs, then without those that did not change.
+
+    Pairs that did not change do count among the k.
+    """
     counted = (plan.groupBy(F.coalesce(old, F.lit(vocab.MISSING_CLASS)).alias("old_label"),
                             F.coalesce(new, F.lit(vocab.MISSING_CLASS)).alias("new_label"))
                .agg(F.count("*").alias("n")))

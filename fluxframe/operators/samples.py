@@ -31,7 +31,7 @@ def without_classes(facts: DataFrame, dim: DataFrame, classes: Sequence[str], ke
     """
     if not classes:
         return facts
-    excluded = dim.where(F.upper(label).isin(*[c.strip().upper() for c in classes])).select(key)
+    excluded = dim.where(F.col(label).isin(*[c.strip().upper() for c in classes])).select(key)
     return facts.join(excluded, key, "left_anti")
 
 

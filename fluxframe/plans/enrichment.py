@@ -16,7 +16,7 @@ def relabel_dimension(dim: DataFrame, cover: DataFrame, frame: ingest.RasterFram
                       only_missing: bool = False) -> tuple[DataFrame, DataFrame]:
     """(new dimension, largest transitions)."""
     plan = dims.relabel(dim, cover, frame.west, frame.north, frame.step, frame.rows, frame.cols, only_missing)
-    return dims.apply_labels(plan), dims.top_transitions(plan.where("in_scope"), "igbp", "new_label")
+    return dims.apply_labels(plan), dims.top_transitions(plan.where("sampled"), "igbp", "new_label")
 
 
 def enrich(facts: DataFrame, dim: DataFrame, cover: DataFrame, frame: ingest.RasterFrame, cells: DataFrame,

@@ -37,6 +37,15 @@ def load_config(path: str | Path, defaults: dict | None = None, overrides: dict
     return {**(defaults or {}), **loaded, **given}
 
 
+def find_config(run: str | Path, explicit: str | Path | None = None) -> Path:
+    """The given file, else ``config.yml`` in the run folder or beside it."""
+    run = Path(run)
+    for candidate in [Path(explicit)] if explicit else [run / "config.yml", run.parent / "config.yml"]:
+        if candidate.exists():
+            return candidate
+    raise FileNotFoundError(f"no configuration for {run}")
+
+
 def latest_checkpoint(files: DataFrame, path: str = "path") -> DataFrame:
     """``last.pth`` where there is one, else the highest ``checkpoint-<n>.pth``."""
     leaf = F.element_at(F.split(path, "/"), -1)

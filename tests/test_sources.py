@@ -9,7 +9,7 @@ import types
 import pytest
 from pyspark.sql import functions as F
 
-from fluxframe import schema
+from fluxframe import schema, session
 from fluxframe.operators import layout, merge, spatial
 from fluxframe.plans import image_store
 from fluxframe.sources import netcdf, rasters, shards, sqlite, tables, writers
@@ -220,6 +220,26 @@ def test_configuration(spark, tmp_path):
     path.write_text("- 1\n")
     with pytest.raises(ValueError):
         tables.load_config(path)
+    run = tmp_path / "run"
+    run.mkdir()
+    with pytest.raises(FileNotFoundError):
+        tables.find_config(run)
+    (tmp_path / "config.yml").write_text("")
+    assert tables.find_config(run) == tmp_path / "config.yml"
+    (run / "config.yml").write_text("")
+    assert tables.find_config(run) == run / "config.yml" and tables.find_config(run, path) == path
+    with pytest.raises(FileNotFoundError):
+        tables.find_config(run, tmp_path / "absent.yml")
+
+
+def test_scratch_folder(spark):
+    assert session.scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
+    cluster = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None),
+                                    sparkContext=types.SimpleNamespace(master="yarn"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_root(cluster)
+    cluster.conf.get = lambda *_: "hdfs:///shared"
+    assert session.scratch_root(cluster) == "hdfs:///shared"
 
 
 def test_checkpoints(spark):

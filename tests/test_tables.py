@@ -98,6 +98,7 @@ def test_relabel(spark):
     plan = dims.relabel(dim, raster, 0.0, 10.0, 5.0, 4, 4)
     got = {r.coord_id: (r.new_label, r.changed) for r in plan.collect()}
     assert got == {1: ("WAT", False), 2: ("WAT", True), 3: ("ENF", False), 4: ("SNO", True)}
+    assert rows(dims.top_transitions(plan.where("sampled"), "igbp", "new_label")) == [("ENF", "SNO", 1), ("NULL", "WAT", 1)]
     assert rows(dims.label_counts(plan)) == [("new", "ENF", 1), ("new", "SNO", 1), ("new", "WAT", 2),
                                              ("old", "ENF", 2), ("old", "NULL", 1), ("old", "WAT", 1)]
     applied = dims.apply_labels(dims.relabel(dim, raster, 0.0, 10.0, 5.0, 4, 4, only_missing=True))
