@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxframe.llm import compression, packing, sharding
+from fluxframe.llm import bpe, compression, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +42,21 @@ def op2_packing(spark, folder):
     return packing.pack(read(spark, folder, "documents"), *byte_bpe())
 
 
+def word_bpe() -> str:
+    """The vocabulary file of the public lower-casing word tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op6_pair_index_bpe(spark, folder):
+    ids = bpe.encode(read(spark, folder, "documents"), word_bpe()).withColumn("ids_sha256", F.sha2("ids", 256))
+    texts = bpe.decode(ids, word_bpe())
+    return texts.select("doc_id", "n_tokens", "ids_sha256",
+                        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 TREE = sharding.layout(16)
 WIDER = sharding.grown(TREE)
 
