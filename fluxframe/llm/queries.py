@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxframe.llm import bpe, compression, packing, sharding
+from fluxframe.llm import bpe, compression, jaccard, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,3 +64,8 @@ WIDER = sharding.grown(TREE)
 @query()
 def op7_weighted_tree(spark, folder):
     return sharding.shard_documents(read(spark, folder, "documents"), TREE, WIDER)
+
+
+@query()
+def op9_set_relations(spark, folder):
+    return jaccard.components(read(spark, folder, "documents"))
