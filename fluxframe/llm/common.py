@@ -46,3 +46,9 @@ def held_out(column: str) -> Column:
 def documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns operators read, under fixed names; whatever else is there is left behind."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def with_row(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``documents`` and ``row``, a struct of all columns, whatever their names."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

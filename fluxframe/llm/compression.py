@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fluxframe.llm.common import by_bytes, documents
+from fluxframe.llm.common import by_bytes, documents, with_row
 
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -102,9 +102,11 @@ def compression(text: str | None, rules: Rules, compressor) -> tuple[int, float
     return len(raw), ratio, chunks, below, above, verdict
 
 
-def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def judge(docs: DataFrame, rules: Rules = Rules(), carry: bool = False) -> DataFrame:
     """One row per document: counts, ratios, ``base_failed``, ``kept`` and the method's ``verdict``.
 
+    ``carry`` adds ``row``, a struct of all columns of ``docs``.
+
     NULL and empty texts have no words and fail the base; their ratio is NULL.
     Copies get equal rows. An empty table gives no rows.
     """
@@ -122,7 +124,11 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 found = compression(text, rules, compressor)
                 rows.append((doc, *counts, failed, not failed and found[-1] == "kept", *found))
             kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.int64(), pa.float64()] + [pa.int64()] * 3 + [pa.string()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                [*columns, batch.column("row")] if carry else columns, [*names, "row"] if carry else names)
 
-    return documents(docs).mapInArrow(judged, SCHEMA)
+    if not carry:
+        return documents(docs).mapInArrow(judged, SCHEMA)
+    whole = with_row(docs)
+    return whole.mapInArrow(judged, f"{SCHEMA}, row {whole.schema['row'].dataType.simpleString()}")

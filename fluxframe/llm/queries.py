@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxframe.llm import bpe, compression, jaccard, packing, sharding
+from fluxframe.llm import (
+    bpe, compression, factorisation, hnsw, jaccard, language, licences, lm, packing, sharding,
+)
+from fluxframe.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +45,22 @@ def op2_packing(spark, folder):
     return packing.pack(read(spark, folder, "documents"), *byte_bpe())
 
 
+@query()
+def op3_factorisation_machine(spark, folder):
+    docs = read(spark, folder, "documents")
+    return factorisation.score(docs, factorisation.fit(docs, read(spark, folder, "labels")))
+
+
+@query()
+def op4_small_world_shards(spark, folder):
+    return hnsw.nearest(read(spark, folder, "embeddings"))
+
+
+@query(licences.scan_sql())
+def op5_license_digests(spark, folder):
+    return licences.scan(read(spark, folder, "documents"), licences.digests(spark))
+
+
 def word_bpe() -> str:
     """The vocabulary file of the public lower-casing word tokenizer."""
     import public_tokenizers
@@ -66,6 +85,20 @@ def op7_weighted_tree(spark, folder):
     return sharding.shard_documents(read(spark, folder, "documents"), TREE, WIDER)
 
 
+@query()
+def op8_word_backoff(spark, folder):
+    docs = read(spark, folder, "documents")
+    found = language.predict(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op9_set_relations(spark, folder):
     return jaccard.components(read(spark, folder, "documents"))
+
+
+@query()
+def op10_cross_entropy_difference(spark, folder):
+    """The target are the documents labelled good and not toxic, the background is the whole corpus."""
+    good = read(spark, folder, "labels").where("quality = 1 and coalesce(toxic, 0) = 0")
+    return lm.cross_entropy_difference(read(spark, folder, "documents"), good)
