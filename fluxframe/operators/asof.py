@@ -35,26 +35,57 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
                     *[F.col(f"__match.{n}").alias(n) for n in payload]))
 
 
-def latest_image(rows: DataFrame, images: DataFrame, since=None, limit: Limit = None) -> DataFrame:
-    """Attach the latest image of the row's location, or NULL if there is none.
+def with_image_date(rows: DataFrame, images: DataFrame, limit: Limit = None) -> DataFrame:
+    """Attach ``image_date``, the date of the location's latest image, or NULL.
 
-    Only image dates take part in the sort; the tensors are joined at the end,
-    and only to rows not before ``since`` where that is given.
+    Only dates take part in the sort; what follows on the same location needs no
+    new shuffle.
     """
     dates = images.select("coord_id", "modis_date")
     dated = rows.withColumn("__date", int_to_date(F.col("timestamp")))
-    matched = asof_backward(dated, dates, ["coord_id"], "__date", "modis_date",
-                            {"image_date": "modis_date"}, limit=limit).drop("__date")
-    if since is not None:
-        matched = matched.withColumn(
-            "image_date", F.when(F.col("timestamp") >= F.lit(since), F.col("image_date")))
-    # rows without an image match nothing; spread them instead of piling them up
+    return asof_backward(dated, dates, ["coord_id"], "__date", "modis_date",
+                         {"image_date": "modis_date"}, limit=limit).drop("__date")
+
+
+def with_tensor(rows: DataFrame, images: DataFrame) -> DataFrame:
+    """Attach the tensor of ``image_date`` as ``data``.
+
+    Where the session lets joins use part of their keys, rows distributed by
+    location stay where they are and the tensors come to them. Rows without an
+    image match nothing; they are spread by time instead of piling up.
+    """
     nowhere = -1 - F.pmod(F.xxhash64("timestamp"), F.lit(1_000_000)).cast("int")
-    keyed = matched.withColumn("__at", F.coalesce("image_date", nowhere))
+    keyed = rows.withColumn("__at", F.coalesce("image_date", nowhere))
     tensors = images.select("coord_id", F.col("modis_date").alias("__at"), "data")
     return keyed.join(tensors, ["coord_id", "__at"], "left").drop("__at")
 
 
+def with_tensors(rows: DataFrame, images: DataFrame) -> DataFrame:
+    """Attach the tensors of all ``image_dates`` as ``images``, in their order.
+
+    Dates are looked up one by one and put together again by row id.
+    """
+    asked = rows.select("id", "coord_id", F.posexplode("image_dates").alias("__n", "__at"))
+    tensors = images.select("coord_id", F.col("modis_date").alias("__at"), "data")
+    found = asked.join(tensors, ["coord_id", "__at"]).groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("__n", "data"))).alias("__found"))
+    none = F.array().cast(found.select(F.col("__found.data")).schema[0].dataType)
+    joined = rows.join(found, "id", "left")
+    return joined.withColumn("images", F.coalesce(F.col("__found.data"), none)).drop("__found")
+
+
+def latest_image(rows: DataFrame, images: DataFrame, since=None, limit: Limit = None) -> DataFrame:
+    """Attach the latest image of the row's location, or NULL if there is none.
+
+    With ``since`` only rows not before it get one.
+    """
+    matched = with_image_date(rows, images, limit=limit)
+    if since is not None:
+        matched = matched.withColumn(
+            "image_date", F.when(F.col("timestamp") >= F.lit(since), F.col("image_date")))
+    return with_tensor(matched, images)
+
+
 def distinct_images(facts: DataFrame, images: DataFrame, key: str, date: str, image_date: str,
                     order: Sequence[str], length: int, limit: Limit = None) -> DataFrame:
     """The different images in use over each trailing window, oldest first.

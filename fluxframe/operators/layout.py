@@ -6,14 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from fluxframe.operators.ordering import dense_order
+from fluxframe.operators.ordering import dense_order, row_hash
 
 
 def rebuild_ids(table: DataFrame, key: str = "coord_id", time: str = "timestamp", row_id: str = "id") -> DataFrame:
-    """New ids 1..n in (location, time, old id) order."""
-    order = [c for c in (key, time, row_id) if c in table.columns]
+    """Ids 1..n in (location, time, old id) order; a table without ids gets them as its first column.
+
+    Without old ids a hash of the row settles ties.
+    """
+    had_ids = row_id in table.columns
+    order = [*[c for c in (key, time) if c in table.columns], row_id if had_ids else row_hash(table)]
     fresh = dense_order(table, order, "__new_id", start=1)
-    return fresh.withColumn(row_id, F.col("__new_id")).select(*table.columns)
+    columns = table.columns if had_ids else [row_id, *table.columns]
+    return fresh.withColumn(row_id, F.col("__new_id")).select(*columns)
 
 
 def clustered(table: DataFrame, columns: Sequence[str] = ("coord_id", "timestamp", "id"),

@@ -11,15 +11,29 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from fluxframe.session import hot_key_rows, settle
 
 CHUNK, HALO, SEQ, PLACE = "__chunk", "__halo", "__seq", "__place"
 WHOLE = -1  # chunk number of keys that were not cut
-# A Spark default: above this, row_number() <= k is no longer limited before
-# the shuffle.
-GROUP_LIMIT = 1000
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row that settles ties in an order; rows that agree in it are equal.
+
+    Maps have no order of their own and are hashed as sorted entries, maps
+    inside other values as text.
+    """
+    def holds_map(kind: T.DataType) -> bool:
+        return "map<" in kind.simpleString()
+
+    def hashable(field: T.StructField) -> Column:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.MapType) and not holds_map(field.dataType.valueType):
+            return F.array_sort(F.map_entries(column))
+        return F.to_json(F.struct(column)) if holds_map(field.dataType) else column
+    return F.xxhash64(*[hashable(f) for f in df.schema.fields])
 
 
 def dense_order(df: DataFrame, order: Sequence[str | Column], name: str, start: int = 0) -> DataFrame:
@@ -83,16 +97,21 @@ def find_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> Ho
 
 @dataclass
 class Spread:
-    """Rows ready for windows; with CHUNK, HALO and SEQ where keys were cut."""
+    """Rows ready for windows; with CHUNK, HALO and SEQ where keys were cut.
+
+    Ties in the order are settled by ``tie`` in both cases, so that a result
+    never depends on whether its key was cut.
+    """
 
     rows: DataFrame
     keys: list[str]
     cut: bool
+    tie: Column
 
     def window(self, order):
         if not self.cut:
-            return Window.partitionBy(*self.keys).orderBy(*order)
-        # among ties, cut keys must follow the order they were cut in
+            return Window.partitionBy(*self.keys).orderBy(*order, self.tie)
+        # chunks were cut along the same order, tie included
         return Window.partitionBy(*self.keys, CHUNK).orderBy(*order, SEQ)
 
     def own(self, df: DataFrame) -> DataFrame:
@@ -107,21 +126,21 @@ def spread(df: DataFrame, keys: Sequence[str], order: Sequence[str], reach: int
     ``reach`` is how many preceding rows a frame looks back on.
     """
     keys = list(keys)
+    # the hash also lets a flood of rows that tie in the order be cut
+    tie = row_hash(df)
     hot = limit if isinstance(limit, Hot) else find_hot(df, keys, limit)
     if hot.table is None:
-        return Spread(df, keys, cut=False)
+        return Spread(df, keys, False, tie)
 
     helpers = {CHUNK: F.lit(WHOLE).cast("long"), HALO: F.lit(False), SEQ: F.lit(None).cast("long")}
     cold_rows = keyed_join(df, hot.table, keys, "left_anti").withColumns(helpers)
-    # the hash lets even a flood of rows that tie in the order be cut
-    tie = F.xxhash64(*df.columns)
     hot_rows = dense_order(keyed_join(df, hot.table, keys, "left_semi"), [*keys, *order, tie], SEQ)
     home = F.floor(F.col(SEQ) / hot.limit)
     furthest = F.floor((F.col(SEQ) + reach) / hot.limit)
     hot_rows = (hot_rows.withColumn(CHUNK, F.explode(F.sequence(home, furthest)))
                 .withColumn(HALO, F.col(CHUNK) != home))
     columns = [*df.columns, CHUNK, HALO, SEQ]
-    return Spread(cold_rows.select(*columns).unionByName(hot_rows.select(*columns)), keys, cut=True)
+    return Spread(cold_rows.select(*columns).unionByName(hot_rows.select(*columns)), keys, True, tie)
 
 
 def over_last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], length: int,
@@ -188,11 +207,13 @@ def nth_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
             limit: Limit = None) -> DataFrame:
     """The n-th row of every key that has one (keys and order columns only).
 
-    Up to 1000, Spark keeps the first n rows per key in each map task before it
-    shuffles, so a hot key costs no more than any other.
+    Up to a limit of its own, Spark keeps the first n rows per key in each map
+    task before it shuffles, so a hot key costs no more than any other; beyond
+    it the rows of a hot key are counted in chunks. Only keys and order come
+    back, so both ways return the same row whatever ties there are.
     """
     narrow = df.select(*keys, *order)
-    if n <= GROUP_LIMIT:
+    if n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
         w = Window.partitionBy(*keys).orderBy(*order)
         counted = narrow.withColumn("__rn", F.row_number().over(w))
     else:
@@ -205,8 +226,9 @@ def from_nth_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: in
     """Drop the first n-1 rows of every key.
 
     ``rows`` may be an already filtered ``df``; positions still count in ``df``.
-    Only the n-th row is looked up, so the table itself is neither sorted nor,
-    when there are few keys, shuffled.
+    Only the n-th row is looked up. For that, each map task sorts the keys and
+    order columns of its own rows; the table itself is not shuffled when there
+    are few keys.
     """
     rows = df if rows is None else rows
     gate = nth_row(df, keys, order, n, limit=limit).select(

@@ -15,7 +15,7 @@ from fluxframe import vocab
 from fluxframe.functions.arrays import first_or_empty
 from fluxframe.functions.scalars import clean_target, scale_static
 from fluxframe.functions.text import colour_files, infrared_files
-from fluxframe.operators.asof import latest_image
+from fluxframe.operators.asof import with_image_date, with_tensor, with_tensors
 from fluxframe.operators.ordering import (Hot, Limit, dense_order, find_hot, from_nth_row, keyed_join,
                                           nth_row, over_last_rows)
 
@@ -86,15 +86,25 @@ def site_frames(facts: DataFrame, length: int, fields: Sequence[str], out: str =
     return over_id_range(facts, "site", "id", length, {out: F.collect_list(item)})
 
 
+def one_per_row(images: DataFrame, row_id: str, payload: str, order: Sequence[str] = ()) -> DataFrame:
+    """``id`` and ``image``: one image for each row id, the first by ``order``.
+
+    Without an order the smallest payload counts, so that the choice is always
+    the same.
+    """
+    first = F.min_by(payload, F.struct(*order)) if order else F.min(payload)
+    return images.groupBy(F.col(row_id).alias("id")).agg(first.alias("image"))
+
+
 def first_image_in_window(facts: DataFrame, images: DataFrame, key: str, row_id: str, image_id: str,
-                          payload: str, length: int, out: str = "image") -> DataFrame:
+                          payload: str, length: int, out: str = "image", order: Sequence[str] = ()) -> DataFrame:
     """The oldest image among the rows of the id window.
 
     Images are matched to their own row first, by equality, so no range join
-    is needed.
+    is needed. Of several images on one row the first by ``order`` counts.
     """
-    pictured = keyed_join(facts, images.select(F.col(image_id).alias(row_id), F.col(payload).alias("__image")),
-                          [row_id])
+    single = one_per_row(images, image_id, payload, order)
+    pictured = keyed_join(facts, single.select(F.col("id").alias(row_id), F.col("image").alias("__image")), [row_id])
     return over_id_range(pictured, key, row_id, length,
                          {out: F.first("__image", ignorenulls=True)}).drop("__image")
 
@@ -187,16 +197,24 @@ def site_samples(facts: DataFrame, dim: DataFrame, length: int, predictors: Sequ
     rows = scaled_statics(dim_lookup(rows, dim, "site"))
 
     values = {"frame": F.collect_list(F.struct("id", "timestamp", *predictors, *targets))}
-    if images is not None:
-        rows = rows.join(images.select(F.col("row_id").alias("id"), F.col("data").alias("__img")), "id", "left")
-        values["images"] = (F.first("__img", ignorenulls=True) if single_image
-                            else F.collect_list("__img"))
+    if images is not None and single_image:
+        single = one_per_row(images, "row_id", "data", [c for c in ("modis_id",) if c in images.columns])
+        rows = rows.join(single.withColumnRenamed("image", "__img"), "id", "left")
+        values["images"] = F.first("__img", ignorenulls=True)
+    elif images is not None:
+        order = ["modis_id"] if "modis_id" in images.columns else ["data"]
+        item = F.struct(*[F.col(c).alias(f"__{n}") for n, c in enumerate(order)], F.col("data").alias("__data"))
+        several = images.groupBy(F.col("row_id").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("__several"))
+        rows = rows.join(several.select("id", F.col("__several.__data").alias("__img")), "id", "left")
+        values["images"] = F.collect_list("__img")
     if photos is not None:
         rows = rows.join(photos.select(F.col("row_id").alias("id"), F.col("files").alias("__pics")), "id", "left")
         values["__files"] = F.collect_list("__pics")
 
     framed = over_id_range(rows, "site", "id", length, values).where(F.coalesce("__sample", F.lit(False)))
     framed = framed.drop("__img", "__pics", "__sample")
+    if images is not None and not single_image:
+        framed = framed.withColumn("images", F.flatten("images"))
     if images is not None and single_image:
         framed = framed.withColumn("images", F.when(F.col("images").isNotNull(), F.array("images"))
                                    .otherwise(F.array().cast(framed.select(F.array("images")).schema[0].dataType)))
@@ -211,11 +229,14 @@ def site_samples(facts: DataFrame, dim: DataFrame, length: int, predictors: Sequ
 
 def grid_samples(facts: DataFrame, dim: DataFrame, length: int, predictors: Sequence[str],
                  images: DataFrame | None = None, start=None, end=None,
-                 exclude: Sequence[str] = (), limit: Limit = None) -> DataFrame:
+                 exclude: Sequence[str] = (), limit: Limit = None, single_image: bool = True) -> DataFrame:
     """Complete grid samples: window, static attributes and latest image.
 
-    Attributes and image are found for the single rows, before windows are
-    built: they are far smaller than a window, and windows are never shuffled.
+    The facts are shuffled by location once: images are found as dates in that
+    order, windows are built, rows that are no samples go, and only then come
+    attributes and tensors. The tensor join keeps the location's distribution.
+    With ``single_image`` off, ``images`` holds the different images in use over
+    the window, oldest first, and ``image_dates`` their dates.
     """
     rows = without_classes(facts, dim, exclude).select("id", "coord_id", "timestamp", *predictors)
     rows = rows if end is None else rows.where(F.col("timestamp") <= F.lit(end))
@@ -223,11 +244,23 @@ def grid_samples(facts: DataFrame, dim: DataFrame, length: int, predictors: Sequ
         counted = rows.select("coord_id")
         counted = counted if images is None else counted.union(images.select("coord_id"))
         limit = find_hot(counted, ["coord_id"], limit)
-    rows = scaled_statics(dim_lookup(rows, dim.select("coord_id", *STATICS), "coord_id"))
-    carried = list(STATICS)
+    carried: list[str] = []
+    order = ["timestamp", "id"]
     if images is not None:
-        rows = latest_image(rows, images, since=start, limit=limit)
-        carried += ["image_date", "data"]
-    framed = trailing_frames(rows, "coord_id", ["timestamp", "id"], length, predictors, limit=limit)
+        rows = with_image_date(rows, images, limit=limit)
+        carried = ["image_date"]
+    values = {"frame": F.collect_list(F.struct(*order, *predictors))}
+    if images is not None and not single_image:
+        values["image_dates"] = F.collect_set("image_date")
+        carried = ["image_dates"]
+    framed = over_last_rows(rows, ["coord_id"], order, length, values, limit=limit).where(F.size("frame") == length)
+    if "image_dates" in values:
+        framed = framed.withColumn("image_dates", F.array_sort("image_dates"))
     framed = framed if start is None else framed.where(F.col("timestamp") >= F.lit(start))
-    return framed.select("id", "coord_id", "timestamp", "frame", *carried)
+    framed = framed.select("id", "coord_id", "timestamp", "frame", *carried)
+    framed = scaled_statics(dim_lookup(framed, dim.select("coord_id", *STATICS), "coord_id"))
+    if images is not None and single_image:
+        framed, carried = with_tensor(framed, images), ["image_date", "data"]
+    elif images is not None:
+        framed, carried = with_tensors(framed, images), ["image_dates", "images"]
+    return framed.select("id", "coord_id", "timestamp", "frame", *STATICS, *carried)

@@ -64,6 +64,17 @@ def trailing_rows_stats(spark, folder):
     return rounded(rounded(framed, 6, "mean_value"), 4, "sum_value").drop("ts", "value")
 
 
+@query("""
+select user_id, day, count(*) over w as n_rows, sum(day % 7) over w as total, first_value(day) over w as first_day
+from (select user_id, cast(strftime(ts, '%d') as bigint) as day from events)
+window w as (partition by user_id order by day rows between 4 preceding and current row)""")
+def trailing_ties(spark, folder):
+    """Many rows tie in the order; tied rows are equal, so every order of theirs gives the same."""
+    facts = events(spark, folder).select("user_id", F.dayofmonth("ts").cast("long").alias("day"))
+    return ordering.over_last_rows(facts, ["user_id"], ["day"], 5, {
+        "n_rows": F.count("*"), "total": F.sum(F.col("day") % 7), "first_day": F.first("day")})
+
+
 @query(f"""
 select event_id, user_id, first_value(ts) over w as first_ts, round(last_value(value) over w, 6) as last_value,
        round(max(value) over w, 6) as max_value
@@ -137,6 +148,22 @@ def first_image_in_window(spark, folder):
     return rounded(found, 6, "first_image")
 
 
+@query("""
+select event_id, user_id, round(first_value(image ignore nulls) over (
+    partition by user_id order by event_id range between 300 preceding and current row), 6) as first_image
+from (select *, case when event_type = 'purchase' then value + 1 end as image from events)""")
+def first_of_several_images(spark, folder):
+    """Two images on a row: the facts stay single and the first by order counts."""
+    facts = events(spark, folder).select("event_id", "user_id", "event_type", "value")
+    two = F.explode(F.array(F.struct(F.lit(1).alias("n"), (F.col("value") + 1).alias("image")),
+                            F.struct(F.lit(2).alias("n"), F.col("value").alias("image"))))
+    images = facts.where("event_type = 'purchase'").select(F.col("event_id").alias("row_id"), two.alias("i")).select(
+        "row_id", "i.*")
+    found = samples.first_image_in_window(facts.select("event_id", "user_id"), images, "user_id", "event_id",
+                                          "row_id", "image", 301, out="first_image", order=["n"])
+    return rounded(found, 6, "first_image")
+
+
 @query("""
 select c_custkey, c_mktsegment from customer c
 where exists (select 1 from events e where e.user_id = c.c_custkey)""")
@@ -190,6 +217,31 @@ def grid_samples_full(spark, folder):
                         F.round(F.col("lon").cast("double"), 6).alias("lon"), "igbp")
 
 
+@query(f"""
+with images as (select distinct user_id, cast(strftime(ts, '%Y%m%d') as integer) as day
+           from events where event_type = 'purchase'),
+dated as (select event_id, user_id, ts, cast(strftime(ts, '%Y%m%d') as integer) as day from events),
+matched as (select d.*, i.day as image from dated d asof left join images i on d.user_id = i.user_id and d.day >= i.day),
+framed as (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as n,
+             list(distinct image) over w as dates
+           from matched window w as (partition by user_id order by ts, event_id rows between {L - 1} preceding and current row))
+select event_id as id, user_id as coord_id, len([x for x in dates if x is not null]) as n_images,
+  coalesce(list_sum([x for x in dates if x is not null]), 0) + 0.0e0 as tensor_sum
+from framed where n >= {L} and user_id in (select c_custkey from customer)""")
+def grid_samples_images(spark, folder):
+    facts = events(spark, folder).select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("coord_id"), "event_type",
+        timestamp_to_int(F.col("ts")).alias("timestamp"), "value")
+    dim = customers_on_the_map(spark, folder).select(
+        "coord_id", "lat", "lon", F.lit(0.0).alias("elev"), F.col("c_mktsegment").alias("igbp"))
+    images = facts.where("event_type = 'purchase'").select(
+        "coord_id", int_to_date(F.col("timestamp")).alias("modis_date")).distinct()
+    images = images.withColumn("data", F.array(F.col("modis_date").cast("double")))
+    built = samples.grid_samples(facts.drop("event_type"), dim, L, ["value"], images, single_image=False)
+    total = F.aggregate(F.flatten("images"), F.lit(0.0), lambda a, v: a + v)
+    return built.select("id", "coord_id", F.size("images").cast("long").alias("n_images"), total.alias("tensor_sum"))
+
+
 @query("""
 with usable as (select event_id, user_id, row_number() over (partition by user_id order by event_id) as n
                 from events where event_type in ('click', 'view')),
@@ -250,6 +302,13 @@ def rebuild_ids(spark, folder):
     return layout.rebuild_ids(facts, "user_id", "ts", "event_id")
 
 
+@query("""
+select row_number() over (order by user_id, ts) as id, user_id, ts from events""")
+def rebuild_ids_new(spark, folder):
+    """Facts that have no ids yet get them."""
+    return layout.rebuild_ids(events(spark, folder).select("user_id", "ts"), "user_id", "ts")
+
+
 @query("""
 select count(*) as row_count, max(event_id) as max_id from events""")
 def row_estimate(spark, folder):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: A key with more rows than this is spread over several tasks.
 HOT_KEY_ROWS = "spark.fluxframe.hotKeyRows"
 DEFAULT_HOT_KEY_ROWS = 2_000_000
+#: Tables in the shared folder that are not yet deleted.
+SETTLED: list[str] = []
 
 
 def build_session(app: str = "fluxframe", master: str | None = None,
@@ -28,6 +32,8 @@ def build_session(app: str = "fluxframe", master: str | None = None,
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         # a dimension of every land cell on the globe still fits
         .config("spark.sql.autoBroadcastJoinThreshold", "64m")
+        # a join on (key, date) keeps the distribution of a window on key
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # a scored row is a window and an image, some ten kilobytes
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -53,6 +59,7 @@ def scratch_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     root = tempfile.mkdtemp(prefix="fluxframe-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
@@ -67,8 +74,25 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not SETTLED:
+        atexit.register(release, spark)
+    SETTLED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables settled so far. Nothing that reads them may follow.
+
+    Called at exit while the session still runs. A long-lived session calls it
+    between jobs, before it stops.
+    """
+    if spark.sparkContext._jsc is None:
+        return
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    while SETTLED:
+        path = jvm.org.apache.hadoop.fs.Path(SETTLED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def hot_key_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_KEY_ROWS, str(DEFAULT_HOT_KEY_ROWS)))

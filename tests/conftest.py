@@ -1,6 +1,6 @@
 import pytest
 
-from fluxframe.session import build_session
+from fluxframe.session import build_session, release
 
 
 @pytest.fixture(scope="session")
@@ -8,6 +8,7 @@ def spark():
     session = build_session("tests", "local[4]", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

@@ -102,3 +102,19 @@ def test_no_task_gets_more_than_a_chunk(spark):
     assert s.own(s.rows).count() == 3000
     # the ranges the chunks were made from are balanced too
     assert o.find_hot(df, ["k"], 100).table.count() == 1 and o.find_hot(df, ["k"], 1000).table is None
+
+
+@pytest.mark.parametrize("limit", [4, 7])
+def test_ties_do_not_depend_on_cutting(spark, limit):
+    """Equal times and no id: a key's result is the same before and after it becomes hot."""
+    rows = [("k", n // 6, n * 7 % 12) for n in range(24)] + [("m", 0, n % 3) for n in range(9)]
+    df = spark.createDataFrame(rows, "k string, t long, v long").repartition(3)
+    mapped = df.withColumn("m", F.create_map(F.lit("a"), "v")).withColumn("n", F.array(F.create_map(F.lit("b"), "v")))
+    for table in (df, mapped):
+        def shown(at):
+            out = o.over_last_rows(table, ["k"], ["t"], 3, {"f": F.first("v"), "s": F.sum("v")}, limit=at)
+            before = o.previous(table, ["k"], ["t"], {"p": "v"}, limit=at)
+            last = o.running_last(table, ["k"], ["t"], "v", "x", limit=at)
+            return [sorted(map(str, frame.select([c for c in frame.columns if c not in "mn"]).collect()))
+                    for frame in (out, before, last)]
+        assert shown(limit) == shown(1_000_000)

@@ -78,6 +78,9 @@ def test_first_image(spark):
     images = spark.createDataFrame([(2, "x"), (3, "y"), (9, "z")], "row_id long, data string")
     got = samples.first_image_in_window(facts, images, "site", "id", "row_id", "data", 3)
     assert {r.id: r.image for r in got.collect()} == {1: None, 2: "x", 3: "x", 7: None, 8: None}
+    twice = images.union(spark.createDataFrame([(2, "w"), (3, "z")], images.schema))
+    got = samples.first_image_in_window(facts, twice, "site", "id", "row_id", "data", 3).collect()
+    assert len(got) == 5 and {r.id: r.image for r in got} == {1: None, 2: "w", 3: "w", 7: None, 8: None}
 
 
 @pytest.mark.parametrize("limit", [None, 5])
@@ -151,6 +154,25 @@ def test_grid_samples(spark, grid, limit):
         (40, [7.0], [2.0, 3.0, 4.0], 0.5), (50, [7.0], [3.0, 4.0, 5.0], 0.5)]
 
 
+def test_tensors_are_joined_last(spark, grid):
+    """One shuffle of the facts by location; nothing is moved or sorted above the tensor join."""
+    dim = spark.createDataFrame([(n, 0.0, 0.0, 0.0, None) for n in (1, 2, 3, 9)],
+                                "coord_id long, lat double, lon double, elev double, igbp string")
+    images = spark.createDataFrame([(1, 20170601, [7.0]), (2, 20170501, [8.0]), (2, 20170601, [9.0])],
+                                   "coord_id long, modis_date int, data array<float>")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = samples.grid_samples(grid, dim, 3, ["TA"], images)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = plan.splitlines()
+    top = next(n for n, line in enumerate(lines) if "SortMergeJoin" in line)
+    assert not any("Exchange" in line or "Sort " in line for line in lines[:top])
+    many = samples.grid_samples(grid.where("coord_id = 2"), dim, 3, ["TA"], images, single_image=False)
+    assert {r.id: (r.image_dates, r.images) for r in many.collect()}[51] == ([20170601], [[9.0]])
+
+
 def test_splits(spark):
     df = spark.createDataFrame([("a",), ("b",), ("c",)], "site string")
     assert rows(samples.with_split(df, {"train": ["a"], "test": ["b"]}, "site")) == [("a", "train"), ("b", "test")]
