@@ -11,12 +11,20 @@ from fluxframe import schema
 from fluxframe.functions import text
 from fluxframe.functions.scalars import to_number, whole_column_timestamp
 from fluxframe.operators.dims import newest_per_key
-from fluxframe.operators.ordering import keyed_join
+from fluxframe.operators.ordering import keyed_join, row_hash
 from fluxframe.operators.spatial import axis_positions
 
 ORDER = "__sample_order"
 COORDINATES = ("timestamp", "lat", "lon")
 BASE = ("lat", "lon", "igbp", "timestamp")
+#: Where a row stood in the input, as noted by the reader of shards.
+POSITION = ("__shard", "__block", "__line")
+
+
+def numbered(shards: Sequence[DataFrame]) -> list[DataFrame]:
+    """Tables given one by one, with the columns that keep the input order."""
+    return [s.withColumns({"__shard": F.format_string("%08d", F.lit(n)), "__block": F.lit(0).cast("long"),
+                           "__line": F.monotonically_increasing_id()}) for n, s in enumerate(shards)]
 
 
 def union_shards(shards: Sequence[DataFrame], strict: bool = True) -> DataFrame:
@@ -34,17 +42,25 @@ def union_shards(shards: Sequence[DataFrame], strict: bool = True) -> DataFrame:
 
 def output_columns(df: DataFrame, targets: Sequence[str] | None) -> list[str]:
     if targets is None:
-        return [c for c in df.columns if c != ORDER]
+        return [c for c in df.columns if c != ORDER and c not in POSITION]
     return [*BASE, *text.pick_targets(df.columns, targets)]
 
 
+def positions(df: DataFrame) -> list[str]:
+    """The columns that tell the input order: those a reader of shards adds, else the sample order."""
+    if set(POSITION) <= set(df.columns):
+        return list(POSITION)
+    return [ORDER] if ORDER in df.columns else []
+
+
 def in_output_order(df: DataFrame) -> DataFrame:
-    """By sample order where shards carry it, else by place and time.
+    """By sample order where shards carry it, else by place and time; ties keep the input order.
 
-    A hash of the row settles ties, so the order is always the same.
+    Where no input order is known, a hash of the row settles ties.
     """
     keys = [ORDER] if ORDER in df.columns else ["lat", "lon", "timestamp"]
-    return df.orderBy(*[to_number(F.col(k)) for k in keys], F.xxhash64(*df.columns))
+    ties = [c for c in positions(df) if c not in keys]
+    return df.orderBy(*[to_number(F.col(k)) for k in keys], *(ties or [row_hash(df)]))
 
 
 def duplicate_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -64,22 +80,13 @@ def resolve_duplicates(df: DataFrame, keys: Sequence[str], policy: str, order: S
     """One row per key: the first or last in order, or the mean.
 
     With ``mean`` numbers are averaged and other columns take their first
-    present value. ``error`` refuses duplicates and shows five examples.
+    present value; the order itself has no mean and is left out. ``error``
+    refuses duplicates and shows five examples.
     """
     if policy in ("first", "last"):
         return newest_per_key(df, keys, order, last=policy == "last")
     if policy == "mean":
-        sequence = F.struct(*order)
-        values = []
-        for field in df.schema.fields:
-            if field.name in keys or field.name in order:
-                continue
-            if schema.is_number(field):
-                values.append(F.avg(field.name).alias(field.name))
-            else:
-                when_present = F.when(F.col(field.name).isNotNull(), sequence)
-                values.append(F.min_by(field.name, when_present).alias(field.name))
-        return df.groupBy(*keys).agg(*values)
+        return _mean_per_key(df, keys, order)
     if policy == "error":
         examples = df.groupBy(*keys).count().where(F.col("count") > 1).limit(5).collect()
         if examples:
@@ -88,6 +95,23 @@ def resolve_duplicates(df: DataFrame, keys: Sequence[str], policy: str, order: S
     raise ValueError(f"unknown duplicate policy: {policy}")
 
 
+def _mean_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Averages by hash for all keys; text and order only for the keys that occur more than once."""
+    columns = [c for c in df.columns if c not in order]
+    numbers = [f.name for f in df.schema.fields if schema.is_number(f) and f.name not in (*keys, *order)]
+    others = [c for c in columns if c not in (*keys, *numbers)]
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies"), *[F.avg(c).alias(c) for c in numbers])
+    if not others:
+        return counted.select(*columns)
+    repeated = counted.where(F.col("__copies") > 1)
+    sequence = F.struct(*order)
+    texts = keyed_join(df.select(*keys, *order, *others), repeated.select(*keys), keys, "left_semi").groupBy(*keys).agg(
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), sequence)).alias(c) for c in others])
+    several = keyed_join(repeated, texts, keys).select(*columns)
+    single = keyed_join(df, counted.where(F.col("__copies") == 1).select(*keys), keys, "left_semi")
+    return single.select(*columns).withColumns({c: F.col(c).cast("double") for c in numbers}).unionByName(several)
+
+
 def is_static(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """One row: does every cell keep one label over time? Missing is a label."""
     pairs = df.select(*keys, F.coalesce(label, F.lit("")).alias("__label")).distinct()
@@ -102,36 +126,42 @@ def cube_axes(df: DataFrame) -> dict[str, DataFrame]:
             "lon": axis_positions(df, "lon", "lon_index")}
 
 
-def dense_cube(df: DataFrame, variables: Sequence[str], axes: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Rows of a dense cube: (time, latitude) and one filled array per variable.
+def dense_cube(df: DataFrame, variables: Sequence[str], axes: dict[str, DataFrame] | None = None,
+               labels: Sequence[str] = ()) -> DataFrame:
+    """Rows of a dense cube: every (time, latitude) and one filled array per variable.
 
-    Works per grid line, so the largest group is one line of the grid. Cells
-    without a row are NaN. Duplicates must have been resolved.
+    Numbers become single precision and NaN where there is no row; ``labels``
+    are text variables, NULL there. Works per grid line, so the largest group is
+    one line of the grid, and lines without any row are made as well. Duplicates
+    must have been resolved.
     """
     axes = axes or cube_axes(df)
-    lons = axes["lon"].count()
+    lons, lats = axes["lon"].count(), axes["lat"].count()
     placed = df
     for column, axis in axes.items():
         placed = placed.join(axis, column)
     entry = F.struct(F.col("lon_index").cast("int").alias("at"),
-                     *[F.col(v).cast("float").alias(v) for v in variables])
-    lines = (placed.groupBy("time_index", "timestamp", "lat_index", "lat")
-             .agg(F.array_sort(F.collect_list(entry)).alias("__cells")))
-    hole = F.lit(float("nan")).cast("float")
-
-    def holes(count):
-        return F.array_repeat(hole, count.cast("int"))
+                     *[F.col(v).cast("float").alias(v) for v in variables],
+                     *[F.col(v).cast("string").alias(v) for v in labels])
+    occupied = placed.groupBy("time_index", "lat_index").agg(F.array_sort(F.collect_list(entry)).alias("__cells"))
+    grid = axes["timestamp"].withColumn("lat_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(lats - 1, 0)).cast("long"))))
+    lines = grid.join(axes["lat"], "lat_index").join(occupied, ["time_index", "lat_index"], "left")
 
     def filled(v):
+        hole = F.lit(None).cast("string") if v in labels else F.lit(float("nan")).cast("float")
+
+        def holes(count):
+            return F.array_repeat(hole, count.cast("int"))
+
         # before each cell come as many holes as positions were skipped
         def step(cell, k):
             before = F.coalesce(F.get("__cells", k - 1)["at"], F.lit(-1))
             return F.concat(holes(cell["at"] - before - 1), F.array(F.coalesce(cell[v], hole)))
         tail = F.lit(lons - 1) - F.element_at("__cells", -1)["at"]
-        return F.concat(F.flatten(F.transform("__cells", step)), holes(tail))
+        return F.coalesce(F.concat(F.flatten(F.transform("__cells", step)), holes(tail)), holes(F.lit(lons)))
 
     return lines.select("time_index", "timestamp", "lat_index", "lat",
-                        *[filled(v).alias(v) for v in variables])
+                        *[filled(v).alias(v) for v in (*variables, *labels)])
 
 
 def long_from_cube(cube: DataFrame, variables: Sequence[str], lons: DataFrame) -> DataFrame:
@@ -175,17 +205,20 @@ def numeric_output(df: DataFrame) -> DataFrame:
 
 def merge_shards(shards: Sequence[DataFrame], targets: Sequence[str] | None = None, strict: bool = True,
                  sort: bool = True, policy: str | None = None) -> DataFrame:
-    """Shards -> one table of the wanted columns, de-duplicated where asked."""
+    """Shards -> one table of the wanted columns, de-duplicated where asked.
+
+    ``first`` and ``last`` go by the input order: shard and line where
+    ``shards.read_shards`` noted them, else the sample order.
+    """
     rows = union_shards(shards, strict)
     columns = output_columns(rows, targets)
     if policy:
         rows = require_coordinates(numeric_output(rows))
-        order = [ORDER] if ORDER in rows.columns else [c for c in columns if c not in COORDINATES]
-        if policy == "mean":
-            rows = resolve_duplicates(rows, COORDINATES, policy, order)
-            columns = [c for c in columns if c in rows.columns]
-        else:
-            rows = resolve_duplicates(rows, COORDINATES, policy, order)
+        order = positions(rows)
+        if not order and policy != "error":
+            raise ValueError("which duplicate comes first is unknown: read shards with their positions")
+        rows = resolve_duplicates(rows, COORDINATES, policy, order)
+        columns = [c for c in columns if c in rows.columns]
     if sort:
         rows = in_output_order(rows)
     return rows.select(*columns)

@@ -31,9 +31,13 @@ def partial_sums(scored: DataFrame, keys: Sequence[str], targets: Sequence[str],
 
 
 def site_classes(scored: DataFrame, site: str = "site", label: str = "igbp") -> DataFrame:
-    """The class of each site and how many it has; more than one is suspicious."""
+    """The class of each site and how many it has; more than one is suspicious.
+
+    A site without any class is of the class ``unknown``.
+    """
     pairs = scored.select(site, label).distinct()
-    return pairs.groupBy(site).agg(F.min(label).alias(label), F.count("*").alias("classes"))
+    return pairs.groupBy(site).agg(F.coalesce(F.min(label), F.lit(vocab.UNKNOWN_CLASS)).alias(label),
+                                   F.greatest(F.count(label), F.lit(1)).alias("classes"))
 
 
 def rmse(t: str) -> Column:
@@ -71,7 +75,7 @@ def evaluate_sites(scored: DataFrame, targets: Sequence[str], site: str = "site"
     is_total = F.col("__total") == 1
     return both.select(
         F.when(is_total, F.lit("TOTAL")).otherwise(F.col(site).cast("string")).alias(site),
-        F.when(~is_total, F.col(label)).alias(label),
+        F.when(~is_total, F.coalesce(label, F.lit(vocab.UNKNOWN_CLASS))).alias(label),
         "num_batches", "num_samples",
         shown(F.try_divide(F.col("__loss"), F.col("num_samples"))).alias("avg_loss"),
         *[shown(rmse(t)).alias(f"rmse_{t}") for t in targets],

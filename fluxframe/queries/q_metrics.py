@@ -101,9 +101,11 @@ def site_evaluation(spark, folder):
 
 
 @query("""
-select l_suppkey as site, min(l_returnflag) as igbp, count(distinct l_returnflag) as classes from lineitem group by all""")
+select l_suppkey as site, coalesce(min(flag), 'unknown') as igbp, greatest(count(distinct flag), 1) as classes
+from (select l_suppkey, case when l_suppkey % 3 > 0 then l_returnflag end as flag from lineitem) group by all""")
 def site_class_check(spark, folder):
-    lines = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("site"), F.col("l_returnflag").alias("igbp"))
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_suppkey").alias("site"), F.when(F.col("l_suppkey") % 3 > 0, F.col("l_returnflag")).alias("igbp"))
     return metrics.site_classes(lines)
 
 

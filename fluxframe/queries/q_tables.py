@@ -274,14 +274,54 @@ def merge_shards_first(spark, folder):
     return merge.merge_shards([shaped(s) for s in _shards(spark, folder)], ["NEE"], policy="first", sort=False)
 
 
+_POSITIONED = """(select o_orderkey % 3 as shard, o_orderkey as line, cast(o_custkey % 20 as double) as lat,
+  cast(o_orderkey % 9 as double) as lon, cast(strftime(o_orderdate, '%Y%m01') as bigint) as timestamp,
+  o_orderstatus as igbp, o_totalprice as pred_NEE from orders)"""
+
+
+def _positioned(spark, folder):
+    """Predictions with the place they had in their shards, but without a sample order."""
+    return table(spark, folder, "orders").select(
+        F.format_string("%08d", F.col("o_orderkey") % 3).alias("__shard"), F.lit(0).cast("long").alias("__block"),
+        F.col("o_orderkey").alias("__line"), (F.col("o_custkey") % 20).cast("double").alias("lat"),
+        (F.col("o_orderkey") % 9).cast("double").alias("lon"), F.col("o_orderstatus").alias("igbp"),
+        F.date_format("o_orderdate", "yyyyMM'01'").cast("long").alias("timestamp"),
+        F.col("o_totalprice").alias("pred_NEE"))
+
+
+@query(f"""
+select lat, lon, igbp, timestamp, pred_NEE from {_POSITIONED}
+qualify row_number() over (partition by timestamp, lat, lon order by shard, line) = 1""")
+def merge_positions_first(spark, folder):
+    return merge.merge_shards([_positioned(spark, folder)], ["NEE"], policy="first", sort=False)
+
+
+@query(f"""
+select lat, lon, igbp, timestamp, pred_NEE from {_POSITIONED}
+qualify row_number() over (partition by timestamp, lat, lon order by shard desc, line desc) = 1""")
+def merge_positions_last(spark, folder):
+    return merge.merge_shards([_positioned(spark, folder)], ["NEE"], policy="last", sort=False)
+
+
+@query(f"""
+select lat, lon, arg_min(igbp, shard * 1000000000 + line) as igbp, timestamp, round(avg(pred_NEE), 4) as pred_NEE
+from {_POSITIONED} group by lat, lon, timestamp""")
+def merge_positions_mean(spark, folder):
+    merged = merge.merge_shards([_positioned(spark, folder)], ["NEE"], policy="mean", sort=False)
+    return merged.withColumn("pred_NEE", F.round("pred_NEE", 4))
+
+
 _GRID_ROWS = """(select cast(strftime(o_orderdate, '%Y%m01') as bigint) as timestamp,
   cast(substr(o_orderpriority, 1, 1) as double) as lat, cast(o_custkey % 40 as double) as lon,
-  avg(o_totalprice) as price, count(*) + 0.0e0 as n from orders group by all)"""
+  avg(o_totalprice) as price, count(*) + 0.0e0 as n from orders
+  where not (o_orderpriority like '3%' and month(o_orderdate) = 2) group by all)"""
 
 
 def _grid_rows(spark, folder):
     # the axes and the cells are read from it separately
-    return settle(table(spark, folder, "orders").groupBy(
+    # some grid lines are empty
+    kept = table(spark, folder, "orders").where("not (o_orderpriority like '3%' and month(o_orderdate) = 2)")
+    return settle(kept.groupBy(
         F.date_format("o_orderdate", "yyyyMM'01'").cast("long").alias("timestamp"),
         F.substring("o_orderpriority", 1, 1).cast("double").alias("lat"),
         (F.col("o_custkey") % 40).cast("double").alias("lon")).agg(
@@ -291,9 +331,10 @@ def _grid_rows(spark, folder):
 @query(f"""
 with g as {_GRID_ROWS}
 select dense_rank() over (order by timestamp) - 1 as time_index, timestamp,
-  dense_rank() over (order by lat desc) - 1 as lat_index, lat, n_cells, n_lons, sum_n from (
-  select timestamp, lat, count(*) as n_cells, (select count(distinct lon) from g) as n_lons, sum(n) as sum_n
-  from g group by timestamp, lat)""")
+  dense_rank() over (order by lat desc) - 1 as lat_index, lat, count(n) as n_cells,
+  (select count(distinct lon) from g) as n_lons, coalesce(sum(n), 0) + 0.0e0 as sum_n
+from (select distinct timestamp from g) cross join (select distinct lat from g) left join g using (timestamp, lat)
+group by timestamp, lat""")
 def cube_lines(spark, folder):
     cube = merge.dense_cube(_grid_rows(spark, folder), ["price", "n"])
     filled = F.filter("n", lambda v: ~F.isnan(v))

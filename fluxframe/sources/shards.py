@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fluxframe.functions.scalars import to_number
-
-POSITION = ("__shard", "__block", "__line")
+from fluxframe.operators.merge import POSITION
 
 
 def shard_paths(spark: SparkSession, folder: str, count: int | None = None) -> list[str]:

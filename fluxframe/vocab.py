@@ -87,6 +87,7 @@ ROBINSON_SCALE = (0.8487, 1.3523)
 
 # Legend order, colours and long names of the map classes.
 MISSING_CLASS = "NULL"
+UNKNOWN_CLASS = "unknown"
 LEGEND = (
     ("NULL", "#8F9693", "Changed region"),
     ("ENF", "#006837", "Evergreen needleleaf forest"),
