@@ -26,7 +26,10 @@ def with_positions(df: DataFrame, columns: dict[str, str], descending: Sequence[
 
 def to_matrix(df: DataFrame, row: str, column: str, value: str, columns: Sequence) -> DataFrame:
     """Long cells -> one row per ``row`` with a column per listed value. Several
-    different values of one cell are an error."""
+    different values of one cell are an error, and so is a value that is not listed."""
+    listed = F.coalesce(F.col(column).isin(*columns), F.lit(False))
+    refused = F.raise_error(F.concat(F.lit("column not listed: "), F.coalesce(F.col(column).cast("string"), F.lit("NULL"))))
+    df = df.where(F.coalesce(F.when(~listed, refused).cast("boolean"), F.lit(True)))
     single = F.when(F.min(value) == F.max(value), F.max(value)).when(
         F.count(value) > 0, F.raise_error(F.lit("a cell has several values")).cast(df.schema[value].dataType))
     return df.groupBy(row).pivot(column, list(columns)).agg(single)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from fluxframe.operators import dims, layout
 from fluxframe.plans import image_store, ingest
+from fluxframe.sources import writers
 
 STEPS = ("relabel", "cluster", "images")
 
@@ -24,7 +25,9 @@ def enrich(facts: DataFrame, dim: DataFrame, cover: DataFrame, frame: ingest.Ras
            dry_run: bool = False) -> list[str]:
     """Run the chosen steps in their order, writing below ``folder``; returns them.
 
-    A dry run only tells what would be done.
+    The inputs may be the tables of that folder: every new table takes its
+    place only when it is complete, and the next step reads it from there. A dry
+    run only tells what would be done.
     """
     unknown = set(steps) - set(STEPS)
     if unknown:
@@ -34,10 +37,11 @@ def enrich(facts: DataFrame, dim: DataFrame, cover: DataFrame, frame: ingest.Ras
         return chosen
     spark = facts.sparkSession
     if "relabel" in chosen:
-        dim, _ = relabel_dimension(dim, cover, frame)
-        dim.write.mode("overwrite").parquet(f"{folder}/coord_data.parquet")
+        writers.replace_table(relabel_dimension(dim, cover, frame)[0], f"{folder}/coord_data.parquet")
+        dim = spark.read.parquet(f"{folder}/coord_data.parquet")
     if "cluster" in chosen:
-        layout.clustered(facts).write.mode("overwrite").parquet(f"{folder}/ec_data.parquet")
+        writers.replace_table(layout.clustered(facts), f"{folder}/ec_data.parquet")
+        facts = spark.read.parquet(f"{folder}/ec_data.parquet")
     if "images" in chosen:
         path = f"{folder}/modis_data.parquet"
         image_store.create_store(spark, path)

@@ -19,11 +19,19 @@ def create_store(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], schema.grid_images()).write.mode("ignore").partitionBy("modis_date").parquet(path)
 
 
-def store_images(spark: SparkSession, path: str, incoming: DataFrame, overwrite: bool) -> None:
+def by_date(images: DataFrame, files_per_date: int) -> DataFrame:
+    """Bring the images of a date together in at most ``files_per_date`` tasks."""
+    return images.repartition("modis_date", F.pmod(F.xxhash64("coord_id"), F.lit(files_per_date)))
+
+
+def store_images(spark: SparkSession, path: str, incoming: DataFrame, overwrite: bool,
+                 files_per_date: int = 8) -> None:
     """Insert images, ignoring or replacing known (coord_id, modis_date).
 
-    Only the dates that come in are read. Ignoring appends what is new;
-    replacing rewrites those dates alone, and in one commit.
+    Only the dates that come in are read. Ignoring appends what is new, at most
+    ``files_per_date`` files for each date; replacing rewrites those dates alone,
+    and in one commit. One writer at a time: two that run together may both
+    append an image that neither has seen.
     """
     unique = newest_per_key(incoming, KEYS, ["data"], last=overwrite).select("coord_id", "modis_date", "data")
     unique = settle(unique)
@@ -32,8 +40,8 @@ def store_images(spark: SparkSession, path: str, incoming: DataFrame, overwrite:
     known = existing_images(spark, path).where(F.col("modis_date").isin(*days))
     if overwrite:
         merged = settle(upsert(known, unique, KEYS, overwrite=True))
-        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (by_date(merged, files_per_date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("modis_date").parquet(path))
     else:
         fresh = unique.join(known.select(*KEYS), list(KEYS), "left_anti")
-        fresh.write.mode("append").partitionBy("modis_date").parquet(path)
+        by_date(fresh, files_per_date).write.mode("append").partitionBy("modis_date").parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fluxframe import schema, vocab
 from fluxframe.functions import geo, scalars, text
-from fluxframe.operators import dims, spatial
+from fluxframe.operators import dims, layout, spatial
 from fluxframe.session import settle
 
 
@@ -34,7 +34,7 @@ def land_share(mask: DataFrame, origin: tuple[float, float], step: tuple[float,
 def build_dataset(raw: DataFrame, mask: DataFrame, cover: DataFrame, cover_frame: RasterFrame,
                   mask_origin: tuple[float, float], mask_step: tuple[float, float],
                   mask_size: tuple[int, int], strict_bounds: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(facts, dimension) of land and coast cells.
+    """(facts with ids, dimension) of land and coast cells.
 
     ``raw`` has lat, lon, elev, timestamp and predictors; ``mask`` gx, gy, lsm;
     ``cover`` row, col, code. Everything about places is worked out once per
@@ -61,7 +61,7 @@ def build_dataset(raw: DataFrame, mask: DataFrame, cover: DataFrame, cover_frame
     dim = dims.surrogate_keys(rows, attributes, "timestamp")
     facts = dims.attach_keys(rows, dim, attributes)
     names = ["DOY", "TOD", *[p for p in found if p not in ("DOY", "TOD")]]
-    return facts.select("coord_id", "timestamp", *names), dim
+    return layout.rebuild_ids(facts.select("coord_id", "timestamp", *names)), dim
 
 
 def image_cells(cells: DataFrame, dim: DataFrame, facts: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -82,16 +84,24 @@ def write_netcdf_slices(long: DataFrame, folder: str, variables: Sequence[str])
     """One NetCDF file per time step, written by the tasks; returns the files.
 
     A group is one time step of a de-duplicated grid, whose size is that of the
-    grid however long the series is.
+    grid however long the series is. Every file has the axes of the whole series,
+    NaN where a step has no row. ``folder`` must be a path all executors share;
+    a file takes its name only when it is complete, so a repeated task does no
+    harm.
     """
+    lats, lons = ([r[0] for r in long.select(c).distinct().orderBy(c).collect()] for c in ("lat", "lon"))
+
     def write(pdf):
         import pandas as pd
 
         step = int(pdf["timestamp"].iloc[0])
         ds = pdf.set_index(["lat", "lon"])[list(variables)].astype("float32").to_xarray()
+        ds = ds.reindex(lat=lats, lon=lons)
         ds = ds.sortby("lat", ascending=False).rename(lat="latitude", lon="longitude")
         path = f"{folder}/{step}.nc"
-        ds.to_netcdf(path)
+        part = f"{path}.{uuid.uuid4().hex}"
+        ds.to_netcdf(part)
+        os.replace(part, path)
         return pd.DataFrame({"timestamp": [step], "path": [path], "cells": [len(pdf)]})
 
     return (long.select("timestamp", "lat", "lon", *variables).groupBy("timestamp")

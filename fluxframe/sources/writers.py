@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -40,10 +41,66 @@ def write_shards(df: DataFrame, path: str, order: Sequence[str]) -> None:
         .option("header", True).csv(path)
 
 
+def write_rank_files(df: DataFrame, path: str, count: int, order: str = "__sample_order") -> None:
+    """``rank_00000.csv`` and on: ``count`` files, each a contiguous stretch of ``order`` (0, 1, ...).
+
+    Rows are dealt by position, so every file is one task's; its final name is
+    given when all are written.
+    """
+    rows = df.count()
+    base, extra = divmod(rows, count)
+    bulky = extra * (base + 1)
+    rank = F.when(F.col(order) < bulky, F.floor(F.col(order) / (base + 1))).otherwise(
+        extra + F.floor((F.col(order) - bulky) / max(base, 1))).cast("int")
+    spark = df.sparkSession
+    ranked = df.withColumn("__rank", rank)
+    (ranked.repartitionByRange(count, "__rank").sortWithinPartitions("__rank", order)
+     .write.mode("overwrite").option("header", True).partitionBy("__rank").csv(f"{path}/.parts"))
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    root = jpath(path)
+    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for n in range(count):
+        found = files.globStatus(jpath(f"{path}/.parts/__rank={n}/part-*"))
+        target = jpath(f"{path}/rank_{n:05d}.csv")
+        files.delete(target, False)
+        if found:
+            files.rename(found[0].getPath(), target)
+        else:  # fewer samples than files
+            files.create(target).close()
+    files.delete(jpath(f"{path}/.parts"), True)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write ``df`` as ``path``, also where ``df`` reads that path.
+
+    The new files go beside it and take its place by renaming when they are
+    complete; a failure before that leaves the old table as it was.
+    """
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex
+    fresh, old = f"{path}.new-{mark}", f"{path}.old-{mark}"
+    df.write.parquet(fresh)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    place = jpath(path)
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    had_one = files.exists(place)
+    if had_one and not files.rename(place, jpath(old)):
+        raise OSError(f"{path} cannot be put aside; the new table is {fresh}")
+    if not files.rename(jpath(fresh), place):
+        raise OSError(f"{fresh} cannot be renamed to {path}; the old table is {old}")
+    if had_one:
+        files.delete(jpath(old), True)
+    spark.catalog.refreshByPath(path)
+
+
 def write_tables(facts: DataFrame, dim: DataFrame, folder: str) -> None:
-    """Append facts, replace the dimension."""
+    """Append facts, replace the dimension.
+
+    Facts bring ids of their own, see ``layout.rebuild_ids``; ids of several
+    appended batches are made unique by rebuilding them.
+    """
     facts.write.mode("append").parquet(f"{folder}/ec_data.parquet")
-    dim.write.mode("overwrite").parquet(f"{folder}/coord_data.parquet")
+    replace_table(dim, f"{folder}/coord_data.parquet")
 
 
 def write_cube(cube: DataFrame, attributes: dict[str, object], path: str) -> None:
@@ -61,14 +118,12 @@ def number_images(images: DataFrame) -> DataFrame:
 
 
 def latex_table(df: DataFrame, caption: str, label: str, digits: int = 4, missing: str = "--",
-                groups: Sequence[tuple[str, int]] | None = None, max_rows: int = 10_000) -> str:
+                groups: Sequence[tuple[str, int]] | None = None) -> str:
     """A LaTeX table of a small result such as one row per class.
 
     ``groups`` puts a line of spanning titles above the header.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError("too many rows for a printed table")
+    rows = df.collect()
 
     def cell(v):
         if v is None or v != v:

@@ -3,7 +3,7 @@
 import pytest
 
 from fluxframe import schema
-from fluxframe.operators import metrics, spatial
+from fluxframe.operators import metrics, samples, spatial
 from fluxframe.plans import enrichment, image_store, ingest
 from fluxframe.sources import rasters, writers
 from tests.conftest import rows
@@ -31,8 +31,11 @@ def test_build_dataset(spark):
     assert sorted(places) == list(range(1, 10))
     assert {r.igbp for r in places.values() if r.lon == -2.0} == {None}
     assert {(r.lat, r.igbp) for r in places.values() if r.lon != -2.0} == {(2.0, "ENF"), (1.0, "EBF"), (0.0, "DNF")}
-    assert facts.columns == ["coord_id", "timestamp", "DOY", "TOD", "TA", "WD", "SWC_1"]
-    got = rows(facts.where("coord_id = 1"))
+    assert facts.columns == ["id", "coord_id", "timestamp", "DOY", "TOD", "TA", "WD", "SWC_1"]
+    assert sorted(r.id for r in facts.collect()) == list(range(1, 19))
+    built = samples.grid_samples(facts, dim, 2, ["TA", "DOY"])
+    assert built.count() == 9 and {len(r.frame) for r in built.collect()} == {2}
+    got = rows(facts.where("coord_id = 1").drop("id"))
     assert got == [(1, 20170201000000, (32 - 183) / 183, (1 - 12) / 12, None, 0.0, None),
                    (1, 20170201050000, (32 - 183) / 183, (6 - 12) / 12, 0.0, 0.0, None)]
     assert facts.count() == 18
@@ -70,6 +73,25 @@ def test_enrich(spark, tmp_path):
     assert rows(moved) == [("NULL", "DBF", 1), ("WAT", "DBF", 1)]
 
 
+def test_enrich_in_place(spark, tmp_path):
+    folder, frame = str(tmp_path), ingest.RasterFrame(-180.0, 90.0, 360.0, 1, 1)
+    spark.createDataFrame([(1, 89.75, -180.0, "WAT")], "coord_id long, lat double, lon double, igbp string") \
+        .write.parquet(folder + "/coord_data.parquet")
+    spark.createDataFrame([(n, 1, n) for n in range(50)], "id long, coord_id long, timestamp long") \
+        .repartition(4).write.parquet(folder + "/ec_data.parquet")
+    cover = spark.createDataFrame([(0, 0, 4)], "row int, col int, code int")
+    cells = spark.createDataFrame([(0, 0, 20170101 + n, [1.0]) for n in range(20)],
+                                  "grid_row int, grid_col int, modis_date int, data array<float>").repartition(4)
+    for overwrite in (False, True):
+        enrichment.enrich(spark.read.parquet(folder + "/ec_data.parquet"), spark.read.parquet(folder + "/coord_data.parquet"),
+                          cover, frame, cells, folder, overwrite=overwrite)
+        assert rows(spark.read.parquet(folder + "/coord_data.parquet").select("igbp")) == [("DBF",)]
+        assert spark.read.parquet(folder + "/ec_data.parquet").count() == 50
+        assert image_store.existing_images(spark, folder + "/modis_data.parquet").count() == 20
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["coord_data.parquet", "ec_data.parquet", "modis_data.parquet"]
+    assert len(list(tmp_path.glob("modis_data.parquet/modis_date=*/*.parquet"))) == 20
+
+
 def test_tables_and_cubes(spark, tmp_path):
     names = schema.create_tables(spark, ["TA"], "fresh_")
     try:
@@ -98,6 +120,8 @@ def test_matrix(spark):
 def test_site_classes(spark):
     df = spark.createDataFrame([("a", "X"), ("a", "X"), ("b", "Y"), ("b", "X")], "site string, igbp string")
     assert rows(metrics.site_classes(df)) == [("a", "X", 1), ("b", "X", 2)]
+    none = spark.createDataFrame([("a", None), ("b", None), ("b", "Y")], df.schema)
+    assert rows(metrics.site_classes(none)) == [("a", "unknown", 1), ("b", "Y", 1)]
 
 
 def test_raster_shape(spark):
