@@ -93,11 +93,12 @@ def int_to_timestamp_mixed(spark, folder):
 
 
 @query("""
-select l_orderkey, l_partkey, l_linenumber, round(case when abs(v) <= 100 then v end, 6) as target from (
+select l_orderkey, l_partkey, l_linenumber, round(case when abs(v) <= 100 and l_linenumber < 5 then v end, 6) as target from (
   select *, (l_extendedprice - 50000) / 500 as v from lineitem)""")
 def clean_targets(spark, folder):
     v = (F.col("l_extendedprice") - 50000) / 500
-    odd = F.when(F.col("l_quantity") == -1, F.lit(float("inf"))).otherwise(v)
+    odd = (F.when(F.col("l_linenumber") == 5, F.lit(float("nan"))).when(F.col("l_linenumber") == 6, F.lit(float("-inf")))
+           .when(F.col("l_linenumber") > 6, F.lit(float("inf"))).otherwise(v))
     return table(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", F.round(scalars.clean_target(odd), 6).alias("target"))
 
@@ -319,20 +320,21 @@ _LEGEND = ", ".join(f"('{c}', '{colour}', '{name}')" for c, colour, name in voca
 @query(f"""
 with named as (select c_custkey, coalesce(case when c_nationkey < 17 then l.label end, 'X' || c_nationkey) as label from customer
   left join (values {', '.join(f"({k}, '{v}')" for k, v in vocab.CLASS_OF_CODE.items())}) l(code, label) on l.code = c_nationkey)
-select c_custkey, n.label, coalesce(g.colour, '#377EB8') as colour, coalesce(g.name, n.label) as name
+select c_custkey, n.label, coalesce(g.colour, {list(vocab.FALLBACK_COLOURS)}[c_custkey % 8 + 1]) as colour, coalesce(g.name, n.label) as name
 from named n left join (values {_LEGEND}) g(label, colour, name) on g.label = n.label""")
 def class_colours(spark, folder):
     label = F.coalesce(text.class_of_code(F.col("c_nationkey"), False),
                        F.concat(F.lit("X"), F.col("c_nationkey").cast("string")))
     return table(spark, folder, "customer").select("c_custkey", label.alias("label")).withColumns({
-        "colour": text.class_colour(F.col("label")), "name": text.class_name(F.col("label"))})
+        "colour": text.class_colour(F.col("label"), F.col("c_custkey")), "name": text.class_name(F.col("label"))})
 
 
-@query("""
-select 'c_acctbal' as name, count(c_acctbal) as present from customer
-union all select 'c_custkey', count(*) from customer union all select 'c_mktsegment', count(*) from customer
-union all select 'c_name', count(*) from customer union all select 'c_nationkey', count(*) from customer""")
+@query(" union all ".join(
+    f"select '{name}' as name, '{kind}' as type, count({name}) as present, cast(min({name}) as varchar) as low, "
+    f"cast(max({name}) as varchar) as high from customer" for name, kind in (
+        ("c_acctbal", "double"), ("c_custkey", "bigint"), ("c_mktsegment", "string"), ("c_name", "string"),
+        ("c_nationkey", "int"))))
 def describe_table(spark, folder):
     from fluxframe.sources.tables import describe
 
-    return describe(table(spark, folder, "customer")).select("name", "present")
+    return describe(table(spark, folder, "customer"))
