@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fluxframe.llm.common import ASCII_LOWER, by_bytes, documents
 from fluxframe.llm.shingles import mixed
@@ -47,7 +47,12 @@ def lower_words(text: str | None) -> list[bytes]:
 
 
 def vocabulary(docs: DataFrame, words: int = WORDS) -> dict[bytes, int]:
-    """Numbers of the most frequent words of all documents; ties go to the smaller word."""
+    """Numbers of the most frequent words of all documents, most frequent first, then by the word.
+
+    At most ``words``: of those that tie at the end either all come in or none.
+    Which count that is follows from how many words have each count; only words
+    that come in leave the executors.
+    """
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()),
@@ -63,8 +68,13 @@ def vocabulary(docs: DataFrame, words: int = WORDS) -> dict[bytes, int]:
             yield out()
 
     counts = docs.select("text").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "word").limit(words).collect()
-    return {bytes(r["word"]): place for place, r in enumerate(rows)}
+    # one row for each count that occurs
+    frequencies = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    so_far = F.sum("words").over(Window.orderBy(F.desc("n")))
+    least = frequencies.withColumn("so_far", so_far).where(F.col("so_far") <= words).agg(F.min("n").alias("least"))
+    rows = counts.join(F.broadcast(least), F.col("n") >= F.col("least")).select("word", "n").collect()  # a single row
+    ordered = sorted((-r["n"], bytes(r["word"])) for r in rows)
+    return {word: place for place, (_, word) in enumerate(ordered)}
 
 
 @dataclass
@@ -228,5 +238,6 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """
     marked = targets.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn(
         "target", F.lit(True))
-    flagged = documents(docs).join(marked, "doc_id", "left")
+    # both sides are shuffled at every size, since targets have no bound
+    flagged = documents(docs).join(marked.hint("merge"), "doc_id", "left")
     return score(flagged, fit(flagged, "target", corpus=documents(docs)), "target")
