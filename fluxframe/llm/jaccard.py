@@ -13,7 +13,10 @@ family, named after one of its members, and meet in a task in which
 
 Only one link per set and component leaves a task, never all pairs. Families of
 many shingles are cut into blocks, every two of which meet in some task.
-Everything shuffled besides the texts of sets in a family is narrow.
+
+Before texts are moved, members of a family are compared by size and by a
+histogram of their shingles, which bounds from above what two sets can share;
+whoever has no possible partner left leaves the family.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fluxframe.llm.common import by_bytes, documents
 from fluxframe.llm.components import connected
@@ -38,6 +41,10 @@ COUNTER_BITS = 20
 BLOCK_SHINGLES = 1 << 21
 #: Positions in a block of an index list.
 POSITIONS = 8
+#: Bins of the histogram of a set.
+BINS = 256
+#: Counters from this level on, four times the usual count or more, are taken for long lists.
+LONG_LIST = 4
 
 
 def needed(n: int, m: int | np.ndarray, percent: int = PERCENT):
@@ -56,25 +63,28 @@ class _Counters:
         self.shift, self.counts = np.uint64(64 - bits), np.zeros(1 << bits, np.uint32)
 
     def add(self, shingles: np.ndarray):
-        slots, counts = np.unique((shingles >> self.shift).astype(np.int64), return_counts=True)
-        self.counts[slots] += counts.astype(np.uint32)
+        slots = (shingles >> self.shift).astype(np.int64)
+        self.counts += np.bincount(slots, minlength=len(self.counts)).astype(np.uint32)
+
+
+def histogram(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each bin; bits of the hash that the counters don't use decide."""
+    bins = np.bincount(((shingles >> np.uint64(8)) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    return zlib.compress(bins.astype(np.uint32).tobytes(), 1)
 
 
 def describe(docs: DataFrame, bits: int = COUNTER_BITS) -> DataFrame:
-    """A row per document (doc_id, n, a, b: size and digest of its set) and, with kind 1, per task its counters."""
+    """A row per document (size, digest and histogram of its set) and, with kind 1, one per task with its counters."""
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counters = Shingler(), _Counters(bits)
         for batch in by_bytes(batches, "text"):
-            sizes, digests = [], []
-            for text in batch.column("text").to_pylist():
-                shingles, _ = shingler(text)
-                counters.add(shingles)
-                sizes.append(len(shingles))
-                digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-            halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+            sets = [shingler(text)[0] for text in batch.column("text").to_pylist()]
+            counters.add(np.concatenate(sets))
+            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(sizes), pa.int32()), batch.column("doc_id"), pa.array(sizes, pa.int64()),
-                 pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.nulls(len(sizes), pa.binary())], names)
+                [pa.array([0] * len(sets), pa.int32()), batch.column("doc_id"),
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
+                 pa.array([histogram(s) for s in sets], pa.binary())], names)
         if counters.counts.any():
             packed = zlib.compress(counters.counts.tobytes(), 1)
             yield pa.RecordBatch.from_arrays(
@@ -110,50 +120,64 @@ def levels(described: DataFrame, bits: int = COUNTER_BITS) -> np.ndarray:
     return np.minimum(np.round(2 * np.log2(above + 1)), 255).astype(np.uint8)
 
 
-def ordered_prefix(shingles: np.ndarray, size: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles a set is indexed under: rare ones first, then long ones, then by hash."""
+def ordered_prefix(shingles: np.ndarray, size: np.ndarray, level: np.ndarray,
+                   percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles a set is indexed under and their levels: rare ones first, then long ones, then by hash."""
     bits = int(len(level)).bit_length() - 1
     how_common = level[(shingles >> np.uint64(64 - bits)).astype(np.int64)]
-    order = np.lexsort((shingles, -size, how_common))
-    return shingles[order[:prefix_length(len(shingles), percent)]]
+    # one number to order by: level, size and 48 bits of the hash
+    short = np.uint64(255) - np.minimum(size, 255).astype(np.uint64)
+    key = how_common.astype(np.uint64) << np.uint64(56) | short << np.uint64(48) | shingles >> np.uint64(16)
+    length = prefix_length(len(shingles), percent)
+    chosen = np.argpartition(key, length - 1)[:length]
+    return shingles[chosen], how_common[chosen]
 
 
 def prefixes(docs: DataFrame, level: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """token, a, b: the index entries of every set, once per task that meets it."""
+    """token, long_list, a, b: the index entries of every set, once per task that meets it."""
     shared = docs.sparkSession.sparkContext.broadcast(level)  # 2 ** COUNTER_BITS bytes, whatever the input
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(), set()
         for batch in by_bytes(batches, "text"):
-            tokens, digests, counts = [], [], []
+            tokens, long_list, digests, counts = [], [], [], []
             for text in batch.column("text").to_pylist():
                 shingles, size = shingler(text)
                 digest = xxhash.xxh3_128_digest(shingles.tobytes())
                 if not len(shingles) or digest in seen:
                     continue
                 seen.add(digest)
-                tokens.append(ordered_prefix(shingles, size, shared.value, percent))
+                own, common = ordered_prefix(shingles, size, shared.value, percent)
+                tokens.append(own)
+                long_list.append(common >= LONG_LIST)
                 digests.append(digest)
-                counts.append(len(tokens[-1]))
+                counts.append(len(own))
             if tokens:
                 halves = np.repeat(np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2), counts, axis=0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
-                    ["token", "a", "b"])
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(long_list)),
+                     pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["token", "long_list", "a", "b"])
 
-    return docs.select("text").mapInArrow(indexed, "token long, a long, b long")
+    return docs.select("text").mapInArrow(indexed, "token long, long_list boolean, a long, b long")
 
 
 def families(entries: DataFrame) -> DataFrame:
     """pa, pb, a, b: every set under the smallest set of each list it is in, itself included.
 
-    The smallest set is a minimum combined before the shuffle; a list as long as
-    the table costs one row per task there, and the join back splits it.
+    Ordinary lists take one shuffle and a window. A list as long as the table
+    would be one task there, so for shingles that stand out the smallest set is
+    a minimum combined before the shuffle, and the join back splits the list.
     """
-    lists = (entries.groupBy("token").agg(F.min(F.struct("a", "b")).alias("least"),
-                                          F.max(F.struct("a", "b")).alias("most"))
-             .where("least != most").select("token", F.col("least.a").alias("pa"), F.col("least.b").alias("pb")))
-    return entries.join(lists, "token").select("pa", "pb", "a", "b").distinct()
+    own = F.struct("a", "b")
+    lists = Window.partitionBy("token")
+    short = (entries.where("not long_list").withColumns({"least": F.min(own).over(lists),
+                                                         "most": F.max(own).over(lists)})
+             .where("least != most").select(F.col("least.a").alias("pa"), F.col("least.b").alias("pb"), "a", "b"))
+    standing_out = entries.where("long_list")
+    ends = (standing_out.groupBy("token").agg(F.min(own).alias("least"), F.max(own).alias("most"))
+            .where("least != most").select("token", F.col("least.a").alias("pa"), F.col("least.b").alias("pb")))
+    long = standing_out.join(ends, "token").select("pa", "pb", "a", "b")
+    return short.unionByName(long).distinct()
 
 
 def comparable(members: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -166,7 +190,30 @@ def comparable(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("long")
     near = members.withColumn("__band", F.explode(F.array(band, band + 1)))
     crowded = near.groupBy("pa", "pb", "__band").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    return near.join(crowded, ["pa", "pb", "__band"], "left_semi").drop("__band").distinct()
+    stay = near.join(crowded, ["pa", "pb", "__band"], "left_semi").select("pa", "pb", "a", "b").distinct()
+    return members.join(stay, ["pa", "pb", "a", "b"], "left_semi")
+
+
+def possible(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Members that, by their histograms, may link with another one of their (pa, pb, block)."""
+    def kept(table: pa.Table) -> pa.Table:
+        bins = np.stack([np.frombuffer(zlib.decompress(h), np.uint32) for h in table.column("bins").to_pylist()])
+        order = np.argsort(table.column("n").to_numpy(), kind="stable")
+        bins, sizes = bins[order].astype(np.int32), table.column("n").to_numpy()[order]
+        keep = np.zeros(len(order), bool)
+        for r in range(1, len(order)):
+            first = int(np.searchsorted(sizes[:r], -(-percent * int(sizes[r]) // 100)))
+            for start in range(r, first, -512):  # nearest sizes first
+                part = slice(max(first, start - 512), start)
+                shared = np.minimum(bins[part], bins[r]).sum(axis=1)
+                hit = shared >= needed(int(sizes[r]), sizes[part], percent)
+                keep[part] |= hit
+                keep[r] |= hit.any()
+                if keep[first:r + 1].all():
+                    break
+        return table.take(pa.array(np.sort(order[keep]))).drop_columns(["n", "bins"])
+
+    return rows.groupBy("pa", "pb", "block").applyInArrow(kept, "pa long, pb long, block int, first long")
 
 
 def link_sets(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
@@ -277,8 +324,13 @@ def family_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def blocks(members: DataFrame, limit: int = BLOCK_SHINGLES) -> DataFrame:
-    """Add ``block``: families of more than ``limit`` shingles are cut, and every two parts meet in a block."""
-    sizes = members.groupBy("pa", "pb").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") * 2 / F.lit(limit))).alias("__k"))
+    """Add ``block``: families of more than ``limit`` shingles are cut, and every two parts meet in a block.
+
+    A set counts for its shingles and 512 more, so that small sets are not too many for a task either.
+    """
+    weight = F.sum(F.col("n") + 512)
+    sizes = members.groupBy("pa", "pb").agg(
+        F.when(weight <= limit, 1).otherwise(F.ceil(weight * 2 / F.lit(limit))).alias("__k"))
     k = F.col("__k").cast("int")
     part = F.pmod(F.xxhash64("a", "b"), F.col("__k")).cast("int")
     # of the parts i <= j, block i * k + j holds both
@@ -299,13 +351,15 @@ def components(docs: DataFrame, percent: int = PERCENT, limit: int = BLOCK_SHING
     docs = documents(docs)
     described = settle(describe(docs, bits))
     level = levels(described, bits)
-    sets = described.where("kind = 0").select("doc_id", "n", "a", "b")
+    sets = described.where("kind = 0").select("doc_id", "n", "a", "b", F.col("counts").alias("bins"))
     classes = (sets.where("n > 0 and doc_id is not null").groupBy("a", "b")
-               .agg(F.min("doc_id").alias("first"), F.first("n").alias("n")))
-    members = families(prefixes(docs.where("doc_id is not null"), level, percent)).join(classes, ["a", "b"])
-    near = settle(blocks(comparable(settle(members), percent), limit))
-    wanted = near.select(F.col("first").alias("doc_id"), "pa", "pb", "block")
-    texts = docs.join(wanted, "doc_id")
+               .agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bins").alias("bins")))
+    entries = settle(prefixes(docs.where("doc_id is not null"), level, percent))
+    members = settle(families(entries).join(classes, ["a", "b"]))
+    near = blocks(comparable(members, percent), limit)
+    wanted = settle(possible(near.select("pa", "pb", "block", "first", "n", "bins"), percent))
+    # both sides are shuffled at every size: how many sets are in families has no bound
+    texts = docs.join(wanted.withColumnRenamed("first", "doc_id").hint("merge"), "doc_id")
     links = settle(family_links(texts, percent))
     equal = sets.where("n > 0 and doc_id is not null").select("doc_id", "a", "b").join(
         classes.select("a", "b", "first"), ["a", "b"]).select(F.col("doc_id").alias("u"), F.col("first").alias("v"))

@@ -19,19 +19,43 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+class _Known(dict):
+    """Word -> place in the arrays of hashes and sizes, filled as words come up."""
+
+    def __init__(self):
+        self.fresh_hashes: list[int] = []
+        self.fresh_sizes: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        self.fresh_hashes.append(xxhash.xxh3_64_intdigest(word))
+        self.fresh_sizes.append(len(word))
+        return place
+
+
 class Shingler:
     """Distinct shingles of texts. Words are hashed once as long as they are remembered."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self._forget()
+
+    def _forget(self):
+        self.known, self.hashes, self.sizes = _Known(), np.empty(0, np.uint64), np.empty(0, np.int64)
 
-    def hashes(self, words: list[bytes]) -> list[int]:
+    def _look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > REMEMBERED:
+            self._forget()
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return [known[w] for w in words]
+        places = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if known.fresh_sizes:
+            fresh = np.array(known.fresh_hashes, np.uint64), np.array(known.fresh_sizes, np.int64)
+            known.fresh_hashes, known.fresh_sizes = [], []
+            at, end = len(known) - len(fresh[0]), len(known)
+            if end > len(self.hashes):  # room for twice as many
+                self.hashes = np.resize(self.hashes, 2 * end) if at else np.empty(2 * end, np.uint64)
+                self.sizes = np.resize(self.sizes, 2 * end) if at else np.empty(2 * end, np.int64)
+            self.hashes[at:end], self.sizes[at:end] = fresh
+        return self.hashes[places], self.sizes[places]
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct hashes, and the bytes each shingle has.
@@ -41,13 +65,14 @@ class Shingler:
         words = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
         if not words:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
-        h = np.array(self.hashes(words), dtype=np.uint64)
-        size = np.array([len(w) for w in words])
+        h, size = self._look_up(words)
         if len(words) < 3:
             whole = np.array([len(words)], np.uint64)
             for n in range(len(words)):
                 whole = whole + h[n:n + 1] * FACTORS[n]
             return mixed(whole), np.array([size.sum()])
         h = mixed(h[:-2] * FACTORS[0] + h[1:-1] * FACTORS[1] + h[2:] * FACTORS[2])
-        distinct, where = np.unique(h, return_index=True)
-        return distinct, (size[:-2] + size[1:-1] + size[2:])[where]
+        order = np.argsort(h)
+        h = h[order]
+        first = np.concatenate([[True], h[1:] != h[:-1]])
+        return h[first], (size[:-2] + size[1:-1] + size[2:])[order[first]]
