@@ -12,7 +12,7 @@ from fluxframe.functions import text
 from fluxframe.functions.scalars import to_number, whole_column_timestamp
 from fluxframe.operators.dims import newest_per_key
 from fluxframe.operators.ordering import keyed_join, row_hash
-from fluxframe.operators.spatial import axis_positions
+from fluxframe.operators.spatial import numbered_axes
 
 ORDER = "__sample_order"
 COORDINATES = ("timestamp", "lat", "lon")
@@ -121,9 +121,7 @@ def is_static(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
 
 def cube_axes(df: DataFrame) -> dict[str, DataFrame]:
     """Cube positions: time ascending, latitude descending, longitude ascending."""
-    return {"timestamp": axis_positions(df, "timestamp", "time_index"),
-            "lat": axis_positions(df, "lat", "lat_index", descending=True),
-            "lon": axis_positions(df, "lon", "lon_index")}
+    return numbered_axes(df, {"timestamp": "time_index", "lat": "lat_index", "lon": "lon_index"}, descending=["lat"])
 
 
 def dense_cube(df: DataFrame, variables: Sequence[str], axes: dict[str, DataFrame] | None = None,

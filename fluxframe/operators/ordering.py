@@ -17,6 +17,7 @@ from fluxframe.session import hot_key_rows, settle
 
 CHUNK, HALO, SEQ, PLACE = "__chunk", "__halo", "__seq", "__place"
 WHOLE = -1  # chunk number of keys that were not cut
+ROW_BYTES = 8  # what a stored row takes at least, for estimates
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -88,9 +89,13 @@ def find_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> Ho
     """Count rows per key, combining in the map tasks; only the keys are read.
 
     Where several operators follow on the same keys, count once at the source
-    and hand the result to all of them.
+    and hand the result to all of them. Input whose estimated size is below
+    ``ROW_BYTES`` for each of ``limit`` rows is not counted at all: results are
+    the same either way, and so little is no burden for one task.
     """
     limit = limit or hot_key_rows(df.sparkSession)
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < ROW_BYTES * limit:
+        return Hot(list(keys), limit, None)
     crowded = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
     return Hot(list(keys), limit, None if crowded.isEmpty() else settle(crowded))
 

@@ -17,10 +17,28 @@ def axis_positions(df: DataFrame, column: str, out: str, descending: bool = Fals
     return dense_order(values, [F.desc(column) if descending else F.asc(column)], out)
 
 
+def numbered_axes(df: DataFrame, columns: dict[str, str], descending: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Positions of the distinct values of several numeric axes, found in one pass.
+
+    ``columns`` names the position column of each axis. Values of all axes are
+    numbered together, axis after axis, and shifted to begin at 0.
+    """
+    entries = F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("value"),
+                                 (F.col(c).cast("double") * (-1 if c in descending else 1)).alias("sort"))
+                        for c in columns])
+    values = df.select(F.explode(entries).alias("e")).select("e.*").where(F.col("value").isNotNull()).distinct()
+    numbered = dense_order(values, ["axis", "sort"], "n")
+    # one row per axis
+    starts = {r["axis"]: r["start"] for r in numbered.groupBy("axis").agg(F.min("n").alias("start")).collect()}
+    return {c: numbered.where(F.col("axis") == c).select(
+        F.col("value").cast(df.schema[c].dataType).alias(c), (F.col("n") - starts.get(c, 0)).alias(out))
+        for c, out in columns.items()}
+
+
 def with_positions(df: DataFrame, columns: dict[str, str], descending: Sequence[str] = ()) -> DataFrame:
     """Attach axis positions, given as ``column: position column``."""
-    for column, out in columns.items():
-        df = df.join(axis_positions(df, column, out, column in descending), column)
+    for column, axis in numbered_axes(df, columns, descending).items():
+        df = df.join(axis, column)
     return df
 
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from fluxframe.queries import ORACLE, QUERIES
 from fluxframe.session import HOT_KEY_ROWS
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -61,4 +62,5 @@ def test_entry(spark):
 
 def test_catalogue():
     assert set(driver.oracle_sql()) <= set(driver.queries())
-    assert set(driver.queries()) - set(driver.oracle_sql()) == {"score_network"}
+    assert set(QUERIES) - set(ORACLE) == {"score_network"}
+    assert {**QUERIES}.items() <= driver.queries().items()
