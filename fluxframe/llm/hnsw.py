@@ -181,13 +181,24 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         kinds = {"dim": pa.int32(), "shard": pa.int64(), "entry": pa.int32()}
         return pa.table({n: pa.array([v], kinds.get(n, pa.binary())) for n, v in values.items()})
 
-    sizes = vectors.groupBy(F.size("vector").alias("dim")).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("long").alias("shards"))
+    sizes = settle(vectors.groupBy(F.size("vector").alias("dim")).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("long").alias("shards")))
     hashed = vectors.withColumns({"dim": F.size("vector"), "h": F.xxhash64("vector")})
     dealt = hashed.join(sizes, "dim").withColumn("shard", F.pmod("h", "shards"))
-    return settle(dealt.groupBy("dim", "shard").applyInArrow(
+    graphs = by_shard(dealt, _tasks(sizes.select("shards"))).groupBy("dim", "shard").applyInArrow(
         built, "dim int, shard long, vectors binary, ids binary, id_ends binary, layers binary, nodes binary, "
-               "links binary, entry int"))
+               "links binary, entry int")
+    return settle(graphs)
+
+
+def _tasks(shards: DataFrame) -> int:
+    """A task for each shard as far as that is sensible; only the number of tasks depends on it."""
+    return int(min(shards.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0], 10_000))
+
+
+def by_shard(rows: DataFrame, tasks: int) -> DataFrame:
+    """Deal rows out by shard. The number is given, since shards are small in bytes but long to work on."""
+    return rows.repartition(tasks, "dim", "shard")
 
 
 def _graph(row: dict, degree: int = DEGREE) -> tuple[Graph, np.ndarray, list[np.ndarray]]:
@@ -213,8 +224,10 @@ def search(index: DataFrame, queries: DataFrame, k: int = NEAREST, width: int =
     parts = max(1, -(-queries.count() // block))
     blocks = (queries.groupBy(F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("__block"))
               .agg(F.collect_list(F.struct("id", "vector")).alias("queries")).select("dim", "queries"))
-    # every block of the stated queries against every shard, by an equal join on the dimension
-    met = index.join(blocks, "dim")
+    # every block of the stated queries goes to every shard of its dimension, by equal keys
+    shards = index.select("dim", "shard")
+    tasks = _tasks(shards.groupBy("dim").agg(F.count(F.lit(1)).alias("shards")))
+    met = by_shard(index, tasks).join(by_shard(blocks.join(shards, "dim"), tasks), ["dim", "shard"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, at = None, None
