@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from fluxframe import schema, vocab
-from fluxframe.functions import geo, scalars, text
+from fluxframe.functions import scalars, text
 from fluxframe.operators import dims, layout, spatial
+from fluxframe.operators.ordering import keyed_join
 from fluxframe.session import settle
 
 
@@ -40,26 +41,29 @@ def build_dataset(raw: DataFrame, mask: DataFrame, cover: DataFrame, cover_frame
     ``cover`` row, col, code. Everything about places is worked out once per
     distinct coordinate, then joined to the hourly rows.
     """
-    # one row per coordinate, written once: the raw rows are not read again for
-    # it, and its known size lets Spark broadcast it to them
-    places = settle(raw.select("lat", "lon").distinct())
-    shares = land_share(mask, mask_origin, mask_step, mask_size, places)
+    # one row per place with its first hour, written once: everything about
+    # places, their numbers included, comes from here, and the raw rows are read
+    # only once more
+    narrow = schema.nan_to_null(raw.select("lat", "lon", "elev", "timestamp"))
+    places = settle(narrow.groupBy("lat", "lon", "elev").agg(
+        F.min(scalars.timestamp_to_int(F.col("timestamp"))).alias("first_seen")))
+    coordinates = places.select("lat", "lon").distinct()
+    shares = land_share(mask, mask_origin, mask_step, mask_size, coordinates)
     kept = spatial.land_or_coast(shares).select("lat", "lon")
     coded = spatial.sample_raster(kept, cover.select("row", "col", "code"), "lat", "lon",
                                   cover_frame.west, cover_frame.north, cover_frame.step,
                                   cover_frame.rows, cover_frame.cols, nearest_centre=True)
-    classed = settle(coded.select("lat", "lon", text.class_of_code(F.col("code"), at_ingest=True).alias("igbp")))
+    classed = coded.select("lat", "lon", text.class_of_code(F.col("code"), at_ingest=True).alias("igbp"))
+    # coordinates are copies of the raw ones, so equality is exact
+    dim = dims.surrogate_keys(places.join(classed, ["lat", "lon"]), ["lat", "lon", "elev", "igbp"], "first_seen")
 
     found = schema.present(raw, vocab.PREDICTORS)
-    rows = raw.join(classed, ["lat", "lon"])
+    rows = keyed_join(schema.nan_to_null(raw), dim.select("coord_id", "lat", "lon", "elev"), ["lat", "lon", "elev"],
+                      "inner")
     rows = rows.withColumns({"DOY": scalars.day_of_year(F.col("timestamp")).cast("double"),
                              "TOD": scalars.time_of_day(F.col("timestamp")).cast("double")})
-    rows = scalars.normalise_all(schema.nan_to_null(rows), strict_bounds)
-    rows = rows.withColumn("timestamp", scalars.timestamp_to_int(F.col("timestamp")))
-
-    attributes = ["lat", "lon", "elev", "igbp"]
-    dim = dims.surrogate_keys(rows, attributes, "timestamp")
-    facts = dims.attach_keys(rows, dim, attributes)
+    facts = scalars.normalise_all(rows, strict_bounds).withColumn(
+        "timestamp", scalars.timestamp_to_int(F.col("timestamp")))
     names = ["DOY", "TOD", *[p for p in found if p not in ("DOY", "TOD")]]
     return layout.rebuild_ids(facts.select("coord_id", "timestamp", *names)), dim
 
@@ -70,7 +74,3 @@ def image_cells(cells: DataFrame, dim: DataFrame, facts: DataFrame | None = None
         dim = dim.join(facts.select("coord_id"), "coord_id", "left_semi")
     return dims.cells_to_images(cells, dim)
 
-
-def located(df: DataFrame) -> DataFrame:
-    """Quarter-degree keys of lat and lon, for joins on coordinates."""
-    return df.withColumns({"lat_key": geo.cell_key(F.col("lat")), "lon_key": geo.cell_key(F.col("lon"))})
