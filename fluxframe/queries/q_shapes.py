@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fluxframe import schema
+from fluxframe import schema, vocab
 from fluxframe.functions import arrays, text
 from fluxframe.operators import spatial
+from fluxframe.plans.ingest import RasterFrame, build_dataset
 from fluxframe.queries.registry import ON_THE_MAP, customers_on_the_map, query
 from fluxframe.sources.tables import latest_checkpoint, table
 
@@ -106,3 +107,33 @@ def best_checkpoint_last(spark, folder):
     leaf = F.when(F.col("event_type") == "error", F.lit("last.pth")).otherwise(
         F.concat(F.lit("checkpoint-"), F.col("event_id").cast("string"), F.lit(".pth")))
     return latest_checkpoint(table(spark, folder, "events").select(F.concat(F.lit("run/"), leaf).alias("path")))
+
+
+_INGEST_CLASSES = ", ".join(f"({k}, '{v}')" for k, v in vocab.CLASS_OF_CODE.items() if k not in vocab.CODES_EMPTY_AT_INGEST)
+
+
+@query(f"""
+with raw as (select cast(c_custkey % 9 as double) as lat, cast(c_custkey // 9 % 19 as double) as lon, c_nationkey as hour from customer),
+mask as (select p_partkey % 20 as gx, p_partkey // 20 % 10 as gy, avg(p_size) > 25 as land from part group by all),
+places as (select lat, lon, min(hour) as first, count(*) as facts from raw group by all),
+flagged as (select p.*, land from places p join mask on gx = lon and gy = lat),
+kept as (select * from flagged f where land or exists (
+  select 1 from flagged g where g.land and abs(g.lat - f.lat) <= 1 and abs(g.lon - f.lon) <= 1))
+select row_number() over (order by first, lat, lon) as coord_id, lat, lon, label as igbp, facts
+from kept left join (values {_INGEST_CLASSES}) c(code, label) on code = cast((8 - lat) * 5 + lon * 3 as int) % 17""")
+def land_and_coast_dataset(spark, folder):
+    """Customers as hourly rows of places, parts as land mask and land cover."""
+    key = F.col("c_custkey")
+    raw = table(spark, folder, "customer").select(
+        (key % 9).cast("double").alias("lat"), (F.floor(key / 9) % 19).cast("double").alias("lon"),
+        F.lit(0.0).alias("elev"), F.timestamp_add("HOUR", F.col("c_nationkey"), F.lit("2017-02-01").cast("timestamp_ntz"))
+        .alias("timestamp"), F.col("c_acctbal").alias("TA"))
+    part = table(spark, folder, "part")
+    mask = part.groupBy((F.col("p_partkey") % 20).alias("gx"), (F.floor(F.col("p_partkey") / 20) % 10).alias("gy")).agg(
+        F.when(F.avg("p_size") > 25, 1.0).otherwise(0.0).alias("lsm"))
+    cover = part.select((F.col("p_partkey") % 9).cast("int").alias("row"),
+                        (F.floor(F.col("p_partkey") / 9) % 19).cast("int").alias("col")).distinct()
+    cover = cover.withColumn("code", ((F.col("row") * 5 + F.col("col") * 3) % 17).cast("int"))
+    facts, dim = build_dataset(raw, mask, cover, RasterFrame(-0.5, 8.5, 1.0, 9, 19), (0.0, 0.0), (1.0, 1.0), (20, 10))
+    counted = facts.groupBy("coord_id").agg(F.count("*").alias("facts"))
+    return dim.join(counted, "coord_id").select("coord_id", "lat", "lon", "igbp", "facts")
