@@ -92,35 +92,95 @@ def merge_words(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray,
 
 def _apply(v: Vocabulary, symbols: list[int], after: list[int], before: list[int], index: dict[int, list[int]]):
     """Merge in place; a position that was merged away holds -1."""
-    ranks, bits, heap = v.rank, v.bits, list(index)
+    rank_of, bits, heap = v.rank.get, v.bits, list(index)
     heapq.heapify(heap)
+    push, pop, lists = heapq.heappush, heapq.heappop, index.get
     while heap:
-        rank = heapq.heappop(heap)
+        rank = pop(heap)
         a, b, c = v.left[rank], v.right[rank], v.merged[rank]
-        for p in sorted(index.pop(rank)):
+        shifted = c << bits
+        positions = index.pop(rank)
+        positions.sort()
+        for p in positions:
+            if symbols[p] != a:
+                continue  # an earlier merge took it
             q = after[p]
-            if symbols[p] != a or q < 0 or symbols[q] != b:
-                continue  # an earlier merge took one of the two
+            if q < 0 or symbols[q] != b:
+                continue
             symbols[p], symbols[q] = c, -1
-            n, m = after[q], before[p]
-            after[p] = n
+            after[p] = n = after[q]
             if n >= 0:
                 before[n] = p
-                new = ranks.get(c << bits | symbols[n])
+                new = rank_of(shifted | symbols[n])
                 if new is not None:
-                    if new in index:
-                        index[new].append(p)
-                    else:
+                    own = lists(new)
+                    if own is None:
                         index[new] = [p]
-                        heapq.heappush(heap, new)
+                        push(heap, new)
+                    else:
+                        own.append(p)
+            m = before[p]
             if m >= 0:
-                new = ranks.get(symbols[m] << bits | c)
+                new = rank_of(symbols[m] << bits | c)
                 if new is not None:
-                    if new in index:
-                        index[new].append(m)
-                    else:
+                    own = lists(new)
+                    if own is None:
                         index[new] = [m]
-                        heapq.heappush(heap, new)
+                        push(heap, new)
+                    else:
+                        own.append(m)
+
+
+class _Words(dict):
+    """Word -> place, with the words that are new since the last merge."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        self.fresh.append(word)
+        return place
+
+
+class Encoder:
+    """Texts to ids. Words are merged once as long as they are remembered."""
+
+    def __init__(self, file: str):
+        self.vocabulary = Vocabulary(file)
+        self.split = Splitter(file, self.vocabulary.special)
+        self._forget()
+
+    def _forget(self):
+        self.words, self.ids, self.starts = _Words(), np.empty(0, np.uint32), np.zeros(1, np.int64)
+        special = self.vocabulary.special
+        if special:
+            for token in special:
+                self.words["\n" + token] = len(self.words)
+            self.ids = np.array(list(special.values()), np.uint32)
+            self.starts = np.arange(len(special) + 1)
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.words) > REMEMBERED:
+            self._forget()
+        look_up = self.words.__getitem__
+        places = []
+        for text in texts:
+            words = self.split(text) if text else []
+            places.append(np.fromiter(map(look_up, words), np.int64, len(words)))
+        if self.words.fresh:
+            ids, stops = merge_words(self.vocabulary, [w.encode() for w in self.words.fresh])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + stops])
+            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+            self.words.fresh = []
+        starts, sizes, flat = self.starts, np.diff(self.starts), self.ids
+        out = []
+        for own in places:
+            lengths = sizes[own]
+            ends = np.cumsum(lengths)
+            total = int(ends[-1]) if len(ends) else 0
+            out.append(flat[np.repeat(starts[own] - ends + lengths, lengths) + np.arange(total)])
+        return out
 
 
 class Splitter:
@@ -137,8 +197,10 @@ class Splitter:
 
         with open(file, encoding="utf-8") as f:
             whole = json.load(f)
-        split = whole["pre_tokenizer"]["pretokenizers"][0]
-        self.find = regex.compile(split["pattern"]["Regex"]).findall
+        pattern = whole["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.find = regex.compile(pattern).findall
+        # among ASCII characters these are all letters and numbers
+        self.find_ascii = re.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"), re.ASCII).findall
         self.beyond = re.compile(f"[^\\x00-{chr(LATIN_END)}]").search
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split
         self.special = set(special)
@@ -159,7 +221,7 @@ class Splitter:
 
     def _plain(self, text: str) -> list[str]:
         if text.isascii():
-            return self.find(text.lower())
+            return self.find_ascii(text.lower())
         if not self.beyond(text):
             return self.find(unicodedata.normalize("NFC", text).lower())
         normal = self.library.normalizer.normalize_str(text)
@@ -174,25 +236,12 @@ def encode(docs: DataFrame, file: str) -> DataFrame:
     gives no rows.
     """
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(file)
-        split = Splitter(file, vocabulary.special)
-        fixed = {"\n" + t: np.uint32(n).tobytes() for t, n in vocabulary.special.items()}
-        known = dict(fixed)
+        encoder = Encoder(file)
         for batch in by_bytes(batches, "text", STRETCH_BYTES):
-            texts = [split(t) if t else [] for t in batch.column("text").to_pylist()]
-            if len(known) > REMEMBERED:
-                known = dict(fixed)
-            new = list({}.fromkeys(w for words in texts for w in words if w not in known))
-            if new:
-                ids, stops = merge_words(vocabulary, [w.encode() for w in new])
-                raw, start = ids.astype("<u4").tobytes(), 0
-                for word, stop in zip(new, (4 * stops).tolist(), strict=True):
-                    known[word] = raw[start:stop]
-                    start = stop
-            out = [b"".join([known[w] for w in words]) for words in texts]
+            out = encoder(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())],
-                ["doc_id", "n_tokens", "ids"])
+                [batch.column("doc_id"), pa.array([len(x) for x in out], pa.int64()),
+                 pa.array([x.astype("<u4").tobytes() for x in out], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return documents(docs).mapInArrow(encoded, "doc_id long, n_tokens long, ids binary")
 
