@@ -33,7 +33,7 @@ from fluxframe.llm.common import by_bytes, documents
 WINDOW = 1024
 SENTENCE_PENALTY = 4
 HARD_PENALTY = 24
-LONG_SENTENCE = 96
+LONG_SENTENCE = 64
 #: Tokens planned at once; bounds memory, not results beyond the next cut.
 STRETCH = 1 << 18
 
