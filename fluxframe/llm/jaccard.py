@@ -352,8 +352,9 @@ def components(docs: DataFrame, percent: int = PERCENT, limit: int = BLOCK_SHING
     described = settle(describe(docs, bits))
     level = levels(described, bits)
     sets = described.where("kind = 0").select("doc_id", "n", "a", "b", F.col("counts").alias("bins"))
-    classes = (sets.where("n > 0 and doc_id is not null").groupBy("a", "b")
-               .agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bins").alias("bins")))
+    # written, so that joins with it can split a class that a third of all rows share
+    classes = settle(sets.where("n > 0 and doc_id is not null").groupBy("a", "b")
+                     .agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bins").alias("bins")))
     entries = settle(prefixes(docs.where("doc_id is not null"), level, percent))
     members = settle(families(entries).join(classes, ["a", "b"]))
     near = blocks(comparable(members, percent), limit)
