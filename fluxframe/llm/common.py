@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Lower-casing of A-Z only, over UTF-8 bytes.
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -43,8 +43,27 @@ def held_out(column: str) -> Column:
     return F.coalesce(crc_of_id(column) % 3 == 1, F.lit(True))
 
 
+def bounded_sample(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each group: those whose keys have the smallest hashes.
+
+    Groups are counted first, combined in the map tasks, and all but about twice
+    the wanted rows are left out by their hash before anything is ranked, so a
+    group that holds most of the table is no burden for the task that ranks it.
+    """
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    top = 1 << 40
+    near = (rows.withColumn("__h", F.pmod(F.xxhash64(key), F.lit(top))).join(sizes, group)
+            .where(F.col("__h") < F.lit(2.0 * most * top) / F.col("__n")))
+    order = Window.partitionBy(group).orderBy("__h", key)
+    return (near.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= most)
+            .drop("__h", "__n", "__rank"))
+
+
 def documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The two columns operators read, under fixed names; whatever else is there is left behind."""
+    """The two columns operators read, under fixed names; whatever else is there is left behind.
+
+    Texts are taken whole, whatever their length.
+    """
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 

@@ -22,9 +22,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from fluxframe.llm.common import by_bytes, held_out
+from fluxframe.llm.common import bounded_sample, by_bytes, held_out
 
 #: Labelled rows of each class that the model is fitted on.
 PER_CLASS = 3000
@@ -112,8 +112,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class
     known = (labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y"))
              .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("doc_id"))
              .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("__y")).where("y = __y").drop("__y"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= per_class)
+    chosen = bounded_sample(known, "y", "doc_id", per_class)
     sizes = known.groupBy("y").agg(F.count(F.lit(1)).alias("__all"))
     weighed = chosen.join(sizes, "y").select(
         "doc_id", "y", (F.col("__all") / F.least(F.col("__all"), F.lit(per_class))).alias("weight"))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fluxframe.llm.common import by_bytes, held_out, with_row
+from fluxframe.llm.common import bounded_sample, by_bytes, held_out, with_row
 
 UNKNOWN = "und"
 #: Documents of each language that the model is fitted on.
@@ -74,15 +74,12 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "doc
            lang: str = "lang") -> DataFrame:
     """At most ``per_language`` rows of each language to learn from, picked by a hash of their id.
 
-    Only ids are ranked, and each map task passes on no more than that many; the
-    texts of the few chosen rows follow by a join.
+    Only ids are ranked; the texts of the few chosen rows follow by a join.
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id)).select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
         F.col(lang).cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (usable.select("doc_id", "lang").withColumn("__rank", F.row_number().over(order))
-              .where(F.col("__rank") <= per_language).select("doc_id", "lang").distinct())
+    chosen = bounded_sample(usable.select("doc_id", "lang"), "lang", "doc_id", per_language).distinct()
     return usable.join(chosen, ["doc_id", "lang"], "left_semi").select("text", "lang")
 
 
