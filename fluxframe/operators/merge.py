@@ -96,20 +96,17 @@ def resolve_duplicates(df: DataFrame, keys: Sequence[str], policy: str, order: S
 
 
 def _mean_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Averages by hash for all keys; text and order only for the keys that occur more than once."""
+    """Keys are counted by hash; only rows of keys that occur more than once are grouped, all others pass."""
     columns = [c for c in df.columns if c not in order]
-    numbers = [f.name for f in df.schema.fields if schema.is_number(f) and f.name not in (*keys, *order)]
-    others = [c for c in columns if c not in (*keys, *numbers)]
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies"), *[F.avg(c).alias(c) for c in numbers])
-    if not others:
-        return counted.select(*columns)
-    repeated = counted.where(F.col("__copies") > 1)
-    sequence = F.struct(*order)
-    texts = keyed_join(df.select(*keys, *order, *others), repeated.select(*keys), keys, "left_semi").groupBy(*keys).agg(
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), sequence)).alias(c) for c in others])
-    several = keyed_join(repeated, texts, keys).select(*columns)
-    single = keyed_join(df, counted.where(F.col("__copies") == 1).select(*keys), keys, "left_semi")
-    return single.select(*columns).withColumns({c: F.col(c).cast("double") for c in numbers}).unionByName(several)
+    numbers = [f.name for f in df.schema.fields if schema.is_number(f) and f.name in columns and f.name not in keys]
+    sequence = F.struct(*order) if order else F.lit(0)
+    repeated = df.groupBy(*keys).count().where(F.col("count") > 1).select(*keys)
+    several = keyed_join(df, repeated, keys, "left_semi").groupBy(*keys).agg(
+        *[F.avg(c).alias(c) for c in numbers],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), sequence)).alias(c)
+          for c in columns if c not in (*keys, *numbers)])
+    single = keyed_join(df, repeated, keys, "left_anti").select(*columns)
+    return single.withColumns({c: F.col(c).cast("double") for c in numbers}).unionByName(several.select(*columns))
 
 
 def is_static(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
