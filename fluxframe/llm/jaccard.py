@@ -189,7 +189,8 @@ def comparable(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     width = float(np.log(100 / percent))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("long")
     near = members.withColumn("__band", F.explode(F.array(band, band + 1)))
-    crowded = near.groupBy("pa", "pb", "__band").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    # written, so that the join with it can split a family that holds most of the rows
+    crowded = settle(near.groupBy("pa", "pb", "__band").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"))
     stay = near.join(crowded, ["pa", "pb", "__band"], "left_semi").select("pa", "pb", "a", "b").distinct()
     return members.join(stay, ["pa", "pb", "a", "b"], "left_semi")
 
@@ -329,8 +330,8 @@ def blocks(members: DataFrame, limit: int = BLOCK_SHINGLES) -> DataFrame:
     A set counts for its shingles and 512 more, so that small sets are not too many for a task either.
     """
     weight = F.sum(F.col("n") + 512)
-    sizes = members.groupBy("pa", "pb").agg(
-        F.when(weight <= limit, 1).otherwise(F.ceil(weight * 2 / F.lit(limit))).alias("__k"))
+    sizes = settle(members.groupBy("pa", "pb").agg(
+        F.when(weight <= limit, 1).otherwise(F.ceil(weight * 2 / F.lit(limit))).alias("__k")))
     k = F.col("__k").cast("int")
     part = F.pmod(F.xxhash64("a", "b"), F.col("__k")).cast("int")
     # of the parts i <= j, block i * k + j holds both
@@ -357,7 +358,7 @@ def components(docs: DataFrame, percent: int = PERCENT, limit: int = BLOCK_SHING
                      .agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bins").alias("bins")))
     entries = settle(prefixes(docs.where("doc_id is not null"), level, percent))
     members = settle(families(entries).join(classes, ["a", "b"]))
-    near = blocks(comparable(members, percent), limit)
+    near = blocks(settle(comparable(members, percent)), limit)
     wanted = settle(possible(near.select("pa", "pb", "block", "first", "n", "bins"), percent))
     # both sides are shuffled at every size: how many sets are in families has no bound
     texts = docs.join(wanted.withColumnRenamed("first", "doc_id").hint("merge"), "doc_id")
