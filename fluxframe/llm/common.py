@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fluxframe.session import settle
+
 #: Lower-casing of A-Z only, over UTF-8 bytes.
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -50,7 +52,8 @@ def bounded_sample(rows: DataFrame, group: str, key: str, most: int) -> DataFram
     the wanted rows are left out by their hash before anything is ranked, so a
     group that holds most of the table is no burden for the task that ranks it.
     """
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    # written: a table of one row per group, whose known size lets Spark send it to the rows
+    sizes = settle(rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")))
     top = 1 << 40
     near = (rows.withColumn("__h", F.pmod(F.xxhash64(key), F.lit(top))).join(sizes, group)
             .where(F.col("__h") < F.lit(2.0 * most * top) / F.col("__n")))
