@@ -7,11 +7,14 @@ target loss minus background loss, so low scores look like the target.
 A document never speaks for itself: what it has put into either model is taken
 out again while it is scored, so members of the target gain nothing by that.
 
-Counts cover all documents. The vocabulary is the ``words`` most frequent ones
-of the whole corpus; each other word falls into one of ``classes`` by its hash.
-Bigrams are counted in ``2 ** bits`` slots. So the models have a fixed size,
-whatever the input, and can go to every task; tasks add up their own counts
-before anything is shuffled, slice by slice.
+``cross_entropy_difference`` counts every word and every bigram of all documents
+by itself, in Spark tables that grow with the input. Each text is matched with
+the counts of its own distinct bigrams by a join; the most frequent bigrams,
+which would meet in a few tasks there, are few enough to go to every task.
+
+``fit`` and ``score`` are a bounded approximation that no query uses: the
+``words`` most frequent words, ``classes`` for all others, and ``2 ** bits``
+slots for bigrams, whatever the input.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fluxframe.llm.common import ASCII_LOWER, by_bytes, documents
 from fluxframe.llm.shingles import mixed
+from fluxframe.session import settle
 
 WORDS = 1 << 16
 CLASSES = 1 << 12
@@ -231,13 +235,183 @@ def score(docs: DataFrame, models: Pair, target: str) -> DataFrame:
         scored, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
+#: Distinct bigrams a task counts before it passes them on.
+HELD_BIGRAMS = 400_000
+#: Most frequent bigrams whose counts go to every task. All others are joined, so no result depends on it.
+FREQUENT = 1 << 16
+#: Columns of counts, of the background and of the target: bigram, its first word as context, its second word.
+COUNTS = ["b0", "b1", "c0", "c1", "u0", "u1"]
+
+
+def bigrams(words: list[bytes]) -> zip:
+    """Every word with the one before it; nothing stands before the first."""
+    return zip([b"", *words], words, strict=False)
+
+
+def bigram_counts(docs: DataFrame, target: str, held: int = HELD_BIGRAMS) -> DataFrame:
+    """before, word, b0, b1: how often every bigram occurs in all rows and in those where ``target`` is true."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out():
+            before, word = zip(*every, strict=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(before, pa.binary()), pa.array(word, pa.binary()), pa.array(list(every.values()), pa.int64()),
+                 pa.array([hits[pair] for pair in every], pa.int64())], ["before", "word", "b0", "b1"])
+        every: Counter = Counter()
+        hits: Counter = Counter()
+        for batch in by_bytes(batches, "text"):
+            for text, hit in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
+                pairs = list(bigrams(lower_words(text)))
+                every.update(pairs)
+                if hit:
+                    hits.update(pairs)
+            if len(every) > held:
+                yield out()
+                every.clear()
+                hits.clear()
+        if every:
+            yield out()
+
+    flagged = docs.select("text", F.coalesce(F.col(target).cast("boolean"), F.lit(False)).alias("target"))
+    rows = flagged.mapInArrow(counted, "before binary, word binary, b0 long, b1 long")
+    return rows.groupBy("before", "word").agg(F.sum("b0").alias("b0"), F.sum("b1").alias("b1"))
+
+
+def with_words(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``counts`` with those of either word (columns ``COUNTS``), and the counts of every word (word, u0, u1)."""
+    def of(key: str, letter: str) -> DataFrame:
+        return settle(counts.groupBy(key).agg(F.sum("b0").alias(f"{letter}0"), F.sum("b1").alias(f"{letter}1")))
+
+    words = of("word", "u")
+    return counts.join(of("before", "c"), "before").join(words, "word").select("before", "word", *COUNTS), words
+
+
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """Rows of the most frequent bigrams, ``most`` at most; of those that tie at the end all come in or none."""
+    # one row for each count that occurs
+    frequencies = counts.groupBy("b0").agg(F.count(F.lit(1)).alias("pairs"))
+    so_far = F.sum("pairs").over(Window.orderBy(F.desc("b0")))
+    least = frequencies.withColumn("so_far", so_far).where(F.col("so_far") <= most).agg(F.min("b0")).first()[0]
+    return [] if least is None else counts.where(F.col("b0") >= F.lit(least)).collect()
+
+
+@dataclass
+class Sums:
+    """Words of both models together, and the number of different words."""
+
+    background: int
+    target: int
+    words: int
+
+    def loss(self, k: int, own: int, x: dict, log, larger, choose):
+        """Loss in nats of one occurrence of a bigram, for numpy arrays or columns alike.
+
+        ``own`` tells whether the document is in model ``k``; ``n``, ``c`` and ``u`` are its own counts of the bigram,
+        of the word before it and of the word, ``length`` its words.
+        """
+        total = (self.background, self.target)[k] - own * x["length"] + SMOOTHING * self.words
+        alone = (larger(x[f"u{k}"] - own * x["u"], 0) + SMOOTHING) / total
+        seen = x[f"c{k}"] - own * x["c"]
+        follows = larger(x[f"b{k}"] - own * x["n"], 0) / larger(seen, 1)
+        return -log(choose(seen > 0, BIGRAM * follows + (1 - BIGRAM) * alone, alone))
+
+
+#: Sums of losses of a text: background; target if the text is in it; target if not.
+LOSSES = {"background": (0, 1), "within": (1, 1), "outside": (1, 0)}
+
+
+def text_losses(texts: DataFrame, counts: DataFrame, sums: Sums, frequent: int = FREQUENT) -> DataFrame:
+    """x, y, n_tokens and mean losses (``LOSSES``) of every text with a word; ``texts`` has text and its hashes x, y.
+
+    A text may come up in several tasks; each passes it on once and all give the same losses.
+    """
+    rows = most_frequent(counts, frequent)
+    table = {(bytes(r["before"]), bytes(r["word"])): n for n, r in enumerate(rows)}
+    values = np.array([[r[c] for c in COUNTS] for r in rows], np.float64).reshape(-1, len(COUNTS))
+    shared = texts.sparkSession.sparkContext.broadcast((table, values))  # ``frequent`` bigrams at most
+    names = ["x", "y", "before", "word", "n", "c", "u", "length", "texts", *LOSSES]
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, values = shared.value
+        done = set()
+        for batch in by_bytes(batches, "text"):
+            kept, lengths, starts, before, word, n, c, u = [], [], [], [], [], [], [], []
+            for x, y, text in zip(*(batch.column(k).to_pylist() for k in ("x", "y", "text")), strict=True):
+                words = lower_words(text)
+                if not words or (x, y) in done:
+                    continue
+                done.add((x, y))
+                own = Counter(bigrams(words))
+                contexts, alone = Counter([b"", *words[:-1]]), Counter(words)
+                first, second = zip(*own, strict=True)
+                kept.append((x, y))
+                lengths.append(len(words))
+                starts.append(len(n))
+                before += first
+                word += second
+                n += own.values()
+                c += map(contexts.__getitem__, first)
+                u += map(alone.__getitem__, second)
+            if not kept:
+                continue
+            at = np.array([known.get(pair, -1) for pair in zip(before, word, strict=True)], np.int64)
+            numbers = {"n": np.array(n, np.int64), "c": np.array(c, np.int64), "u": np.array(u, np.int64)}
+            which = np.repeat(np.arange(len(kept)), np.diff([*starts, len(n)]))
+            own = numbers | {"length": np.array(lengths, np.int64)[which]}
+            here = at >= 0
+            found = {k: v[here] for k, v in own.items()} | dict(zip(COUNTS, values[at[here]].T, strict=True))
+            with np.errstate(divide="ignore", invalid="ignore"):  # ``within`` of texts that are not
+                each = [sums.loss(k, o, found, np.log, np.maximum, np.where) * found["n"] for k, o in LOSSES.values()]
+            losses = [np.bincount(which[here], x, len(kept)).astype(np.float64) for x in each]
+            keys = np.array(kept, np.int64)
+            # what is known already is under a key that holds a blank, so that it is no bigram and meets no other
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([b" "] * len(kept), pa.binary()),
+                 pa.array([b" %d" % x for x, _ in kept], pa.binary()), *[pa.array(np.zeros(len(kept), np.int64))] * 3,
+                 pa.array(lengths, pa.int64()), pa.array(np.ones(len(kept), np.int64)),
+                 *map(pa.array, losses)], names)
+            rest = np.flatnonzero(~here)
+            if len(rest):
+                keys = keys[which[rest]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([before[k] for k in rest], pa.binary()),
+                     pa.array([word[k] for k in rest], pa.binary()),
+                     *(pa.array(own[k][rest]) for k in ("n", "c", "u", "length")),
+                     pa.array(np.zeros(len(rest), np.int64)), *[pa.array(np.zeros(len(rest)))] * len(LOSSES)], names)
+
+    own = texts.mapInArrow(matched, "x long, y long, before binary, word binary, n long, c long, u long, length long, "
+                                    "texts long, background double, within double, outside double")
+    columns = {k: F.col(k) for k in ("n", "c", "u", "length", *COUNTS)}
+    losses = {name: F.col(name) + F.coalesce(F.col("n") * sums.loss(
+        k, o, columns, F.log, lambda a, b: F.greatest(a, F.lit(b).cast("long")),
+        lambda if_, a, b: F.when(if_, a).otherwise(b)), F.lit(0.0)) for name, (k, o) in LOSSES.items()}
+    # both sides are shuffled at every size: neither has a bound
+    joined = own.join(counts.hint("merge"), ["before", "word"], "left")
+    found = (joined.select("x", "y", "length", "texts", *[v.alias(k) for k, v in losses.items()]).groupBy("x", "y")
+             .agg(F.max("length").alias("n_tokens"), F.sum("texts").alias("texts"), *[F.sum(k).alias(k) for k in LOSSES]))
+    words = F.col("texts") * F.col("n_tokens")
+    return found.select("x", "y", "n_tokens", *[(F.col(k) / words).alias(k) for k in LOSSES])
+
+
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """Score ``docs`` against the model of those whose doc_id is in ``targets``.
 
-    Repeated target ids count once, ids without a document not at all.
+    doc_id, n_tokens, target_loss, background_loss and their difference ``score``
+    for every document. Repeated target ids count once, ids without a document
+    not at all. Texts without a word have no losses and no score. Equal texts
+    with equal flags score alike; an empty table gives no rows.
     """
+    docs = documents(docs)
     marked = targets.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn(
         "target", F.lit(True))
     # both sides are shuffled at every size, since targets have no bound
-    flagged = documents(docs).join(marked.hint("merge"), "doc_id", "left")
-    return score(flagged, fit(flagged, "target", corpus=documents(docs)), "target")
+    flagged = docs.join(marked.hint("merge"), "doc_id", "left")
+    counts, words = with_words(settle(bigram_counts(flagged, "target")))
+    row = words.agg(F.sum("u0"), F.sum("u1"), F.count(F.lit(1))).first()
+    hashed = docs.withColumns({"x": F.xxhash64("text"), "y": F.xxhash64(F.lit(1), "text")})
+    losses = text_losses(hashed.select("x", "y", "text"), settle(counts), Sums(row[0] or 0, row[1] or 0, row[2]),
+                         frequent)
+    target_loss = F.when(F.col("target"), F.col("within")).otherwise(F.col("outside"))
+    return (hashed.drop("text").join(marked.hint("merge"), "doc_id", "left").join(losses.hint("merge"), ["x", "y"], "left")
+            .select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"),
+                    target_loss.alias("target_loss"), F.col("background").alias("background_loss"),
+                    (target_loss - F.col("background")).alias("score")))

@@ -168,3 +168,54 @@ def test_losses_of_odd_rows(spark, odd, odd_rows, empty):
     assert got.where("n_tokens > 0 and (score is null or isnan(score))").count() == 0
     assert lm.cross_entropy_difference(empty, targets).count() == 0
     assert lm.cross_entropy_difference(odd, targets.limit(0)).count() == len(odd_rows)
+
+
+def exact_losses(rows, targets):
+    """The two models by plain counting of words and pairs themselves, each without the row at hand."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = [(d, (t or "").translate(lower).split()) for d, t in rows]
+    size = len({w for _, t in texts for w in t})
+    pairs = [(d in targets, list(zip([None, *t[:-1]], t, strict=True)) if t else []) for d, t in texts]
+    every = [Counter(), Counter()]
+    for hit, own in pairs:
+        for k in range(1 + hit):
+            every[k].update([*own, *(("context", a) for a, _ in own), *(("word", b) for _, b in own)])
+            every[k]["all"] += len(own)
+    out = []
+    for (doc, _), (hit, own) in zip(texts, pairs, strict=True):
+        mine = Counter([*own, *(("context", a) for a, _ in own), *(("word", b) for _, b in own)])
+        mine["all"] = len(own)
+        losses = []
+        for k in (1, 0):
+            left = lambda g, k=k: every[k][g] - (mine[g] if hit or not k else 0)
+            total = 0.0
+            for a, b in own:
+                p = (left(("word", b)) + 0.5) / (left("all") + 0.5 * size)
+                if left(("context", a)):
+                    p = 0.6 * left((a, b)) / left(("context", a)) + 0.4 * p
+                total -= math.log(p)
+            losses.append(total / len(own) if own else None)
+        out.append((doc, len(own), *losses))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [0, 50, 1 << 16])
+def test_every_word_and_pair_counts_by_itself(spark, frequent):
+    rng = np.random.default_rng(3)
+    # more words than the bounded models have room for, so that any cap shows
+    rows = [(n, " ".join([f"Rare{i}" for i in rng.integers(0, 200_000, 900)] + [f"w{i}" for i in rng.integers(0, 30, 100)]))
+            for n in range(120)]
+    rows += [(200, rows[0][1]), (200, "another text"), (201, None), (202, " \n "), (None, "w1 w2 w1 w2"), (203, "one")]
+    targets = {*range(0, 120, 3), 200}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    marks = spark.createDataFrame([(d,) for d in [*targets, 0, 999, None]], "doc_id long")
+    got = lm.cross_entropy_difference(docs, marks, frequent=frequent).collect()
+    key = lambda r: (str(r[0]), r[1])
+    expected = sorted(exact_losses(rows, targets), key=key)
+    assert len(got) == len(expected)
+    for r, (doc, n, target, background) in zip(sorted(map(tuple, got), key=key), expected, strict=True):
+        assert r[:2] == (doc, n)
+        if n:
+            assert r[2:] == pytest.approx((target, background, target - background), rel=1e-9, abs=1e-9)
+        else:
+            assert r[2:] == (None, None, None)
