@@ -238,7 +238,7 @@ def link_sets(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
     edges = np.concatenate([[0], np.cumsum(sizes)])
     shared = often[np.argsort(often, kind="stable")] > 1
     index: dict[int, dict[int, list]] = {}  # shingle -> block of positions -> [greatest size, sets]
-    overlaps: dict[int, np.ndarray] = {}  # of the first set of a component with all sets before it
+    overlaps: dict[int, np.ndarray] = {}  # upper bounds, of the first set of a component with all sets before it
     mark = np.zeros(len(often), bool)
 
     for r in range(count):
@@ -256,7 +256,8 @@ def link_sets(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
             _answers(r, n, least, found, sizes, edges, flat, mark, root, parent, overlaps, percent)
             mark[own] = False
         if root(r) == r:
-            overlaps.setdefault(r, np.zeros(r, np.int32))
+            # it links with none before it, which is all that is known
+            overlaps.setdefault(r, np.minimum(sizes[:r], needed(n, sizes[:r], percent) - 1).astype(np.int32))
         for place, token in enumerate(prefix):
             if shared[token]:
                 block = index.setdefault(token, {}).setdefault(place // POSITIONS, [0, []])

@@ -103,6 +103,32 @@ def test_link_sets_against_all_pairs(seed):
     assert jaccard.link_sets(sets) == list(roots(range(40), links).values())
 
 
+def all_pairs(sets, percent=90):
+    links = [(i, j) for i, j in combinations(range(len(sets)), 2)
+             if 100 * (x := len(np.intersect1d(sets[i], sets[j]))) >= percent * (len(sets[i]) + len(sets[j]) - x)]
+    return list(roots(range(len(sets)), links).values())
+
+
+def test_no_candidate_is_not_no_overlap():
+    a, b, k, u = np.split(np.arange(104, dtype=np.uint64), [10, 20, 100])
+    sets = [np.concatenate(x) for x in ((a[:6], k, u), (a, k), (b, k), (a, b, k))]
+    assert jaccard.link_sets(sets) == all_pairs(sets) == [0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("seed", range(10))
+def test_truncated_copies_against_all_pairs(seed, percent):
+    rng = np.random.default_rng(seed)
+    sets = []
+    for _ in range(4):
+        base = rng.permutation(400)[:120].astype(np.uint64)
+        for _ in range(14):  # cut at either end, some with words of their own
+            start, stop = rng.integers(0, 16), rng.integers(100, 121)
+            sets.append(np.unique(np.concatenate([base[start:stop], rng.integers(1000, 9000, rng.integers(0, 6)).astype(np.uint64)])))
+    sets.sort(key=len)
+    assert jaccard.link_sets(sets, percent) == all_pairs(sets, percent)
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(n, n + 1) for n in range(400, 460)]
