@@ -12,6 +12,8 @@ from fluxframe.session import settle
 
 #: A document stays if its language is this much more likely than the others together.
 LEAST_CERTAIN = 0.5
+#: Near copies share this percentage of their shingles of so many words; the values of op9 hold for op9 only.
+COPY_PERCENT, COPY_WORDS = 80, 5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near copies."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, COPY_PERCENT, COPY_WORDS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,8 @@ from fluxframe.llm.shingles import Shingler
 from fluxframe.session import settle
 
 PERCENT = 90
+#: Words of a shingle.
+WORDS = 3
 #: Counters of shingles, a power of two: the table that goes to every task has one byte for each.
 COUNTER_BITS = 20
 #: Shingles that one task holds of a family, apart from a single larger set.
@@ -73,10 +75,10 @@ def histogram(shingles: np.ndarray) -> bytes:
     return zlib.compress(bins.astype(np.uint32).tobytes(), 1)
 
 
-def describe(docs: DataFrame, bits: int = COUNTER_BITS) -> DataFrame:
+def describe(docs: DataFrame, bits: int = COUNTER_BITS, words: int = WORDS) -> DataFrame:
     """A row per document (size, digest and histogram of its set) and, with kind 1, one per task with its counters."""
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counters = Shingler(), _Counters(bits)
+        shingler, counters = Shingler(words), _Counters(bits)
         for batch in by_bytes(batches, "text"):
             sets = [shingler(text)[0] for text in batch.column("text").to_pylist()]
             counters.add(np.concatenate(sets))
@@ -133,12 +135,12 @@ def ordered_prefix(shingles: np.ndarray, size: np.ndarray, level: np.ndarray,
     return shingles[chosen], how_common[chosen]
 
 
-def prefixes(docs: DataFrame, level: np.ndarray, percent: int = PERCENT) -> DataFrame:
+def prefixes(docs: DataFrame, level: np.ndarray, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """token, long_list, a, b: the index entries of every set, once per task that meets it."""
     shared = docs.sparkSession.sparkContext.broadcast(level)  # 2 ** COUNTER_BITS bytes, whatever the input
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(), set()
+        shingler, seen = Shingler(words), set()
         for batch in by_bytes(batches, "text"):
             tokens, long_list, digests, counts = [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -310,10 +312,10 @@ def _union(x: int, y: int, root, parent):
     parent[max(a, b)] = min(a, b)
 
 
-def family_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+def family_links(rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """u, v: links that connect what is connected among the texts under one (pa, pb, block)."""
     def linked(table: pa.Table) -> pa.Table:
-        shingler = Shingler()
+        shingler = Shingler(words)
         ids = table.column("doc_id").to_pylist()
         sets = [shingler(t)[0] for t in table.column("text").to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
@@ -342,7 +344,7 @@ def blocks(members: DataFrame, limit: int = BLOCK_SHINGLES) -> DataFrame:
 
 
 def components(docs: DataFrame, percent: int = PERCENT, limit: int = BLOCK_SHINGLES,
-               bits: int = COUNTER_BITS) -> DataFrame:
+               bits: int = COUNTER_BITS, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document.
 
     Texts without a word have no shingles and link with nothing. A row without a
@@ -351,19 +353,19 @@ def components(docs: DataFrame, percent: int = PERCENT, limit: int = BLOCK_SHING
     document that has the links of all. An empty table gives no rows.
     """
     docs = documents(docs)
-    described = settle(describe(docs, bits))
+    described = settle(describe(docs, bits, words))
     level = levels(described, bits)
     sets = described.where("kind = 0").select("doc_id", "n", "a", "b", F.col("counts").alias("bins"))
     # written, so that joins with it can split a class that a third of all rows share
     classes = settle(sets.where("n > 0 and doc_id is not null").groupBy("a", "b")
                      .agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bins").alias("bins")))
-    entries = settle(prefixes(docs.where("doc_id is not null"), level, percent))
+    entries = settle(prefixes(docs.where("doc_id is not null"), level, percent, words))
     members = settle(families(entries).join(classes, ["a", "b"]))
     near = blocks(settle(comparable(members, percent)), limit)
     wanted = settle(possible(near.select("pa", "pb", "block", "first", "n", "bins"), percent))
     # both sides are shuffled at every size: how many sets are in families has no bound
     texts = docs.join(wanted.withColumnRenamed("first", "doc_id").hint("merge"), "doc_id")
-    links = settle(family_links(texts, percent))
+    links = settle(family_links(texts, percent, words))
     equal = sets.where("n > 0 and doc_id is not null").select("doc_id", "a", "b").join(
         classes.select("a", "b", "first"), ["a", "b"]).select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     roots = connected(links.unionByName(equal), "u", "v")
@@ -372,9 +374,9 @@ def components(docs: DataFrame, percent: int = PERCENT, limit: int = BLOCK_SHING
             .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The documents that are the smallest of their component; rows without doc_id stay."""
-    keep = components(docs, percent).where("doc_id = component_id").select("doc_id").distinct()
+    keep = components(docs, percent, words=words).where("doc_id = component_id").select("doc_id").distinct()
     known = docs.where(F.col("doc_id").isNotNull())
     return (known.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
             .unionByName(docs.where(F.col("doc_id").isNull())))

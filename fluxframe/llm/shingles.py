@@ -1,4 +1,4 @@
-"""Texts as sets of hashed three-word shingles, a batch at a time."""
+"""Texts as sets of hashed shingles of a few words, a batch at a time."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import xxhash
 from fluxframe.llm.common import ASCII_LOWER
 
 #: Odd multipliers; any will do, they only have to stay the same within a job.
-FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
+                                  0x85EBCA77C2B2AE63)]
 REMEMBERED = 300_000
 
 
@@ -36,7 +37,8 @@ class _Known(dict):
 class Shingler:
     """Distinct shingles of texts. Words are hashed once as long as they are remembered."""
 
-    def __init__(self):
+    def __init__(self, words: int = 3):
+        self.words = words  # as many as there are factors at most
         self._forget()
 
     def _forget(self):
@@ -60,19 +62,21 @@ class Shingler:
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct hashes, and the bytes each shingle has.
 
-        Fewer than three words count as one shingle; no word gives none.
+        Fewer words than a shingle has count as one shingle; no word gives none.
         """
         words = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
         if not words:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         h, size = self._look_up(words)
-        if len(words) < 3:
+        if len(words) < self.words:
             whole = np.array([len(words)], np.uint64)
             for n in range(len(words)):
                 whole = whole + h[n:n + 1] * FACTORS[n]
             return mixed(whole), np.array([size.sum()])
-        h = mixed(h[:-2] * FACTORS[0] + h[1:-1] * FACTORS[1] + h[2:] * FACTORS[2])
+        count = len(words) - self.words + 1
+        h = mixed(sum(h[n:n + count] * FACTORS[n] for n in range(self.words)))
+        size = sum(size[n:n + count] for n in range(self.words))
         order = np.argsort(h)
         h = h[order]
         first = np.concatenate([[True], h[1:] != h[:-1]])
-        return h[first], (size[:-2] + size[1:-1] + size[2:])[order[first]]
+        return h[first], size[order[first]]

@@ -1,5 +1,7 @@
+import random
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import __spark_entry__ as driver
 import corpus_pipeline
@@ -10,7 +12,7 @@ from tokenizers import Tokenizer
 from fluxframe.llm import queries as llm_queries
 
 from tests.llm.test_compression import slow_row
-from tests.llm.test_jaccard import slow
+from tests.llm.test_jaccard import LOWER, roots, slow
 from fluxframe.llm import compression
 
 
@@ -44,6 +46,42 @@ def test_stages_against_plain_loops(spark, sf):
         assert at == len(ids)
 
 
+def five_word_copies(rows):
+    """Smallest ids of groups that share four fifths of their five-word shingles, by all pairs."""
+    def shingles(text):
+        words = (text or "").translate(LOWER).split()
+        return set(zip(*(words[k:] for k in range(5)))) if len(words) >= 5 else {tuple(words)} if words else set()
+    sets = [(d, shingles(t)) for d, t in rows]
+    links = [(a, b) for (a, s), (b, t) in combinations(sets, 2) if s and t and 5 * len(s & t) >= 4 * len(s | t)]
+    return {d for d, c in roots({d for d, _ in sets}, links).items() if c == d}
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark, sf):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(6):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(200)]
+        rows.append(base)
+        rows.append(base[:rng.randint(165, 178)])  # a cut tail
+        at = rng.randrange(200)
+        rows.append(base[:at] + [f"n{rng.randint(0, 3000)}" for _ in range(rng.randint(20, 44))] + base[at:])  # a passage
+        for edits in (2, 3, 4, 5, 9):
+            own = list(base)
+            for k in rng.sample(range(200), edits):
+                own[k] = f"e{rng.randint(0, 3000)}"
+            rows.append(own)
+    rng.shuffle(rows)
+    rows = [(n, " ".join(r)) for n, r in enumerate(rows, 5)] + [(1, "a b c d"), (2, "a b c d"), (3, "a b c"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs, sf).collect()}
+    assert kept == five_word_copies(rows)
+    assert len(kept) < len(five_word_copies(rows) | {d for d, _, c in slow(rows) if c == d})
+    real = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs = spark.createDataFrame(real, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs, sf).collect()}
+    assert kept == five_word_copies(real)
+
+
 def test_stages_take_odd_rows(spark, odd, empty):
     for table in (odd, empty):
         docs = table
