@@ -26,9 +26,13 @@ SYMBOLS = b"#*$%&|<>"
 BANDS = ((0, 0.42, 0.95), (512, 0.38, 0.85), (1024, 0.36, 0.75), (2048, 0.33, 0.70), (8192, 0.29, 0.65),
          (32768, 0.26, 0.65))
 CHUNK_BYTES = 2048
-#: Limits for single chunks, and the share of chunks outside that rejects a document.
-CHUNK_BAND = (0.25, 0.80)
+#: Limits for single chunks, and the shares of bytes in chunks below or above that reject a document. Chunks of good
+#: rows of the four languages come to 0.53 at most, base64 to 0.77 at least; hex (0.52 to 0.54) can't be told from prose.
+CHUNK_BAND = (0.25, 0.66)
 CHUNK_SHARE = 0.5
+NOISE_SHARE = 0.25
+#: (bytes from which it holds, greatest ratio) of a shorter last chunk, halfway between good rows and base64 again.
+REST_LIMITS = ((256, 0.87), (512, 0.78), (1024, 0.70), (1536, 0.66))
 LEVEL = 3
 
 SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -42,6 +46,8 @@ class Rules:
     chunk_bytes: int = CHUNK_BYTES
     chunk_band: tuple[float, float] = CHUNK_BAND
     chunk_share: float = CHUNK_SHARE
+    noise_share: float = NOISE_SHARE
+    rest_limits: Sequence[tuple[int, float]] = REST_LIMITS
     level: int = LEVEL
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -73,33 +79,38 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 def compression(text: str | None, rules: Rules, compressor) -> tuple[int, float | None, int, int, int, str]:
     """n_bytes, ratio, n_chunks, chunks_below, chunks_above, verdict.
 
-    Chunks are whole ones of ``chunk_bytes``; a shorter rest is judged as part of
-    the document only.
+    A text of at least ``chunk_bytes`` is cut into chunks of that size. A rest that
+    has a limit of its own is a chunk too, a smaller one belongs to the last chunk.
     """
     raw = (text or "").encode("utf-8", "surrogatepass")
     if not raw:
         return 0, None, 0, 0, 0, "empty"
     ratio = len(compressor.compress(raw)) / len(raw)
     low, high = rules.chunk_band
-    step = rules.chunk_bytes
-    below = above = 0
-    chunks = len(raw) // step
-    for n in range(chunks):
-        part = len(compressor.compress(raw[n * step:(n + 1) * step])) / step
-        below += part < low
-        above += part > high
+    cuts = [*range(0, len(raw) - rules.chunk_bytes + 1, rules.chunk_bytes), len(raw)]
+    if len(raw) % rules.chunk_bytes >= rules.rest_limits[0][0] and len(cuts) > 1:
+        cuts.insert(-1, len(raw) // rules.chunk_bytes * rules.chunk_bytes)
+    below, above = [], []  # sizes of chunks
+    for start, stop in zip(cuts, cuts[1:], strict=False):
+        size = stop - start
+        part = len(compressor.compress(raw[start:stop])) / size
+        limit = high if size >= rules.chunk_bytes else [most for least, most in rules.rest_limits if size >= least][-1]
+        if part < low:
+            below.append(size)
+        elif part > limit:
+            above.append(size)
     least, most = rules.band(len(raw))
     if ratio < least:
         verdict = "repetitive"
     elif ratio > most:
         verdict = "incompressible"
-    elif below > rules.chunk_share * chunks:
+    elif sum(below) > rules.chunk_share * len(raw):
         verdict = "repetitive chunks"
-    elif above > rules.chunk_share * chunks:
+    elif sum(above) > rules.noise_share * len(raw):
         verdict = "incompressible chunks"
     else:
         verdict = "kept"
-    return len(raw), ratio, chunks, below, above, verdict
+    return len(raw), ratio, len(cuts) - 1, len(below), len(above), verdict
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), carry: bool = False) -> DataFrame:

@@ -82,3 +82,28 @@ def test_good_documents_stay(spark):
     good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").select("doc_id")
     left = compression.judge(docs).join(good, "doc_id").where("not base_failed and not kept")
     assert left.count() == 0
+
+
+def test_base64_inside_prose_is_found(spark):
+    import base64
+    import random
+    rng = random.Random(2)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    good = docs.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id")
+    prose = [r["text"] for r in good.where("length(text) > 2300").orderBy("doc_id").collect()]
+    assert len(prose) > 50 and {r["lang"] for r in good.where("length(text) > 2300").collect()} >= {"de", "en", "es", "fr"}
+    c, rules = zstandard.ZstdCompressor(level=3), compression.Rules()
+    blob = base64.b64encode(rng.randbytes(60_000)).decode()
+    for text in prose:
+        assert compression.compression(text, rules, c)[-1] == "kept"
+    long = " ".join(prose).encode("ascii", "ignore").decode()[:12_000]
+    for share in (0.4, 0.45, 0.5):
+        mixed = long[:int(9000 * (1 - share))] + blob[:int(9000 * share)]
+        assert compression.compression(mixed, rules, c)[-1].startswith("incompressible"), share
+    # the blob is a last chunk of less than 2 KiB, of each size with a limit
+    for size in (900, 1200, 1700):
+        found = compression.compression(long[:2048] + blob[:size], rules, c)
+        assert found[2:5] == (2, 0, 1) and found[-1].startswith("incompressible"), size
+    found = compression.compression(long[:4096] + blob[:300], rules, c)
+    assert found[2:5] == (3, 0, 1) and found[-1] == "kept"
+    assert compression.compression(long[:4096 + 100], rules, c)[2:5] == (2, 0, 0)
