@@ -17,8 +17,15 @@ COPY_PERCENT, COPY_WORDS = 80, 5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those whose language stays in doubt."""
-    found = language.predict(docs, language.fit(docs))
+    """Drop documents without a letter and those whose language stays in doubt.
+
+    Where no row can be learned from, no language is in doubt, and only texts
+    without a letter go.
+    """
+    model = language.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language.predict(docs, model)
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN)).select("row.*")
 
 

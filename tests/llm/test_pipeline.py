@@ -8,6 +8,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from fluxframe.llm import queries as llm_queries
 
@@ -82,6 +83,14 @@ def test_near_copies_by_five_words_and_four_fifths(spark, sf):
     assert kept == five_word_copies(real)
 
 
+def test_documents_stay_where_no_language_can_be_learned(spark, odd, odd_rows):
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    left = corpus_pipeline.known_language(spark, unlabelled, "")
+    assert left.columns == odd.columns
+    assert sorted(r["text"] for r in left.collect()) == sorted(
+        r[1] for r in odd_rows if any(c.isalpha() for c in r[1] or ""))
+
+
 def test_stages_take_odd_rows(spark, odd, empty):
     for table in (odd, empty):
         docs = table
