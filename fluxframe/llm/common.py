@@ -74,3 +74,30 @@ def with_row(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """``documents`` and ``row``, a struct of all columns, whatever their names."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def tasks(df: DataFrame) -> int:
+    """As many partitions as the session shuffles into; asked for by number, they are not merged for being small."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each value of ``key``, which follow each other, as one table; single rows are left out."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = batch.column(key)
+        if held and held[-1].column(key)[-1] != own[0]:
+            if sum(b.num_rows for b in held) > 1:
+                yield pa.Table.from_batches(held)
+            held = []
+        changes = (np.flatnonzero(pc.not_equal(own[1:], own[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist()
+        for start, stop in zip([0, *changes], [*changes, batch.num_rows], strict=True):
+            if start:
+                if held[-1].num_rows > 1 or len(held) > 1:
+                    yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, stop - start))
+    if sum(b.num_rows for b in held) > 1:
+        yield pa.Table.from_batches(held)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fluxframe.llm import (
-    bpe, compression, factorisation, hnsw, jaccard, language, licences, lm, packing, sharding,
+    bpe, compression, factorisation, hard_negatives, hnsw, jaccard, language, licences, lm, packing, sharding, simhash,
+    spelling,
 )
 from fluxframe.llm.common import held_out
 
@@ -102,3 +103,18 @@ def op10_cross_entropy_difference(spark, folder):
     """The target are the documents labelled good and not toxic, the background is the whole corpus."""
     good = read(spark, folder, "labels").where("quality = 1 and coalesce(toxic, 0) = 0")
     return lm.cross_entropy_difference(read(spark, folder, "documents"), good)
+
+
+@query()
+def op11_pigeonring(spark, folder):
+    return simhash.components(read(spark, folder, "documents"))
+
+
+@query()
+def op12_bit_sliced(spark, folder):
+    return spelling.variants(read(spark, folder, "documents"))
+
+
+@query(hard_negatives.SQL)
+def op13_rtree_negatives(spark, folder):
+    return hard_negatives.mine(read(spark, folder, "embeddings"))

@@ -30,7 +30,7 @@ def test_stages_against_plain_loops(spark, sf):
         elif name == "quality":
             expected = {d for d, t in left.items() if slow_row(t, compression.Rules())[-2]}
         else:
-            expected = {d for d, _, c in slow(list(left.items())) if c == d}
+            expected = five_word_copies(list(left.items()))
         assert kept == expected, name
         docs, left = docs.where(docs.doc_id.isin(list(kept))), {d: left[d] for d in kept}
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -102,13 +102,14 @@ def test_stages_take_odd_rows(spark, odd, empty):
 
 def test_registered():
     numbers = {int(n[2:].split("_")[0]) for n in llm_queries.QUERIES}
-    assert numbers == set(range(1, 11)) and len(llm_queries.QUERIES) == 10
+    assert numbers == set(range(1, 14)) and len(llm_queries.QUERIES) == 13
     assert {*llm_queries.QUERIES, "pipeline"} <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", sorted(llm_queries.QUERIES))
 def test_query_over_its_whole_table(spark, sf, name):
     got = driver.queries()[name](spark, sf)
-    table = "embeddings" if name.startswith("op4") else "documents"
-    rows = spark.read.parquet(f"{sf}/{table}.parquet").count()
-    assert got.count() >= rows if not name.startswith("op4") else got.count() > 0
+    if name.startswith(("op4_", "op12_", "op13_")):  # neighbours, words and negatives, not a row per document
+        assert got.count() > 0
+    else:
+        assert got.count() >= spark.read.parquet(f"{sf}/documents.parquet").count()
