@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from fluxframe.operators.numbering import number_rows
 from fluxframe.operators.ordering import dense_order, row_hash
 
 
@@ -15,8 +16,12 @@ def rebuild_ids(table: DataFrame, key: str = "coord_id", time: str = "timestamp"
     Without old ids a hash of the row settles ties.
     """
     had_ids = row_id in table.columns
-    order = [*[c for c in (key, time) if c in table.columns], row_id if had_ids else row_hash(table)]
-    fresh = dense_order(table, order, "__new_id", start=1)
+    order = [c for c in (key, time) if c in table.columns]
+    if had_ids:
+        # the order alone is sorted and numbered; the rows are joined with the numbers
+        fresh = number_rows(table, [*order, row_id], "__new_id", start=1)
+    else:
+        fresh = dense_order(table, [*order, row_hash(table)], "__new_id", start=1)
     columns = table.columns if had_ids else [row_id, *table.columns]
     return fresh.withColumn(row_id, F.col("__new_id")).select(*columns)
 

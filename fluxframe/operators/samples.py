@@ -16,7 +16,8 @@ from fluxframe.functions.arrays import first_or_empty
 from fluxframe.functions.scalars import clean_target, scale_static
 from fluxframe.functions.text import colour_files, infrared_files
 from fluxframe.operators.asof import with_image_date, with_tensor, with_tensors
-from fluxframe.operators.ordering import (Hot, Limit, dense_order, find_hot, from_nth_row, keyed_join,
+from fluxframe.operators.numbering import number_rows
+from fluxframe.operators.ordering import (Hot, Limit, find_hot, from_nth_row, keyed_join,
                                           nth_row, over_last_rows)
 
 
@@ -160,7 +161,7 @@ def epoch_order(samples: DataFrame, row_id: str, seed: int, epoch: int, out: str
     Rank r of n workers takes the positions with remainder r.
     """
     shuffled = samples.withColumn("__hash", hash_order(row_id, seed, epoch))
-    return dense_order(shuffled, ["__hash", row_id], out).drop("__hash")
+    return number_rows(shuffled, ["__hash", row_id], out).drop("__hash")
 
 
 def reservoir(rows: DataFrame, row_id: str, k: int, seed: int = 0) -> DataFrame:
@@ -171,7 +172,7 @@ def reservoir(rows: DataFrame, row_id: str, k: int, seed: int = 0) -> DataFrame:
 def ordered_samples(index: DataFrame, key: str = "coord_id", time: str = "timestamp",
                     row_id: str = "id", out: str = "__sample_order") -> DataFrame:
     """0-based global position over (location, time, id)."""
-    return dense_order(index, [key, time, row_id], out)
+    return number_rows(index, [key, time, row_id], out)
 
 
 def order_slice(numbered: DataFrame, first: int, stop: int, order: str = "__sample_order") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fluxframe import vocab
 from fluxframe.functions import geo
 from fluxframe.functions.scalars import int_to_date, timestamp_to_int
-from fluxframe.operators import network, samples, spatial
+from fluxframe.operators import nearest, network, samples, spatial
 from fluxframe.queries.registry import ON_THE_MAP, customers_on_the_map, events, query, rounded
 from fluxframe.sources.tables import table
 
@@ -178,3 +178,41 @@ def score_network(spark, folder):
                             frequencies=6, embedding=8, heads=4, layers="wcs")
     built = samples.grid_samples(facts, dim, cfg.length, cfg.predictors, images)
     return network.score(built, network.init_weights(cfg), cfg, ["id", "coord_id", "timestamp"])
+
+
+#: Parts as sites without any grid: a few crowded stretches, many sites of one place.
+_SITES = """(select p_partkey, p_type, p_size * 7.0e0 - 170.0e0 + (p_partkey % 97) * 0.01e0 as lon,
+  (p_retailprice - 100.0e0 * floor(p_retailprice / 100.0e0)) * 1.7e0 - 85.0e0 as lat from part)"""
+
+
+def _sites(spark, folder):
+    price = F.col("p_retailprice").cast("double")
+    return table(spark, folder, "part").select(
+        "p_partkey", "p_type", (F.col("p_size") * 7.0 - 170.0 + (F.col("p_partkey") % 97) * 0.01).alias("lon"),
+        ((price - 100.0 * F.floor(price / 100.0)) * 1.7 - 85.0).alias("lat"))
+
+
+@query(f"""
+select coord_id, p_partkey as nearest, round(sqrt(d2), 6) as distance from (
+  select coord_id, p_partkey, d2, row_number() over (partition by coord_id order by d2, p_partkey) as rank from (
+    select c.coord_id, s.p_partkey, (s.lon - c.lon) * (s.lon - c.lon) + (s.lat - c.lat) * (s.lat - c.lat) as d2
+    from {ON_THE_MAP} c cross join {_SITES} s))
+where rank = 1""")
+def nearest_point(spark, folder):
+    found = nearest.nearest_site(customers_on_the_map(spark, folder), _sites(spark, folder), "p_partkey")
+    return rounded(found.select("coord_id", "nearest", "distance"), 6, "distance")
+
+
+@query(f"""
+select p_type, count(*) as n, round(max(distance), 6) as furthest from (
+  select e.event_id, min_by(s.p_type, struct_pack(d := (s.lon - e.lon) * (s.lon - e.lon) + (s.lat - e.lat) * (s.lat - e.lat), k := p_partkey)) as p_type,
+    sqrt(min((s.lon - e.lon) * (s.lon - e.lon) + (s.lat - e.lat) * (s.lat - e.lat))) as distance
+  from (select event_id, value * 3.0e0 - 180.0e0 as lon, value - 60.0e0 as lat from events) e cross join {_SITES} s
+  group by e.event_id) group by p_type""")
+def class_of_nearest(spark, folder):
+    """Events take the class of the nearest site, as places take that of the nearest irregular raster centre."""
+    places = events(spark, folder).select("event_id", (F.col("value") * 3.0 - 180.0).alias("lon"), (F.col("value") - 60.0).alias("lat"))
+    sites = _sites(spark, folder)
+    found = nearest.nearest_site(places, sites, "p_partkey")
+    classed = found.join(sites.select(F.col("p_partkey").alias("nearest"), "p_type"), "nearest")
+    return rounded(classed.groupBy("p_type").agg(F.count("*").alias("n"), F.max("distance").alias("furthest")), 6, "furthest")
