@@ -10,7 +10,7 @@ from fluxframe.functions import scalars
 from fluxframe.operators import dims, layout, merge, metrics, network, spatial
 from fluxframe.plans import enrichment, evaluation, image_store, ingest, scoring
 from fluxframe.session import build_session, settle
-from fluxframe.sources import shards, tables, writers
+from fluxframe.sources import colocated, footers, rankfiles, shards, tables, writers
 
 
 def _weights(path: str) -> dict:
@@ -32,7 +32,7 @@ def score(spark, a) -> None:
         a.gpp_solar_threshold, a.max_samples, numbered=a.sample_order or a.num_shards is not None)
     targets = [c.removeprefix("pred_") for c in scored.columns if c.startswith("pred_")]
     if a.num_shards is not None:
-        writers.write_rank_files(writers.formatted_predictions(settle(scored), targets), a.output, a.num_shards)
+        rankfiles.write_rank_files(writers.formatted_predictions(settle(scored), targets), a.output, a.num_shards)
         return
     ordered = scored.orderBy(*scoring.ORDER)
     writers.write_csv(writers.formatted_predictions(ordered, targets), a.output)
@@ -51,7 +51,8 @@ def images(spark, a) -> None:
     dim = spark.read.parquet(f"{a.data}/coord_data.parquet")
     facts = spark.read.parquet(f"{a.data}/ec_data.parquet") if a.active_only else None
     image_store.create_store(spark, path)
-    image_store.store_images(spark, path, ingest.image_cells(spark.read.parquet(a.cells), dim, facts), a.overwrite)
+    counts = image_store.store_images(spark, path, ingest.image_cells(spark.read.parquet(a.cells), dim, facts), a.overwrite)
+    print(f"matched {counts['matched']}, written {counts['written']}")
 
 
 def enrich(spark, a) -> None:
@@ -90,9 +91,9 @@ def merge_shards(spark, a) -> None:
         writers.write_csv(kept.select(*columns), a.output)
         return
     numbers = merge.require_coordinates(merge.numeric_output(rows))
-    unique = settle(merge.resolve_duplicates(numbers, merge.COORDINATES, a.duplicates, shards.POSITION))
+    unique, counts = merge.settle_unique(numbers, a.duplicates, shards.POSITION)
     variables = [c for c in columns if c.startswith(("pred_", "gt_"))]
-    attributes = merge.cube_attributes(numbers, unique, len(set(rows.inputFiles())), a.duplicates)
+    attributes = merge.cube_attributes(counts, len(set(rows.inputFiles())), a.duplicates)
     labels = [c for c in ("igbp",) if c in unique.columns]
     writers.write_cube(merge.dense_cube(unique, variables, labels=labels), attributes, a.output)
 
@@ -109,6 +110,9 @@ def relabel(spark, a) -> None:
 def cluster(spark, a) -> None:
     facts = spark.read.parquet(a.facts)
     facts = layout.rebuild_ids(facts) if a.rebuild_ids else facts
+    if a.dim:
+        colocated.colocate(facts, spark.read.parquet(a.dim), a.output, a.buckets)
+        return
     writers.replace_table(layout.clustered(facts), a.output)
 
 
@@ -122,6 +126,8 @@ def bins(spark, a) -> None:
 def describe(spark, a) -> None:
     df = spark.read.parquet(a.path)
     print(tables.dataset_layout(df))
+    if "id" in df.columns:
+        print(footers.footer_estimate(spark, a.path).first().asDict())
     columns = tables.describe(df)
     columns.show(columns.count(), False)
 
@@ -183,6 +189,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--write")
     c = command("cluster", cluster, "facts", "output")
     c.add_argument("--rebuild-ids", action="store_true")
+    c.add_argument("--dim", help="save facts and this dimension in the same buckets below the output folder")
+    c.add_argument("--buckets", type=int)
     c = command("bins", bins, "dim", "output")
     c.add_argument("--projection", choices=("robinson", "plate"), default="robinson")
     c.add_argument("--width", type=int, default=1800)

@@ -43,5 +43,5 @@ def save_clustered(table: DataFrame, name: str, columns: Sequence[str], analyse:
 
 
 def row_estimate(table: DataFrame, row_id: str = "id") -> DataFrame:
-    """Row count and highest id; the latter reads only one column's statistics."""
+    """Row count and highest id of any table; ``footers.footer_estimate`` answers for stored ones without reading."""
     return table.agg(F.count("*").alias("row_count"), F.max(row_id).alias("max_id"))

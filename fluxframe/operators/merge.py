@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
 from fluxframe import schema
 from fluxframe.functions import text
@@ -13,6 +13,7 @@ from fluxframe.functions.scalars import to_number, whole_column_timestamp
 from fluxframe.operators.dims import newest_per_key
 from fluxframe.operators.ordering import keyed_join, row_hash
 from fluxframe.operators.spatial import numbered_axes
+from fluxframe.session import counted, settle
 
 ORDER = "__sample_order"
 COORDINATES = ("timestamp", "lat", "lon")
@@ -117,7 +118,7 @@ def is_static(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
 
 
 def cube_axes(df: DataFrame) -> dict[str, DataFrame]:
-    """Cube positions: time ascending, latitude descending, longitude ascending."""
+    """Cube positions: time ascending, latitude descending, longitude ascending. The axes must be numbers."""
     return numbered_axes(df, {"timestamp": "time_index", "lat": "lat_index", "lon": "lon_index"}, descending=["lat"])
 
 
@@ -170,10 +171,27 @@ def long_from_cube(cube: DataFrame, variables: Sequence[str], lons: DataFrame) -
     return cells.where(some).join(lons, "lon_index").drop("lon_index")
 
 
-def cube_attributes(df: DataFrame, output: DataFrame, shards: int, policy: str) -> dict[str, object]:
+def settle_unique(df: DataFrame, policy: str, order: Sequence[str],
+                  keys: Sequence[str] = COORDINATES) -> tuple[DataFrame, dict[str, int]]:
+    """``resolve_duplicates`` written once, with the rows that went in and came out, counted while they pass.
+
+    Members and number of duplicate groups are counted only where there are any.
+    """
+    before, after = Observation(), Observation()
+    rows = df.observe(before, F.count(F.lit(1)).alias("n"))
+    # what is counted must pass once; the other policies read their input several times
+    source = rows if policy in ("first", "last") else settle(rows)
+    unique = settle(resolve_duplicates(source, keys, policy, order).observe(after, F.count(F.lit(1)).alias("n")))
+    counts = {"input": counted(before, "n"), "output": counted(after, "n"), "duplicate_rows": 0, "duplicate_groups": 0}
+    if counts["input"] != counts["output"]:
+        counts |= duplicate_report(df if source is rows else source, keys).first().asDict()
+    return unique, counts
+
+
+def cube_attributes(counts: dict[str, int], shards: int, policy: str) -> dict[str, object]:
     """Bookkeeping stored beside a cube."""
-    counts = duplicate_report(df, COORDINATES).first()
-    return {"num_shards": shards, "num_input_rows": df.count(), "num_output_rows": output.count(),
+    # fixed values: attribute names that readers of a cube know
+    return {"num_shards": shards, "num_input_rows": counts["input"], "num_output_rows": counts["output"],
             "netcdf_duplicate_policy": policy,
             "num_duplicate_coordinate_rows": counts["duplicate_rows"],
             "num_duplicate_coordinate_groups": counts["duplicate_groups"],

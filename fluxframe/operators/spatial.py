@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from fluxframe.functions import geo, text
 from fluxframe.operators.ordering import Hot, Limit, dense_order, find_hot, previous, running_sum
@@ -20,19 +20,30 @@ def axis_positions(df: DataFrame, column: str, out: str, descending: bool = Fals
 def numbered_axes(df: DataFrame, columns: dict[str, str], descending: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Positions of the distinct values of several numeric axes, found in one pass.
 
-    ``columns`` names the position column of each axis. Values of all axes are
-    numbered together, axis after axis, and shifted to begin at 0.
+    ``columns`` names the position column of each axis. Values keep their own
+    types, each in a column of its own, so that whole numbers and decimals of any
+    length join exactly. Text is refused: its order is not that of numbers. NULL
+    and NaN have no position.
     """
-    entries = F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("value"),
-                                 (F.col(c).cast("double") * (-1 if c in descending else 1)).alias("sort"))
-                        for c in columns])
-    values = df.select(F.explode(entries).alias("e")).select("e.*").where(F.col("value").isNotNull()).distinct()
-    numbered = dense_order(values, ["axis", "sort"], "n")
+    if texts := [c for c in columns if not isinstance(df.schema[c].dataType, T.NumericType)]:
+        raise TypeError(f"axes must be numeric, cast them first: {texts}")
+
+    def own(c: str):
+        value = F.col(c)
+        return F.when(~F.isnan(value), value) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else value
+    entries = F.array(*[F.struct(F.lit(a).alias("axis"), *[
+        (own(c) if c == a else F.lit(None).cast(df.schema[c].dataType)).alias(f"v{k}") for k, c in enumerate(columns)])
+        for a in columns])
+    values = df.select(F.explode(entries).alias("e")).select("e.*").distinct()
+    names = [f"v{k}" for k in range(len(columns))]
+    values = values.where(F.greatest(*[F.col(n).isNotNull() for n in names], F.lit(False)))
+    sort = [F.desc(n) if c in descending else F.asc(n) for n, c in zip(names, columns, strict=True)]
+    numbered = dense_order(values, ["axis", *sort], "n")
     # one row per axis
     starts = {r["axis"]: r["start"] for r in numbered.groupBy("axis").agg(F.min("n").alias("start")).collect()}
     return {c: numbered.where(F.col("axis") == c).select(
-        F.col("value").cast(df.schema[c].dataType).alias(c), (F.col("n") - starts.get(c, 0)).alias(out))
-        for c, out in columns.items()}
+        F.col(n).alias(c), (F.col("n") - starts.get(c, 0)).alias(out))
+        for n, (c, out) in zip(names, columns.items(), strict=True)}
 
 
 def with_positions(df: DataFrame, columns: dict[str, str], descending: Sequence[str] = ()) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from fluxframe import schema
 from fluxframe.operators.dims import newest_per_key, upsert
-from fluxframe.session import settle
+from fluxframe.session import counted, settle
 
 KEYS = ("coord_id", "modis_date")
 
@@ -25,16 +25,21 @@ def by_date(images: DataFrame, files_per_date: int) -> DataFrame:
 
 
 def store_images(spark: SparkSession, path: str, incoming: DataFrame, overwrite: bool,
-                 files_per_date: int = 8) -> None:
+                 files_per_date: int = 8) -> dict[str, int]:
     """Insert images, ignoring or replacing known (coord_id, modis_date).
 
+    Returns how many cells came with a location (``matched``) and how many
+    images were written, both counted while the rows pass.
+
     Only the dates that come in are read. Ignoring appends what is new, at most
     ``files_per_date`` files for each date; replacing rewrites those dates alone,
     and in one commit. One writer at a time: two that run together may both
     append an image that neither has seen.
     """
+    came, wrote = Observation(), Observation()
+    incoming = incoming.observe(came, F.count(F.lit(1)).alias("matched"))
     unique = newest_per_key(incoming, KEYS, ["data"], last=overwrite).select("coord_id", "modis_date", "data")
-    unique = settle(unique)
+    unique = settle(unique.observe(wrote, F.count(F.lit(1)).alias("written")))
     # as many values as there are days, never as there are rows
     days = [r[0] for r in unique.select("modis_date").distinct().collect()]
     known = existing_images(spark, path).where(F.col("modis_date").isin(*days))
@@ -43,5 +48,7 @@ def store_images(spark: SparkSession, path: str, incoming: DataFrame, overwrite:
         (by_date(merged, files_per_date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("modis_date").parquet(path))
     else:
-        fresh = unique.join(known.select(*KEYS), list(KEYS), "left_anti")
+        wrote = Observation()
+        fresh = unique.join(known.select(*KEYS), list(KEYS), "left_anti").observe(wrote, F.count(F.lit(1)).alias("written"))
         by_date(fresh, files_per_date).write.mode("append").partitionBy("modis_date").parquet(path)
+    return {"matched": counted(came, "matched"), "written": counted(wrote, "written")}

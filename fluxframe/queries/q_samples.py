@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fluxframe.functions.scalars import int_to_date, timestamp_to_int
 from fluxframe.operators import asof, layout, meters, ordering, samples, spatial
 from fluxframe.queries.registry import ON_THE_MAP, customers_on_the_map, events, moment, query, rounded
+from fluxframe.sources import footers
 from fluxframe.sources.tables import quarters, table
 
 L = 16
@@ -312,7 +313,7 @@ def rebuild_ids_new(spark, folder):
 @query("""
 select count(*) as row_count, max(event_id) as max_id from events""")
 def row_estimate(spark, folder):
-    return layout.row_estimate(events(spark, folder), "event_id")
+    return footers.footer_estimate(spark, f"{folder}/events.parquet", "event_id")
 
 
 @query("""

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 #: A key with more rows than this is spread over several tasks.
 HOT_KEY_ROWS = "spark.fluxframe.hotKeyRows"
@@ -94,5 +94,11 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def counted(observation: Observation, name: str) -> int:
+    """A count of an observation; 0 where there were known to be no rows, so that no task ran."""
+    row = observation._jo.getRow()
+    return row.getLong(row.fieldIndex(name)) if row.length() else 0
+
+
 def hot_key_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_KEY_ROWS, str(DEFAULT_HOT_KEY_ROWS)))

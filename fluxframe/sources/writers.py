@@ -41,35 +41,6 @@ def write_shards(df: DataFrame, path: str, order: Sequence[str]) -> None:
         .option("header", True).csv(path)
 
 
-def write_rank_files(df: DataFrame, path: str, count: int, order: str = "__sample_order") -> None:
-    """``rank_00000.csv`` and on: ``count`` files, each a contiguous stretch of ``order`` (0, 1, ...).
-
-    Rows are dealt by position, so every file is one task's; its final name is
-    given when all are written.
-    """
-    rows = df.count()
-    base, extra = divmod(rows, count)
-    bulky = extra * (base + 1)
-    rank = F.when(F.col(order) < bulky, F.floor(F.col(order) / (base + 1))).otherwise(
-        extra + F.floor((F.col(order) - bulky) / max(base, 1))).cast("int")
-    spark = df.sparkSession
-    ranked = df.withColumn("__rank", rank)
-    (ranked.repartitionByRange(count, "__rank").sortWithinPartitions("__rank", order)
-     .write.mode("overwrite").option("header", True).partitionBy("__rank").csv(f"{path}/.parts"))
-    jpath = spark._jvm.org.apache.hadoop.fs.Path
-    root = jpath(path)
-    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    for n in range(count):
-        found = files.globStatus(jpath(f"{path}/.parts/__rank={n}/part-*"))
-        target = jpath(f"{path}/rank_{n:05d}.csv")
-        files.delete(target, False)
-        if found:
-            files.rename(found[0].getPath(), target)
-        else:  # fewer samples than files
-            files.create(target).close()
-    files.delete(jpath(f"{path}/.parts"), True)
-
-
 def replace_table(df: DataFrame, path: str) -> None:
     """Write ``df`` as ``path``, also where ``df`` reads that path.
 

@@ -64,7 +64,7 @@ def test_cells_are_cut_until_they_hold_few(spark):
     rng = random.Random(2)
     rows = [(x, y, i) for i, x, y in crowd(rng, 500)]
     places = spark.createDataFrame(rows, "x double, y double, site long").dropDuplicates(["x", "y"])
-    levels, sites = nearest.build_cells(places, crowded=10)
+    cells, sites, levels = nearest.build_cells(places, crowded=10)
     held = sites.groupBy("level", "cx", "cy").count()
-    assert len(levels) > 3 and held.agg({"count": "max"}).first()[0] <= 10
-    assert sites.count() == places.count()
+    assert levels > 3 and held.agg({"count": "max"}).first()[0] <= 10
+    assert sites.count() == places.count() and cells.where('cut').count() > 3
