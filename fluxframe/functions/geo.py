@@ -85,8 +85,11 @@ class MapFrame:
                    top + (bottom - top - 2 * y_half * scale) / 2,
                    scale, -x_half, y_half)
 
-    def pixels(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+    def place(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        """Where on the map, in pixels and parts of them."""
         x, y = robinson(lon, lat) if self.projection == "robinson" else (lon, lat)
-        px = self.left + (x - self.x_min) * self.scale
-        py = self.top + (self.y_max - y) * self.scale
+        return self.left + (x - self.x_min) * self.scale, self.top + (self.y_max - y) * self.scale
+
+    def pixels(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        px, py = self.place(lon, lat)
         return F.rint(px).cast("int"), F.rint(py).cast("int")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fluxframe import vocab
 from fluxframe.functions import geo
 from fluxframe.functions.scalars import int_to_date, timestamp_to_int
-from fluxframe.operators import nearest, network, samples, spatial
+from fluxframe.operators import mapping, nearest, network, samples, spatial
 from fluxframe.queries.registry import ON_THE_MAP, customers_on_the_map, events, query, rounded
 from fluxframe.sources.tables import table
 
@@ -216,3 +216,44 @@ def class_of_nearest(spark, folder):
     found = nearest.nearest_site(places, sites, "p_partkey")
     classed = found.join(sites.select(F.col("p_partkey").alias("nearest"), "p_type"), "nearest")
     return rounded(classed.groupBy("p_type").agg(F.count("*").alias("n"), F.max("distance").alias("furthest")), 6, "furthest")
+
+
+_VIEW = (300.0, 200.0, 1200.0, 500.0)
+_PLATE = geo.MapFrame.fit("plate", 0.0, 0.0, 1440.0, 720.0)
+
+
+@query(f"""
+with placed as (
+  select c_nationkey, coord_id, lon * 4.0e0 + 720.0e0 as x1, 360.0e0 - lat * 4.0e0 as y1 from {ON_THE_MAP}),
+pairs as (
+  select *, lag(x1) over w as x0, lag(y1) over w as y0 from placed window w as (partition by c_nationkey order by coord_id)),
+cut as (
+  select *, x1 - x0 as dx, y1 - y0 as dy,
+    greatest(0, case when x0 > x1 then (1200.0e0 - x0) / (x1 - x0) when x1 > x0 then (300.0e0 - x0) / (x1 - x0) when x0 < 300 or x0 > 1200 then 2.0e0 else 0.0e0 end,
+                case when y0 > y1 then (500.0e0 - y0) / (y1 - y0) when y1 > y0 then (200.0e0 - y0) / (y1 - y0) when y0 < 200 or y0 > 500 then 2.0e0 else 0.0e0 end) as a,
+    least(1, case when x0 > x1 then (300.0e0 - x0) / (x1 - x0) when x1 > x0 then (1200.0e0 - x0) / (x1 - x0) else 1.0e0 end,
+             case when y0 > y1 then (200.0e0 - y0) / (y1 - y0) when y1 > y0 then (500.0e0 - y0) / (y1 - y0) else 1.0e0 end) as b
+  from pairs where x0 is not null),
+steps as (
+  select *, cast(greatest(ceil(greatest(abs(dx), abs(dy)) * (b - a)), 1) as int) as n from cut where a <= b),
+walked as (
+  select *, a + (b - a) * k / n as t from (select *, unnest(range(0, n + 1)) as k from steps))
+select distinct cast(round_even(x0 + dx * t, 0) as int) as px, cast(round_even(y0 + dy * t, 0) as int) as py from walked""")
+def map_lines(spark, folder):
+    """Lines through the customers of each nation, clipped to a part of the map."""
+    return mapping.line_pixels(customers_on_the_map(spark, folder), _PLATE, _VIEW, ["c_nationkey"], ["coord_id"])
+
+
+@query(f"""
+with points as (
+  select cast(round_even(lon * 4.0e0 + 720.0e0, 0) as int) as px, cast(round_even(360.0e0 - lat * 4.0e0, 0) as int) as py,
+    case c_nationkey % 5 when 0 then 'ENF' when 1 then 'EBF' when 2 then 'XYZ' when 3 then 'CRO' end as label from {ON_THE_MAP}),
+ranked as (
+  select px + a as px, py + b as py, coalesce(label, 'NULL') as label,
+    case label when 'ENF' then 1 when 'EBF' then 2 when 'XYZ' then 3 else 4 end as rank
+  from (select * from points where label is distinct from 'CRO') cross join (select unnest(range(-1, 2)) as a) cross join (select unnest(range(-1, 2)) as b))
+select px, py, arg_max(label, rank) as label from ranked group by px, py""")
+def map_points(spark, folder):
+    """Square points of three pixels, the class drawn last on top; a hidden class is not drawn."""
+    label = F.element_at(F.array(*[F.lit(c) for c in ("ENF", "EBF", "XYZ", "CRO", None)]), (F.col("c_nationkey") % 5 + 1).cast("int"))
+    return mapping.point_pixels(customers_on_the_map(spark, folder).withColumn("igbp", label), _PLATE, mapping.square(3))

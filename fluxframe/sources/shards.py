@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -24,8 +25,18 @@ def shard_paths(spark: SparkSession, folder: str, count: int | None = None) -> l
     return [listed[name] for name in wanted]
 
 
-def header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.option("header", True).csv(path).columns
+def headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The header of each file that has one, by its name, found in a single pass over all of them.
+
+    Lines are read in the order of the file, so that the first is the one of the
+    smallest running number in the file's first block; only that leaves a task.
+    """
+    leaf = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    lines = spark.read.text(paths).where("_metadata.file_block_start = 0 and value != ''").select(
+        leaf.alias("file"), "value", F.monotonically_increasing_id().alias("line"))
+    # one row per file
+    found = lines.groupBy("file").agg(F.min_by("value", "line").alias("value")).collect()
+    return {r["file"]: next(csv.reader([r["value"].removeprefix("\ufeff")])) for r in found}
 
 
 def _scan(spark: SparkSession, paths: list[str], names: list[str]) -> DataFrame:
@@ -43,15 +54,19 @@ def read_shards(spark: SparkSession, paths: list[str], strict: bool = True) -> D
     Empty shards are skipped. Strict shards must have one header; otherwise
     columns are matched by name with the first shard's.
     """
-    first = next((h for h in (header(spark, p) for p in paths) if h), None)
-    if first is None:
+    named = headers(spark, paths)
+    known = [(p, named[leaf]) for p in paths if (leaf := p.rsplit("/", 1)[-1]) in named]
+    if not known:
         raise ValueError("all shards are empty")
+    first = known[0][1]
     if strict:
+        for p, names in known:
+            if names != first:
+                raise ValueError(f"the header of {p} is {names}, expected {first}")
         return _scan(spark, paths, first)
     groups: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        if names := header(spark, p):
-            groups.setdefault(tuple(names), []).append(p)
+    for p, names in known:
+        groups.setdefault(tuple(names), []).append(p)
     frames = []
     for names, members in groups.items():
         df = _scan(spark, members, list(names))
