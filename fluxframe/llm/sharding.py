@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fluxframe.llm.common import documents
+from fluxframe.operators.numbering import number_rows
 
 #: Rows per slice when slots are numbered; only the size of tasks depends on it.
 SLICE_ROWS = 100_000
@@ -103,34 +104,31 @@ def place(df: DataFrame, key: Column, tree: Sequence[Leaf], region: str = "regio
 
 def number_slots(df: DataFrame, shard: str, key: Column, ties: Sequence[str], slot: str = "slot",
                  slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Number the rows of every shard 0, 1, ... along a hash of the key, then ``ties``.
+    """Number the rows of every shard 0, 1, ... along a hash of the key, a second hash of ``ties``, then ``ties``.
 
-    Each shard is cut along that hash into slices of about ``slice_rows`` rows;
-    a slice is numbered in one task and shifted by the slices before it. Copies
-    of one key share a slice only as far as ``ties`` agree, and the second hash
-    over ``ties`` keeps even a flood of one key apart.
+    Slices of about ``slice_rows`` rows are cut along that order by exact counts,
+    each is numbered in one task. A flood of one key is cut by the second hash,
+    as far as ``ties`` differ; rows that agree in them are interchangeable and
+    share a slice.
     """
-    ordered = df.withColumns({"__h": F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, 8),
-                                            16, 10).cast("long")})
-    slices = max(1, -(-df.count() // slice_rows))
-    ordered = ordered.withColumn("__slice", F.floor(F.col("__h") * F.lit(slices) / F.lit(1 << 32)).cast("long"))
-    # at most one row per shard and slice: rows / slice_rows + shards
-    sizes = ordered.groupBy(shard, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(shard).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(F.col(shard).alias("__shard"), F.col("__slice").alias("__of"),
-                          F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    within = Window.partitionBy(shard, "__slice").orderBy("__h", *ties)
-    numbered = ordered.withColumn("__in", F.row_number().over(within) - 1)
-    joined = numbered.join(shifts, (F.col(shard) == F.col("__shard")) & (F.col("__slice") == F.col("__of")))
-    return (joined.withColumn(slot, (F.col("__in") + F.col("__shift")).cast("long"))
-            .drop("__h", "__slice", "__in", "__shift", "__shard", "__of"))
+    key_hash = F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long")
+    ordered = df.withColumns({"__h": key_hash, "__h2": F.xxhash64(*ties)})
+    numbered = number_rows(ordered, [shard, "__h", "__h2", *ties], "__at", most=slice_rows)
+    # one row per shard
+    sizes = ordered.groupBy(shard).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col(shard).alias("__shard"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    joined = numbered.join(starts, F.col(shard) == F.col("__shard"))
+    return joined.withColumn(slot, (F.col("__at") - F.col("__start")).cast("long")).drop("__h", "__h2", "__at", "__shard", "__start")
 
 
 def shard_documents(docs: DataFrame, tree: Sequence[Leaf], wider: Sequence[Leaf]) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document.
 
     ``size`` is the text's UTF-8 bytes and one (NULL: none). Texts are read once
-    and never shuffled: only these numbers are.
+    and never shuffled: only these numbers are. Repeated rows count again and get
+    slots of their own; an empty table gives no rows; further columns are
+    ignored, whatever their names.
     """
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     narrow = documents(docs).select(

@@ -5,6 +5,7 @@ from hashlib import md5
 
 from pyspark.sql import functions as F
 from fluxframe.llm import sharding
+from fluxframe.operators import numbering
 from fluxframe.llm.sharding import Leaf
 
 
@@ -58,6 +59,16 @@ def test_slots_in_small_slices(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_a_flood_of_one_key_is_numbered_in_many_slices(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"), F.col("id").alias("size"), F.lit(0).alias("shard"))
+    numbered = sharding.number_slots(rows, "shard", F.col("k"), ["k", "size"], slice_rows=100)
+    assert sorted(r["slot"] for r in numbered.collect()) == list(range(3000))
+    seen = rows.withColumns({"__h": F.lit(1).cast("long"), "__h2": F.xxhash64("size")})
+    looked = {"a": F.col("__h").cast("double"), "b": F.col("__h2").cast("double")}
+    _, held = numbering.slices(seen.withColumns(looked), {"__h": ["a"], "__h2": ["b"]}, 100)
+    assert held.count() > 20 and held.agg({"rows": "max"}).first()[0] <= 100
+
+
 def test_weights_are_met_and_only_changed_subtrees_move(spark):
     tree = [Leaf(0, 0, 0, 1.0), Leaf(0, 0, 1, 3.0), Leaf(0, 1, 2, 2.0), Leaf(1, 2, 3, 2.0), Leaf(1, 3, 4, 0.0)]
     heavier = [*tree[:3], Leaf(1, 2, 3, 4.0), tree[4]]
