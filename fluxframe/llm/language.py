@@ -26,8 +26,6 @@ from fluxframe.llm.common import bounded_sample, by_bytes, held_out, with_row
 UNKNOWN = "und"
 #: Documents of each language that the model is fitted on.
 PER_LANGUAGE = 4000
-#: Words, and n-grams of each order, kept for each language: the most frequent ones.
-ENTRIES = 40_000
 ORDERS = (4, 3, 2, 1)
 #: Words and n-grams seen less often are left to the next shorter order.
 LEAST_SEEN = 2
@@ -72,19 +70,27 @@ class Model:
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "doc_id", text: str = "text",
            lang: str = "lang") -> DataFrame:
-    """At most ``per_language`` rows of each language to learn from, picked by a hash of their id.
+    """At most ``per_language`` documents of each language to learn from, picked by a hash of their id.
 
-    Only ids are ranked; the texts of the few chosen rows follow by a join.
+    Only different ids are ranked; the texts of the few chosen ones follow by a
+    join. A repeated row counts once; of several texts under one id and language
+    the one of the smallest hash is taken.
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id)).select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
         F.col(lang).cast("string").alias("lang"))
-    chosen = bounded_sample(usable.select("doc_id", "lang"), "lang", "doc_id", per_language).distinct()
-    return usable.join(chosen, ["doc_id", "lang"], "left_semi").select("text", "lang")
+    chosen = bounded_sample(usable.select("doc_id", "lang").distinct(), "lang", "doc_id", per_language)
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")
+    return usable.join(chosen, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(one).select("one.text", "lang")
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, entries: int = ENTRIES) -> Model:
-    """The model of a sample of ``docs``. Without rows to learn from it has no languages."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    """The model of a sample of ``docs``, whose size bounds it. Without rows to learn from it has no languages.
+
+    A word or n-gram with fewer than ``LEAST_SEEN`` occurrences in the sample of
+    a language is unseen there: it takes the language's floor, and one unseen
+    everywhere is left to shorter n-grams.
+    """
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             counts: dict[str, Counter] = {}
@@ -107,11 +113,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, entries: int = ENTRIE
 
     counts = (sample(docs, per_language).mapInArrow(counted, "lang string, order int, gram string, n long")
               .groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")))
-    best = Window.partitionBy("lang", "order").orderBy(F.desc("n"), "gram")
     kept = (counts.withColumn("total", F.sum("n").over(Window.partitionBy("lang", "order")))
-            .where(F.col("n") >= LEAST_SEEN).withColumn("rank", F.row_number().over(best))
-            .where(F.col("rank") <= entries).select("lang", "order", "gram", "n", "total"))
-    # at most languages * orders * entries rows of a few bytes
+            .where(F.col("n") >= LEAST_SEEN).select("lang", "order", "gram", "n", "total"))
+    # words and n-grams of ``per_language`` texts of each language at most
     table = kept.toPandas().sort_values(["order", "gram", "lang"])
     languages = sorted(table["lang"].unique().tolist())
     index: dict[int, dict[str, int]] = {order: {} for order in (0, *ORDERS)}
@@ -172,9 +176,12 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     """doc_id, row (all columns of ``docs``), lang_pred and score of every document.
 
     NULL texts and texts without a letter are ``und`` with score 0. Equal texts
-    are predicted alike; among languages that tie the first by name wins.
+    are predicted alike; among languages that tie the first by name wins. Texts
+    are taken whole, whatever their length; repeated rows come back as often, an
+    empty table gives no rows, and further columns stay in ``row``, whatever
+    their names.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ENTRIES, see above
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample, see ``fit``
     carried = with_row(docs, doc_id, text)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,6 +58,58 @@ def test_language_of_odd_rows(odd, odd_rows, empty, docs):
     assert language.predict(empty, nothing).count() == 0
 
 
+def slow_language(rows):
+    """Languages, and what a word says for each, by plain counting of all rows that may be learned from."""
+    counts, totals = {}, Counter()
+    for lang, text in rows:
+        for token in text.lower().split():
+            word = "".join(c for c in token if c.isalpha())
+            for order, grams in [(0, [word]), *((n, language.grams(word, n)) for n in (4, 3, 2, 1))] if word else ():
+                for g in grams:
+                    counts.setdefault((order, g), Counter())[lang] += 1
+                    totals[lang, order] += 1
+    langs = sorted({k[0] for k in totals})
+
+    def entry(order, g):
+        seen = {k: n for k, n in counts.get((order, g), {}).items() if n >= 2}
+        if not seen:
+            return None
+        own = [math.log(seen[k] / (totals[k, order] + 1)) if k in seen else math.log(0.5 / (totals[k, order] + 1)) for k in langs]
+        return [x - sum(own) / len(own) for x in own]
+
+    def says(word):
+        for order, grams in [(0, [word]), *((n, language.grams(word, n)) for n in (4, 3, 2, 1))]:
+            if found := [e for e in (entry(order, g) for g in grams) if e]:
+                return [sum(e[k] for e in found) / len(found) for k in range(len(langs))]
+        return [0.0] * len(langs)
+    return langs, says
+
+
+def test_language_against_plain_counting(spark, sf):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    known = [(lang, t) for d, t, lang in rows if lang and t is not None and not held(d)]
+    langs, says = slow_language(known)
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string, lang string").repartition(4)  # repeated rows count once
+    model = language.fit(docs)
+    assert model.languages == langs
+    for r in language.predict(docs.limit(40), model).select("row.text", "lang_pred", "score").collect():
+        words = ["".join(c for c in t if c.isalpha()) for t in (r["text"] or "").lower().split()]
+        words = [w for w in words if w]
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        each = [says(w) for w in words]
+        total = [min(len(words), 8) * sum(e[k] for e in each) / len(each) for k in range(len(langs))]
+        share = [math.exp(x - max(total)) for x in total]
+        assert r["lang_pred"] == langs[share.index(max(share))] and abs(r["score"] - max(share) / sum(share)) < 1e-4
+
+
+def test_repeated_rows_do_not_empty_the_sample(spark):
+    rows = [(d, f"text {d}", "en") for d in range(400)] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.sample(docs, 50).count() == 50
+
+
 def test_language_never_learns_from_held_out_rows(docs):
     swapped = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit("zz"))
                               .otherwise(F.col("lang")))
