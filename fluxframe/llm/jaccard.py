@@ -29,9 +29,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fluxframe.llm.common import by_bytes, documents
+from fluxframe.llm.common import by_bytes, documents, tasks
 from fluxframe.llm.components import connected
 from fluxframe.llm.shingles import Shingler
+from fluxframe.operators.numbering import number_rows
 from fluxframe.session import settle
 
 PERCENT = 90
@@ -39,6 +40,8 @@ PERCENT = 90
 WORDS = 3
 #: Counters of shingles, a power of two: the table that goes to every task has one byte for each.
 COUNTER_BITS = 20
+#: Slices in which counters of all tasks are added.
+SLICES = 32
 #: Shingles that one task holds of a family, apart from a single larger set.
 BLOCK_SHINGLES = 1 << 21
 #: Positions in a block of an index list.
@@ -99,24 +102,34 @@ def describe(docs: DataFrame, bits: int = COUNTER_BITS, words: int = WORDS) -> D
 def levels(described: DataFrame, bits: int = COUNTER_BITS) -> np.ndarray:
     """How far each counter stands out, in half powers of two; one byte per counter.
 
-    Counters of all tasks are added in two rounds, the first over groups of
-    tasks, so that what one task or the driver adds stays small.
+    A scan task cuts its sum into slices, and each slice is added in a task of
+    its own, so what one task or the driver holds does not grow with the input.
     """
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for packed in batch.column(0).to_pylist():
-                part = np.frombuffer(zlib.decompress(packed), dtype=np.uint32 if len(batch.schema) == 1 else np.int64)
-                total += part
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()),
-                                              pa.array([1], pa.int32())], ["counts", "wide"])
-
-    counts = described.where("kind = 1").select("counts")
-    sums = counts.mapInArrow(added, "counts binary, wide int")
-    total = np.zeros(1 << bits, np.int64)
-    for row in sums.repartition(1).mapInArrow(added, "counts binary, wide int").collect():
-        total += np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
+                total += np.frombuffer(zlib.decompress(packed), np.uint32)
+        parts = np.array_split(total, SLICES)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()),
+                                          pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["slice", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for place, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(zlib.decompress(packed), np.int64)
+                sums[place] = sums[place] + part if place in sums else part
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in sums.values()], pa.binary())],
+                ["slice", "counts"])
+
+    schema = "slice int, counts binary"
+    slices = described.where("kind = 1").select("counts").mapInArrow(cut, schema)
+    sums = {r["slice"]: np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+            for r in slices.repartition(SLICES, "slice").mapInArrow(added, schema).collect()}
+    total = np.concatenate([sums[n] for n in range(SLICES)]) if sums else np.zeros(1 << bits, np.int64)
     usual = total.mean()
     above = np.maximum(total - usual, 0) / (usual + 8)
     return np.minimum(np.round(2 * np.log2(above + 1)), 255).astype(np.uint8)
@@ -216,7 +229,9 @@ def possible(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
                     break
         return table.take(pa.array(np.sort(order[keep]))).drop_columns(["n", "bins"])
 
-    return rows.groupBy("pa", "pb", "block").applyInArrow(kept, "pa long, pb long, block int, first long")
+    # dealt by block: rows that a join left dealt by family would keep a large family in one task
+    dealt = rows.repartition(tasks(rows), "pa", "pb", "block")
+    return dealt.groupBy("pa", "pb", "block").applyInArrow(kept, "pa long, pb long, block int, first long")
 
 
 def link_sets(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
@@ -375,8 +390,29 @@ def components(docs: DataFrame, percent: int = PERCENT, limit: int = BLOCK_SHING
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """The documents that are the smallest of their component; rows without doc_id stay."""
-    keep = components(docs, percent, words=words).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull())
-    return (known.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-            .unionByName(docs.where(F.col("doc_id").isNull())))
+    """The documents that are the smallest of their component; rows without doc_id stay.
+
+    A document is a doc_id with a text: where one id comes with several texts,
+    each stands for itself and none goes unless it is a copy. The text of the
+    smallest hash stands for the id, the others count as larger than all ids. Of
+    repeated rows, equal in id and text, the one of the smallest hash stays.
+    """
+    own = docs.withColumns({"__x": F.xxhash64("text"), "__y": F.xxhash64(F.lit(1), "text")})
+    known, texts = own.where(F.col("doc_id").isNotNull()), F.struct("__x", "__y")
+    # both sides are narrow: an id and two hashes
+    ids = known.groupBy("doc_id").agg(F.min(texts).alias("low"), F.max(texts).alias("high"))
+    several = settle(ids.where("low != high").select("doc_id", "low"))
+    if several.isEmpty():
+        named = known.withColumn("__id", F.col("doc_id").cast("long"))
+    else:
+        others = (known.join(several, "doc_id").where(texts != F.col("low")).select("doc_id", "__x", "__y").distinct())
+        last = docs.agg(F.greatest(F.max(F.col("doc_id").cast("long")), F.lit(0))).first()[0]
+        fresh = settle(number_rows(others, ["doc_id", "__x", "__y"], "__fresh", start=last + 1))
+        named = known.join(fresh, ["doc_id", "__x", "__y"], "left").withColumn(
+            "__id", F.coalesce("__fresh", F.col("doc_id").cast("long")))
+    keep = components(named.select(F.col("__id").alias("doc_id"), "text"), percent, words=words).where(
+        "doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    single = (named.join(keep, "__id", "left_semi").select("__id", row.alias("row"))
+              .groupBy("__id").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*"))
+    return single.unionByName(docs.where(F.col("doc_id").isNull()))

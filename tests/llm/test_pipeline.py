@@ -83,6 +83,17 @@ def test_near_copies_by_five_words_and_four_fifths(spark, sf):
     assert kept == five_word_copies(real)
 
 
+def test_texts_that_share_an_id_go_only_as_copies(spark):
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (2, b + " tail", "x"), (3, c, "x"), (3, c, "x"), (None, d, "x"), (None, d, "x"), (4, None, "x"), (5, d, "x")]
+    got = corpus_pipeline.without_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), "")
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert len(kept) == 7 and {t for _, t in kept} >= {a, c, d, None}
+    assert sum(i == 1 for i, _ in kept) in (1, 2) and sum(t in (b, b + " tail") for _, t in kept) == 1
+    assert [k for k in kept if k[0] is None] == [(None, d)] * 2 and (5, d) in kept
+
+
 def test_documents_stay_where_no_language_can_be_learned(spark, odd, odd_rows):
     unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
     left = corpus_pipeline.known_language(spark, unlabelled, "")
