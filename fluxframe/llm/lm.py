@@ -7,411 +7,256 @@ target loss minus background loss, so low scores look like the target.
 A document never speaks for itself: what it has put into either model is taken
 out again while it is scored, so members of the target gain nothing by that.
 
-``cross_entropy_difference`` counts every word and every bigram of all documents
-by itself, in Spark tables that grow with the input. Each text is matched with
-the counts of its own distinct bigrams by a join; the most frequent bigrams,
-which would meet in a few tasks there, are few enough to go to every task.
-
-``fit`` and ``score`` are a bounded approximation that no query uses: the
-``words`` most frequent words, ``classes`` for all others, and ``2 ** bits``
-slots for bigrams, whatever the input.
+Every word, context and bigram of all documents is counted by itself, and what
+is gathered grows with the input. Texts are written once as blocks of word
+numbers. A block asks for the counts of its own distinct words and bigrams: its
+keys go, packed and in order, to the bucket of their range, where the counts of
+all blocks are added up; back come, in the same order, the counts that all
+other blocks have. Most bigrams are in one document only, so most of these are
+zero and take no room.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+import zstandard
+from pyspark.sql import DataFrame, functions as F
 
 from fluxframe.llm.common import ASCII_LOWER, by_bytes, documents
 from fluxframe.llm.shingles import mixed
 from fluxframe.session import settle
 
-WORDS = 1 << 16
-CLASSES = 1 << 12
-BITS = 20
 #: Weight of the bigram estimate.
 BIGRAM = 0.6
 #: Added to every unigram count.
 SMOOTHING = 0.5
-#: Counts that travel in one row.
-SLICE = 1 << 16
-#: Distinct words a task counts before it passes them on.
-HELD_WORDS = 300_000
+#: Bytes of text in a block; a longer text is a block of its own.
+BLOCK = 4 << 20
+#: Texts in a block, where they are short.
+ROWS = 50_000
+#: Words whose keys are counted in one bucket, on average.
+HELD = 1 << 20
+#: Kinds of keys, in their two lowest bits.
+WORD, CONTEXT, PAIR = 0, 1, 2
 
 
 def lower_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
 
 
-def vocabulary(docs: DataFrame, words: int = WORDS) -> dict[bytes, int]:
-    """Numbers of the most frequent words of all documents, most frequent first, then by the word.
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length as planes of their bytes, compressed; planes of zeros take no room."""
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
-    At most ``words``: of those that tie at the end either all come in or none.
-    Which count that is follows from how many words have each count; only words
-    that come in leave the executors.
-    """
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()),
-                                               pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-        counts: Counter = Counter()
-        for batch in by_bytes(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                counts.update(lower_words(text))
-            if len(counts) > HELD_WORDS:
-                yield out()
-                counts.clear()
-        if counts:
-            yield out()
-
-    counts = docs.select("text").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    # one row for each count that occurs
-    frequencies = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
-    so_far = F.sum("words").over(Window.orderBy(F.desc("n")))
-    least = frequencies.withColumn("so_far", so_far).where(F.col("so_far") <= words).agg(F.min("n").alias("least"))
-    rows = counts.join(F.broadcast(least), F.col("n") >= F.col("least")).select("word", "n").collect()  # a single row
-    ordered = sorted((-r["n"], bytes(r["word"])) for r in rows)
-    return {word: place for place, (_, word) in enumerate(ordered)}
-
-
-@dataclass
-class Numbers:
-    """Words as numbers below ``size``; ``size`` itself stands before the first word."""
-
-    table: dict[bytes, int]
-    classes: int = CLASSES
-    bits: int = BITS
-
-    @property
-    def size(self) -> int:
-        return len(self.table) + self.classes
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        get, base, classes, words = self.table.get, len(self.table), self.classes, lower_words(text)
-        found = [get(w) for w in words]
-        if None in found:
-            found = [base + xxhash.xxh3_64_intdigest(w) % classes if n is None else n
-                     for n, w in zip(found, words, strict=True)]
-        return np.array(found, dtype=np.int64)
-
-    def slots(self, numbers: np.ndarray) -> np.ndarray:
-        """Where the bigrams ending at each word are counted."""
-        before = np.concatenate([[self.size], numbers[:-1]])
-        h = mixed((before * (self.size + 1) + numbers).astype(np.uint64))
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def contexts(self, numbers: np.ndarray) -> np.ndarray:
-        return np.concatenate([[self.size], numbers[:-1]])
-
-
-def count(docs: DataFrame, numbers: Numbers, target: str) -> np.ndarray:
-    """Counts of all rows and of target rows: contexts and words (size + 1 each), then bigram slots."""
-    shared = docs.sparkSession.sparkContext.broadcast(numbers)  # WORDS words at most
-    one, width = numbers.size + 1, 2 * (numbers.size + 1) + (1 << numbers.bits)
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, width), np.uint32)
-        for batch in by_bytes(batches, "text"):
-            which = batch.column("target").to_pylist()
-            for text, hit in zip(batch.column("text").to_pylist(), which, strict=True):
-                n = shared.value(text)
-                if len(n):
-                    at = np.concatenate([shared.value.contexts(n), one + n, 2 * one + shared.value.slots(n)])
-                    places, often = np.unique(at, return_counts=True)
-                    sums[0, places] += often.astype(np.uint32)
-                    if hit:
-                        sums[1, places] += often.astype(np.uint32)
-        yield from _slices(sums.reshape(-1))
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}  # the slices dealt to this task
-        for batch in batches:
-            for place, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = np.frombuffer(zlib.decompress(packed), np.int64)
-                sums[place] = sums[place] + part if place in sums else part
-        for place, part in sums.items():
-            yield _slice(place, part)
-
-    schema = "place int, counts binary"
-    flagged = docs.select("text", F.coalesce(F.col(target).cast("boolean"), F.lit(False)).alias("target"))
-    total = np.zeros(2 * width, np.int64)
-    for row in flagged.mapInArrow(own, schema).repartition("place").mapInArrow(added, schema).collect():
-        part = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
-        total[row["place"] * SLICE:row["place"] * SLICE + len(part)] = part
-    return total.reshape(2, width)
-
-
-def _slice(place: int, counts: np.ndarray) -> pa.RecordBatch:
-    packed = zlib.compress(counts.astype(np.int64).tobytes(), 1)
-    return pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([packed], pa.binary())],
-                                      ["place", "counts"])
-
-
-def _slices(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for place in range(-(-len(counts) // SLICE)):
-        part = counts[place * SLICE:(place + 1) * SLICE]
-        if part.any():
-            yield _slice(place, part)
-
-
-def _others(counts: np.ndarray, at: np.ndarray, own: bool) -> np.ndarray:
-    """Counts at ``at``, without those of this document if they are among them."""
-    if not own:
-        return counts[at].astype(np.float64)
-    places, where, often = np.unique(at, return_inverse=True, return_counts=True)
-    return (counts[places] - often)[where].astype(np.float64)
-
-
-@dataclass
-class Pair:
-    """The counts of the two models, row 0 the background, row 1 the target."""
-
-    numbers: Numbers
-    unigram: np.ndarray
-    context: np.ndarray
-    bigram: np.ndarray
-
-    def __post_init__(self):
-        self.totals = self.unigram.sum(axis=1)
-
-    def losses(self, text: str | None, in_target: bool) -> tuple[int, float | None, float | None]:
-        """Words, and mean loss in nats of target and background."""
-        n = self.numbers(text)
-        if not len(n):
-            return 0, None, None
-        before, slots = self.numbers.contexts(n), self.numbers.slots(n)
-        loss = []
-        for k, own in ((1, in_target), (0, True)):
-            total = float(self.totals[k]) - own * len(n) + SMOOTHING * self.numbers.size
-            alone = (_others(self.unigram[k], n, own) + SMOOTHING) / total
-            seen = _others(self.context[k], before, own)
-            follows = np.minimum(_others(self.bigram[k], slots, own) / np.maximum(seen, 1), 1.0)
-            weight = np.where(seen > 0, BIGRAM, 0.0)
-            loss.append(float(-np.log(weight * follows + (1 - weight) * alone).mean()))
-        return len(n), loss[0], loss[1]
-
-
-def fit(docs: DataFrame, target: str, corpus: DataFrame | None = None, words: int = WORDS, classes: int = CLASSES,
-        bits: int = BITS) -> Pair:
-    """Models of the rows where ``target`` is true, and of all rows of ``docs`` (text and that column).
-
-    ``corpus`` may give the same texts without the flag, where that is cheaper to read.
-    """
-    numbers = Numbers(vocabulary(docs if corpus is None else corpus, words), classes, bits)
-    counts = count(docs, numbers, target)
-    one = numbers.size + 1
-    return Pair(numbers, counts[:, one:2 * one], counts[:, :one], counts[:, 2 * one:])
 
+def unpack(packed: bytes, count: int, *kinds: type) -> list[np.ndarray]:
+    planes, out, start = zstandard.ZstdDecompressor().decompress(packed), [], 0
+    for kind in kinds:
+        width = np.dtype(kind).itemsize
+        part = np.frombuffer(planes, np.uint8, width * count, start).reshape(width, count)
+        out.append(np.ascontiguousarray(part.T).reshape(-1).view(kind))
+        start += width * count
+    return out
 
-def score(docs: DataFrame, models: Pair, target: str) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and their difference ``score`` for every document.
 
-    The documents are those the models were fitted on, with the same flag. Texts
-    without a word have no losses and no score. Equal texts with equal flags
-    score alike; an empty table gives no rows.
+def text_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Texts as numbers of their words: block, ids, lengths, distinct words, and two packed columns.
+
+    ``numbers`` are the words of all texts, one after another, ``hashes`` two
+    64-bit hashes of every distinct word, in the order of their numbers.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # fixed size, see above
-    flagged = docs.select("doc_id", "text", F.coalesce(F.col(target).cast("boolean"), F.lit(False)).alias("target"))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            found = [shared.value.losses(t, hit) for t, hit in zip(
-                batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True)]
-            difference = [None if t is None else t - b for _, t, b in found]
-            n, t, b = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()),
-                 *(pa.array(x, pa.float64()) for x in (t, b, difference))],
-                ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return flagged.mapInArrow(
-        scored, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-
-
-#: Distinct bigrams a task counts before it passes them on.
-HELD_BIGRAMS = 400_000
-#: Most frequent bigrams whose counts go to every task. All others are joined, so no result depends on it.
-FREQUENT = 1 << 16
-#: Columns of counts, of the background and of the target: bigram, its first word as context, its second word.
-COUNTS = ["b0", "b1", "c0", "c1", "u0", "u1"]
-
-
-def bigrams(words: list[bytes]) -> zip:
-    """Every word with the one before it; nothing stands before the first."""
-    return zip([b"", *words], words, strict=False)
-
-
-def bigram_counts(docs: DataFrame, target: str, held: int = HELD_BIGRAMS) -> DataFrame:
-    """before, word, b0, b1: how often every bigram occurs in all rows and in those where ``target`` is true."""
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out():
-            before, word = zip(*every, strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(before, pa.binary()), pa.array(word, pa.binary()), pa.array(list(every.values()), pa.int64()),
-                 pa.array([hits[pair] for pair in every], pa.int64())], ["before", "word", "b0", "b1"])
-        every: Counter = Counter()
-        hits: Counter = Counter()
-        for batch in by_bytes(batches, "text"):
-            for text, hit in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                pairs = list(bigrams(lower_words(text)))
-                every.update(pairs)
-                if hit:
-                    hits.update(pairs)
-            if len(every) > held:
-                yield out()
-                every.clear()
-                hits.clear()
-        if every:
-            yield out()
-
-    flagged = docs.select("text", F.coalesce(F.col(target).cast("boolean"), F.lit(False)).alias("target"))
-    rows = flagged.mapInArrow(counted, "before binary, word binary, b0 long, b1 long")
-    return rows.groupBy("before", "word").agg(F.sum("b0").alias("b0"), F.sum("b1").alias("b1"))
-
-
-def with_words(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``counts`` with those of either word (columns ``COUNTS``), and the counts of every word (word, u0, u1)."""
-    def of(key: str, letter: str) -> DataFrame:
-        return settle(counts.groupBy(key).agg(F.sum("b0").alias(f"{letter}0"), F.sum("b1").alias(f"{letter}1")))
-
-    words = of("word", "u")
-    return counts.join(of("before", "c"), "before").join(words, "word").select("before", "word", *COUNTS), words
-
-
-def most_frequent(counts: DataFrame, most: int) -> list:
-    """Rows of the most frequent bigrams, ``most`` at most; of those that tie at the end all come in or none."""
-    # one row for each count that occurs
-    frequencies = counts.groupBy("b0").agg(F.count(F.lit(1)).alias("pairs"))
-    so_far = F.sum("pairs").over(Window.orderBy(F.desc("b0")))
-    least = frequencies.withColumn("so_far", so_far).where(F.col("so_far") <= most).agg(F.min("b0")).first()[0]
-    return [] if least is None else counts.where(F.col("b0") >= F.lit(least)).collect()
-
-
-@dataclass
-class Sums:
-    """Words of both models together, and the number of different words."""
-
-    background: int
-    target: int
-    words: int
-
-    def loss(self, k: int, own: int, x: dict, log, larger, choose):
-        """Loss in nats of one occurrence of a bigram, for numpy arrays or columns alike.
-
-        ``own`` tells whether the document is in model ``k``; ``n``, ``c`` and ``u`` are its own counts of the bigram,
-        of the word before it and of the word, ``length`` its words.
-        """
-        total = (self.background, self.target)[k] - own * x["length"] + SMOOTHING * self.words
-        alone = (larger(x[f"u{k}"] - own * x["u"], 0) + SMOOTHING) / total
-        seen = x[f"c{k}"] - own * x["c"]
-        follows = larger(x[f"b{k}"] - own * x["n"], 0) / larger(seen, 1)
-        return -log(choose(seen > 0, BIGRAM * follows + (1 - BIGRAM) * alone, alone))
-
-
-#: Sums of losses of a text: background; target if the text is in it; target if not.
-LOSSES = {"background": (0, 1), "within": (1, 1), "outside": (1, 0)}
-
-
-def text_losses(texts: DataFrame, counts: DataFrame, sums: Sums, frequent: int = FREQUENT) -> DataFrame:
-    """x, y, n_tokens and mean losses (``LOSSES``) of every text with a word; ``texts`` has text and its hashes x, y.
-
-    A text may come up in several tasks; each passes it on once and all give the same losses.
+    def block(ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
+        table: dict[bytes, int] = {}
+        numbers = np.array([table.setdefault(w, len(table)) for words in texts for w in words], np.uint32)
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, table)), ">u8").astype(np.uint64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())),
+             pa.array([list(map(len, texts))], pa.list_(pa.int64())), pa.array([len(table)], pa.int64()),
+             pa.array([pack(numbers)], pa.binary()), pa.array([hashes.tobytes()], pa.binary())],
+            ["block", "ids", "lengths", "distinct", "numbers", "hashes"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, held = [], [], 0
+        for batch in by_bytes(batches, "text", size // 4):
+            own = batch.column("text")
+            if ids and (held + own.nbytes > size or len(ids) + len(own) > ROWS):
+                yield block(ids, texts)
+                ids, texts, held = [], [], 0
+            ids += batch.column("doc_id").to_pylist()
+            texts += map(lower_words, own.to_pylist())
+            held += own.nbytes
+        if ids:
+            yield block(ids, texts)
+
+    return docs.mapInArrow(
+        cut, "block string, ids array<long>, lengths array<long>, distinct long, numbers binary, hashes binary")
+
+
+class Keys:
+    """The distinct bigrams, contexts and words of a block, and where each occurrence finds its own.
+
+    Keys are 94 bits of hashes and two bits for their kind: ``high`` and
+    ``low``, in the order of ``high``.
     """
-    rows = most_frequent(counts, frequent)
-    table = {(bytes(r["before"]), bytes(r["word"])): n for n, r in enumerate(rows)}
-    values = np.array([[r[c] for c in COUNTS] for r in rows], np.float64).reshape(-1, len(COUNTS))
-    shared = texts.sparkSession.sparkContext.broadcast((table, values))  # ``frequent`` bigrams at most
-    names = ["x", "y", "before", "word", "n", "c", "u", "length", "texts", *LOSSES]
-
-    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, values = shared.value
-        done = set()
-        for batch in by_bytes(batches, "text"):
-            kept, lengths, starts, before, word, n, c, u = [], [], [], [], [], [], [], []
-            for x, y, text in zip(*(batch.column(k).to_pylist() for k in ("x", "y", "text")), strict=True):
-                words = lower_words(text)
-                if not words or (x, y) in done:
-                    continue
-                done.add((x, y))
-                own = Counter(bigrams(words))
-                contexts, alone = Counter([b"", *words[:-1]]), Counter(words)
-                first, second = zip(*own, strict=True)
-                kept.append((x, y))
-                lengths.append(len(words))
-                starts.append(len(n))
-                before += first
-                word += second
-                n += own.values()
-                c += map(contexts.__getitem__, first)
-                u += map(alone.__getitem__, second)
-            if not kept:
-                continue
-            at = np.array([known.get(pair, -1) for pair in zip(before, word, strict=True)], np.int64)
-            numbers = {"n": np.array(n, np.int64), "c": np.array(c, np.int64), "u": np.array(u, np.int64)}
-            which = np.repeat(np.arange(len(kept)), np.diff([*starts, len(n)]))
-            own = numbers | {"length": np.array(lengths, np.int64)[which]}
-            here = at >= 0
-            found = {k: v[here] for k, v in own.items()} | dict(zip(COUNTS, values[at[here]].T, strict=True))
-            with np.errstate(divide="ignore", invalid="ignore"):  # ``within`` of texts that are not
-                each = [sums.loss(k, o, found, np.log, np.maximum, np.where) * found["n"] for k, o in LOSSES.values()]
-            losses = [np.bincount(which[here], x, len(kept)).astype(np.float64) for x in each]
-            keys = np.array(kept, np.int64)
-            # what is known already is under a key that holds a blank, so that it is no bigram and meets no other
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([b" "] * len(kept), pa.binary()),
-                 pa.array([b" %d" % x for x, _ in kept], pa.binary()), *[pa.array(np.zeros(len(kept), np.int64))] * 3,
-                 pa.array(lengths, pa.int64()), pa.array(np.ones(len(kept), np.int64)),
-                 *map(pa.array, losses)], names)
-            rest = np.flatnonzero(~here)
-            if len(rest):
-                keys = keys[which[rest]]
+
+    def __init__(self, row: dict):
+        lengths = np.array(row["lengths"], np.int64)
+        (numbers,) = unpack(row["numbers"], int(lengths.sum()), np.uint32)
+        size = row["distinct"]
+        # nothing stands before the first word of a text; that context has a number and a hash of its own
+        hashes = np.concatenate([np.frombuffer(row["hashes"], np.uint64).reshape(-1, 2), np.zeros((1, 2), np.uint64)])
+        words = numbers.astype(np.int64)
+        before = np.concatenate([[size], words[:-1]])[:len(words)]
+        before[(np.cumsum(lengths) - lengths)[lengths > 0]] = size
+        pairs, at_pair = np.unique(before * (size + 1) + words, return_inverse=True)
+        contexts, at_context = np.unique(before, return_inverse=True)
+        first, second = np.divmod(pairs, size + 1)
+        odd = np.uint64(0x9E3779B97F4A7C15)
+        both = [np.concatenate([mixed(mixed(h[first] ^ odd) + h[second] * odd), mixed(h[contexts] + odd), h[:size]])
+                for h in hashes.T]
+        kinds = np.repeat(np.array([PAIR, CONTEXT, WORD], np.uint32), [len(pairs), len(contexts), size])
+        order = np.argsort(both[0], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.lengths, self.text = lengths, np.repeat(np.arange(len(lengths)), lengths)
+        self.high = both[0][order]
+        self.low = (((both[1] >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFC)) | kinds)[order]
+        #: Of every occurrence of a word: places of its bigram, of its context and of itself.
+        self.places = [place[at_pair], place[len(pairs) + at_context], place[len(pairs) + len(contexts) + words]]
+
+    def counts(self, hits: np.ndarray) -> np.ndarray:
+        """How often each key occurs in all texts of the block, and in those of the target."""
+        inside = hits[self.text]
+        return np.stack([sum(np.bincount(p[which], minlength=len(self.high)) for p in self.places)
+                         for which in (slice(None), inside)])
+
+    def bounds(self, buckets: int) -> np.ndarray:
+        """Where the keys of each bucket start; buckets are equal ranges of ``high``."""
+        dealt = ((self.high >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        return np.searchsorted(dealt, np.arange(buckets + 1))
+
+
+def flags(row: dict) -> np.ndarray:
+    found = np.zeros(len(row["lengths"]), bool)
+    found[row["hits"] or []] = True
+    return found
+
+
+def asked(blocks: DataFrame, buckets: int) -> DataFrame:
+    """The keys and counts of each block, a row for every bucket they go to."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (r for at in range(batch.num_rows) for r in batch.slice(at, 1).to_pylist()):
+                keys = Keys(row)
+                counts = keys.counts(flags(row)).astype(np.uint32)
+                bounds = keys.bounds(buckets)
+                used = np.flatnonzero(np.diff(bounds))
+                parts = [slice(bounds[b], bounds[b + 1]) for b in used]
+                packed = [pack(np.diff(keys.high[p], prepend=np.uint64(0)), keys.low[p], counts[0, p], counts[1, p])
+                          for p in parts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([before[k] for k in rest], pa.binary()),
-                     pa.array([word[k] for k in rest], pa.binary()),
-                     *(pa.array(own[k][rest]) for k in ("n", "c", "u", "length")),
-                     pa.array(np.zeros(len(rest), np.int64)), *[pa.array(np.zeros(len(rest)))] * len(LOSSES)], names)
-
-    own = texts.mapInArrow(matched, "x long, y long, before binary, word binary, n long, c long, u long, length long, "
-                                    "texts long, background double, within double, outside double")
-    columns = {k: F.col(k) for k in ("n", "c", "u", "length", *COUNTS)}
-    losses = {name: F.col(name) + F.coalesce(F.col("n") * sums.loss(
-        k, o, columns, F.log, lambda a, b: F.greatest(a, F.lit(b).cast("long")),
-        lambda if_, a, b: F.when(if_, a).otherwise(b)), F.lit(0.0)) for name, (k, o) in LOSSES.items()}
-    # both sides are shuffled at every size: neither has a bound
-    joined = own.join(counts.hint("merge"), ["before", "word"], "left")
-    found = (joined.select("x", "y", "length", "texts", *[v.alias(k) for k, v in losses.items()]).groupBy("x", "y")
-             .agg(F.max("length").alias("n_tokens"), F.sum("texts").alias("texts"), *[F.sum(k).alias(k) for k in LOSSES]))
-    words = F.col("texts") * F.col("n_tokens")
-    return found.select("x", "y", "n_tokens", *[(F.col(k) / words).alias(k) for k in LOSSES])
-
-
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+                    [pa.array(used, pa.int32()), pa.array([row["block"]] * len(used), pa.string()),
+                     pa.array([p.stop - p.start for p in parts], pa.int64()), pa.array(packed, pa.binary())],
+                    ["bucket", "block", "n", "packed"])
+
+    return blocks.mapInArrow(run, "bucket int, block string, n long, packed binary")
+
+
+def answered(requests: DataFrame) -> DataFrame:
+    """For the keys of each request, in their order, what all other blocks have; and how many words are new here."""
+    def run(table: pa.Table) -> pa.Table:
+        sizes = table.column("n").to_pylist()
+        parts = [unpack(p, n, np.uint64, np.uint32, np.uint32, np.uint32)
+                 for p, n in zip(table.column("packed").to_pylist(), sizes, strict=True)]
+        high = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+        low, *own = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+        order = np.lexsort((low, high))
+        high, low = high[order], low[order]
+        new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+        others = []
+        for counts in own:
+            counts = counts[order].astype(np.int64)
+            left = np.empty(len(order), np.int64)
+            left[order] = np.add.reduceat(counts, starts)[group] - counts
+            others.append(left)
+        ends = np.cumsum(sizes)
+        packed = [pack(*(o[e - n:e] for o in others)) for n, e in zip(sizes, ends, strict=True)]
+        words = np.zeros(len(sizes), np.int64)
+        words[0] = (low[starts] & 3 == WORD).sum()
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": table.column("n"),
+                         "packed": pa.array(packed, pa.binary()), "words": pa.array(words)})
+
+    return requests.groupBy("bucket").applyInArrow(
+        run, "block string, bucket int, n long, packed binary, words long")
+
+
+def own_counts(text: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    """For every occurrence, how often its text holds the same key."""
+    _, at, often = np.unique(text * size + place, return_inverse=True, return_counts=True)
+    return often[at]
+
+
+def scored(blocks: DataFrame, answers: DataFrame, totals: tuple[int, int], words: int) -> DataFrame:
+    """doc_id, n_tokens and the losses of every text; ``totals`` are the words of the background and the target."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {name: [] for name in ("doc_id", "n_tokens", "target_loss", "background_loss")}
+        for row in left.to_pylist():
+            keys, hits = Keys(row), flags(row)
+            replies = sorted(zip(*(right.column(c).to_pylist() for c in ("bucket", "n", "packed")), strict=True))
+            others = [unpack(packed, n, np.int64, np.int64) for _, n, packed in replies]
+            every = keys.counts(hits)
+            if others:
+                every = every + np.stack([np.concatenate([o[k] for o in others]) for k in (0, 1)])
+            pair, context, word = ([every[k][p] for k in (0, 1)] for p in keys.places)
+            n, c, u = (own_counts(keys.text, p, len(keys.high)) for p in keys.places)
+            length, losses = keys.lengths[keys.text], []
+            for k, own in ((1, hits[keys.text].astype(np.int64)), (0, 1)):
+                alone = (word[k] - own * u + SMOOTHING) / (totals[k] - own * length + SMOOTHING * words)
+                seen = context[k] - own * c
+                follows = (pair[k] - own * n) / np.maximum(seen, 1)
+                each = -np.log(np.where(seen > 0, BIGRAM * follows + (1 - BIGRAM) * alone, alone))
+                losses.append(np.bincount(keys.text, each, len(hits)) / np.maximum(keys.lengths, 1))
+            none = keys.lengths == 0
+            out["doc_id"].append(pa.array(row["ids"], pa.int64()))
+            out["n_tokens"].append(pa.array(keys.lengths))
+            for name, loss in zip(("target_loss", "background_loss"), losses, strict=True):
+                out[name].append(pa.array(loss.astype(np.float64), mask=none))
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table({name: pa.chunked_array(parts, kind)
+                         for (name, parts), kind in zip(out.items(), kinds, strict=True)})
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        run, "doc_id long, n_tokens long, target_loss double, background_loss double")
+
+
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, held: int = HELD, block: int = BLOCK) -> DataFrame:
     """Score ``docs`` against the model of those whose doc_id is in ``targets``.
 
     doc_id, n_tokens, target_loss, background_loss and their difference ``score``
     for every document. Repeated target ids count once, ids without a document
-    not at all. Texts without a word have no losses and no score. Equal texts
-    with equal flags score alike; an empty table gives no rows.
+    not at all; a row without an id is in the background only. Texts without a
+    word have no losses and no score. Equal texts with equal flags score alike;
+    an empty table gives no rows. ``held`` and ``block`` bound what a task holds
+    and change no result.
     """
-    docs = documents(docs)
-    marked = targets.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn(
-        "target", F.lit(True))
+    blocks = settle(text_blocks(documents(docs), block))
+    marked = targets.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+    rows = blocks.select("block", F.posexplode(F.arrays_zip("ids", "lengths")).alias("at", "row"))
+    rows = rows.select("block", "at", F.col("row.ids").alias("doc_id"), F.col("row.lengths").alias("length"))
     # both sides are shuffled at every size, since targets have no bound
-    flagged = docs.join(marked.hint("merge"), "doc_id", "left")
-    counts, words = with_words(settle(bigram_counts(flagged, "target")))
-    row = words.agg(F.sum("u0"), F.sum("u1"), F.count(F.lit(1))).first()
-    hashed = docs.withColumns({"x": F.xxhash64("text"), "y": F.xxhash64(F.lit(1), "text")})
-    losses = text_losses(hashed.select("x", "y", "text"), settle(counts), Sums(row[0] or 0, row[1] or 0, row[2]),
-                         frequent)
-    target_loss = F.when(F.col("target"), F.col("within")).otherwise(F.col("outside"))
-    return (hashed.drop("text").join(marked.hint("merge"), "doc_id", "left").join(losses.hint("merge"), ["x", "y"], "left")
-            .select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"),
-                    target_loss.alias("target_loss"), F.col("background").alias("background_loss"),
-                    (target_loss - F.col("background")).alias("score")))
+    hits = settle(rows.join(marked.hint("merge"), "doc_id", "left_semi").groupBy("block").agg(
+        F.collect_list("at").alias("hits"), F.sum("length").alias("within")))
+    background = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
+    within = hits.agg(F.sum("within")).first()[0] or 0
+    flagged = blocks.join(hits.select("block", "hits"), "block", "left")
+    answers = settle(answered(asked(flagged, max(1, -(-background // held)))))
+    words = answers.agg(F.sum("words")).first()[0] or 0
+    found = scored(flagged, answers.drop("words"), (background, within), words)
+    return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -153,57 +153,6 @@ def test_quality_of_odd_rows(spark, odd, odd_rows, empty, docs):
 
 # cross-entropy difference
 
-def slow_losses(rows, targets, words, classes, bits):
-    """The two models by plain counting, each without the document at hand."""
-    lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-    texts = [(d, (t or "").encode().translate(lower).split()) for d, t in rows]
-    often = Counter(w for _, t in texts for w in t)
-    ranked = sorted(often.items(), key=lambda x: (-x[1], x[0]))
-    top = [w for w, n in ranked if sum(m >= n for _, m in ranked) <= words]
-    number = {w: n for n, w in enumerate(top)}
-    named = [(d, [number.get(w, len(top) + xxhash.xxh3_64_intdigest(w) % classes) for w in t]) for d, t in texts]
-    helper = lm.Numbers(number, classes, bits)
-    size = len(top) + classes
-
-    def grams(t):
-        return list(zip([size, *t[:-1]], t, helper.slots(np.array(t, np.int64)).tolist() if t else [], strict=True)) if t else []
-    out = []
-    for i, (doc, t) in enumerate(named):
-        losses = []
-        for which in (lambda d: d in targets, lambda d: True):
-            seen = [g for j, (d, u) in enumerate(named) if j != i and which(d) for g in grams(u)]
-            context, alone, pair = Counter(g[0] for g in seen), Counter(g[1] for g in seen), Counter(g[2] for g in seen)
-            total = 0.0
-            for a, b, slot in grams(t):
-                p = (alone[b] + 0.5) / (len(seen) + 0.5 * size)
-                if context[a]:
-                    p = 0.6 * min(pair[slot] / context[a], 1) + 0.4 * p
-                total -= math.log(p)
-            losses.append(total / len(t) if t else None)
-        out.append((doc, len(t), *losses))
-    return out
-
-
-def test_losses_against_plain_counting(spark):
-    texts = ["the cat sat on the mat", "The cat ran", "a dog sat on a log", "zebra zebra zebra quagga", None, "",
-             "the cat sat on the mat", "one"]
-    rows = list(enumerate(texts))
-    docs = spark.createDataFrame([(*r, 0.0) for r in rows], "doc_id long, text string, score double").repartition(3)
-    flagged = docs.withColumn("hit", F.col("doc_id").isin(0, 2))
-    options = {"words": 6, "classes": 4, "bits": 12}
-    got = lm.score(flagged, lm.fit(flagged, "hit", **options), "hit").collect()
-    expected = {r[0]: r for r in slow_losses(rows, {0, 2}, **options)}
-    assert len(got) == len(rows)
-    for r in got:
-        _, n, target, background = expected[r["doc_id"]]
-        assert r["n_tokens"] == n
-        if n:
-            assert math.isclose(r["target_loss"], target) and math.isclose(r["background_loss"], background)
-            assert math.isclose(r["score"], target - background, abs_tol=1e-9)
-        else:
-            assert r["target_loss"] is None and r["score"] is None
-
-
 def test_junk_is_further_from_the_target_than_prose(spark, docs):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     got = lm.cross_entropy_difference(docs, labels.where("quality = 1"))
@@ -251,17 +200,17 @@ def exact_losses(rows, targets):
     return out
 
 
-@pytest.mark.parametrize("frequent", [0, 50, 1 << 16])
-def test_every_word_and_pair_counts_by_itself(spark, frequent):
+@pytest.mark.parametrize(("held", "block"), [(2000, 1 << 14), (50_000, 1 << 17), (lm.HELD, lm.BLOCK)])
+def test_every_word_and_pair_counts_by_itself(spark, held, block):
     rng = np.random.default_rng(3)
-    # more words than the bounded models have room for, so that any cap shows
+    # more words than any bounded model has room for, so that a cap shows
     rows = [(n, " ".join([f"Rare{i}" for i in rng.integers(0, 200_000, 900)] + [f"w{i}" for i in rng.integers(0, 30, 100)]))
             for n in range(120)]
     rows += [(200, rows[0][1]), (200, "another text"), (201, None), (202, " \n "), (None, "w1 w2 w1 w2"), (203, "one")]
     targets = {*range(0, 120, 3), 200}
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     marks = spark.createDataFrame([(d,) for d in [*targets, 0, 999, None]], "doc_id long")
-    got = lm.cross_entropy_difference(docs, marks, frequent=frequent).collect()
+    got = lm.cross_entropy_difference(docs, marks, held=held, block=block).collect()
     key = lambda r: (str(r[0]), r[1])
     expected = sorted(exact_losses(rows, targets), key=key)
     assert len(got) == len(expected)
