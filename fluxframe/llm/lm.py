@@ -7,8 +7,9 @@ target loss minus background loss, so low scores look like the target.
 A document never speaks for itself: what it has put into either model is taken
 out again while it is scored, so members of the target gain nothing by that.
 
-Every word, context and bigram of all documents is counted by itself, and what
-is gathered grows with the input. Texts are written once as blocks of word
+Every word and bigram of all documents is counted by itself, and what is
+gathered grows with the input. A word stands before another as often as it is
+not the last one of a text, so contexts need no counts of their own. Texts are written once as blocks of word
 numbers. A block asks for the counts of its own distinct words and bigrams: its
 keys go, packed and in order, to the bucket of their range, where the counts of
 all blocks are added up; back come, in the same order, the counts that all
@@ -19,7 +20,7 @@ zero and take no room.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ BLOCK = 4 << 20
 ROWS = 50_000
 #: Words whose keys are counted in one bucket, on average.
 HELD = 1 << 20
-#: Kinds of keys, in their two lowest bits.
-WORD, CONTEXT, PAIR = 0, 1, 2
+#: Bytes of ``low``, a key's second hash; its lowest bit is 1 for bigrams.
+LOW = 3
 
 
 def lower_words(text: str | None) -> list[bytes]:
@@ -51,7 +52,7 @@ def lower_words(text: str | None) -> list[bytes]:
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one length as planes of their bytes, compressed; planes of zeros take no room."""
-    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays]
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
@@ -68,18 +69,18 @@ def unpack(packed: bytes, count: int, *kinds: type) -> list[np.ndarray]:
 def text_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     """Texts as numbers of their words: block, ids, lengths, distinct words, and two packed columns.
 
-    ``numbers`` are the words of all texts, one after another, ``hashes`` two
-    64-bit hashes of every distinct word, in the order of their numbers.
+    ``numbers`` are the words of all texts, one after another, ``words`` the
+    distinct words in the order of their numbers.
     """
     def block(ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
         table: dict[bytes, int] = {}
         numbers = np.array([table.setdefault(w, len(table)) for words in texts for w in words], np.uint32)
-        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, table)), ">u8").astype(np.uint64).reshape(-1, 2)
+        words = zstandard.ZstdCompressor(level=3).compress(b" ".join(table))  # a word holds no blank
         return pa.RecordBatch.from_arrays(
             [pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())),
              pa.array([list(map(len, texts))], pa.list_(pa.int64())), pa.array([len(table)], pa.int64()),
-             pa.array([pack(numbers)], pa.binary()), pa.array([hashes.tobytes()], pa.binary())],
-            ["block", "ids", "lengths", "distinct", "numbers", "hashes"])
+             pa.array([pack(numbers)], pa.binary()), pa.array([words], pa.binary())],
+            ["block", "ids", "lengths", "distinct", "numbers", "words"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held = [], [], 0
@@ -95,46 +96,54 @@ def text_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
             yield block(ids, texts)
 
     return docs.mapInArrow(
-        cut, "block string, ids array<long>, lengths array<long>, distinct long, numbers binary, hashes binary")
+        cut, "block string, ids array<long>, lengths array<long>, distinct long, numbers binary, words binary")
 
 
 class Keys:
-    """The distinct bigrams, contexts and words of a block, and where each occurrence finds its own.
+    """The distinct words and bigrams of a block, and where each occurrence finds its own.
 
-    Keys are 94 bits of hashes and two bits for their kind: ``high`` and
-    ``low``, in the order of ``high``.
+    Keys are 87 bits of hashes and one bit that tells bigrams from words:
+    ``high`` and ``low``, in the order of ``high``.
     """
 
     def __init__(self, row: dict):
         lengths = np.array(row["lengths"], np.int64)
         (numbers,) = unpack(row["numbers"], int(lengths.sum()), np.uint32)
         size = row["distinct"]
-        # nothing stands before the first word of a text; that context has a number and a hash of its own
-        hashes = np.concatenate([np.frombuffer(row["hashes"], np.uint64).reshape(-1, 2), np.zeros((1, 2), np.uint64)])
+        names = zstandard.ZstdDecompressor().decompress(row["words"]).split(b" ") if size else []
+        # nothing stands before the first word of a text; that place has a number and a hash of its own
+        hashes = np.frombuffer(b"".join([*map(xxhash.xxh3_128_digest, names), bytes(16)]), ">u8").astype(np.uint64)
         words = numbers.astype(np.int64)
         before = np.concatenate([[size], words[:-1]])[:len(words)]
-        before[(np.cumsum(lengths) - lengths)[lengths > 0]] = size
-        pairs, at_pair = np.unique(before * (size + 1) + words, return_inverse=True)
-        contexts, at_context = np.unique(before, return_inverse=True)
+        self.first, self.last = np.zeros((2, len(words)), bool)
+        ends = np.cumsum(lengths)[lengths > 0]
+        self.first[ends - lengths[lengths > 0]] = True
+        self.last[ends - 1] = True
+        before[self.first] = size
+        pairs, at = np.unique(before * (size + 1) + words, return_inverse=True)
         first, second = np.divmod(pairs, size + 1)
         odd = np.uint64(0x9E3779B97F4A7C15)
-        both = [np.concatenate([mixed(mixed(h[first] ^ odd) + h[second] * odd), mixed(h[contexts] + odd), h[:size]])
-                for h in hashes.T]
-        kinds = np.repeat(np.array([PAIR, CONTEXT, WORD], np.uint32), [len(pairs), len(contexts), size])
-        order = np.argsort(both[0], kind="stable")
+        high, low = (np.concatenate([mixed(mixed(h[first] ^ odd) + h[second] * odd), h[:size]])
+                     for h in hashes.reshape(-1, 2).T)
+        low = ((low >> np.uint64(64 - 8 * LOW)) & ~np.uint64(1)).astype(np.uint32)
+        low[:len(pairs)] |= np.uint32(1)
+        order = np.argsort(high, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.lengths, self.text = lengths, np.repeat(np.arange(len(lengths)), lengths)
-        self.high = both[0][order]
-        self.low = (((both[1] >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFC)) | kinds)[order]
-        #: Of every occurrence of a word: places of its bigram, of its context and of itself.
-        self.places = [place[at_pair], place[len(pairs) + at_context], place[len(pairs) + len(contexts) + words]]
+        self.high, self.low = high[order], low[order]
+        #: Of every occurrence of a word: place of its bigram and of itself; number of the word before it.
+        self.pair, self.word, self.before = place[at], place[len(pairs) + words], before
+        #: Place of the word before it; of no use where there is none.
+        self.context = np.where(self.first, 0, np.concatenate([[0], self.word[:-1]])[:len(words)])
 
     def counts(self, hits: np.ndarray) -> np.ndarray:
-        """How often each key occurs in all texts of the block, and in those of the target."""
+        """How often each key occurs in all texts of the block and in those of the target; then as their last word."""
+        def often(places):
+            return np.bincount(places, minlength=len(self.high))
         inside = hits[self.text]
-        return np.stack([sum(np.bincount(p[which], minlength=len(self.high)) for p in self.places)
-                         for which in (slice(None), inside)])
+        return np.stack([often(self.pair) + often(self.word), often(self.pair[inside]) + often(self.word[inside]),
+                         often(self.word[self.last]), often(self.word[self.last & inside])])
 
     def bounds(self, buckets: int) -> np.ndarray:
         """Where the keys of each bucket start; buckets are equal ranges of ``high``."""
@@ -158,8 +167,7 @@ def asked(blocks: DataFrame, buckets: int) -> DataFrame:
                 bounds = keys.bounds(buckets)
                 used = np.flatnonzero(np.diff(bounds))
                 parts = [slice(bounds[b], bounds[b + 1]) for b in used]
-                packed = [pack(np.diff(keys.high[p], prepend=np.uint64(0)), keys.low[p], counts[0, p], counts[1, p])
-                          for p in parts]
+                packed = [pack(np.diff(keys.high[p], prepend=np.uint64(0)), keys.low[p], *counts[:, p]) for p in parts]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(used, pa.int32()), pa.array([row["block"]] * len(used), pa.string()),
                      pa.array([p.stop - p.start for p in parts], pa.int64()), pa.array(packed, pa.binary())],
@@ -172,10 +180,10 @@ def answered(requests: DataFrame) -> DataFrame:
     """For the keys of each request, in their order, what all other blocks have; and how many words are new here."""
     def run(table: pa.Table) -> pa.Table:
         sizes = table.column("n").to_pylist()
-        parts = [unpack(p, n, np.uint64, np.uint32, np.uint32, np.uint32)
+        parts = [unpack(p, n, np.uint64, *[np.uint32] * 5)
                  for p, n in zip(table.column("packed").to_pylist(), sizes, strict=True)]
         high = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        low, *own = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+        low, *own = (np.concatenate([p[k] for p in parts]) for k in range(1, 6))
         order = np.lexsort((low, high))
         high, low = high[order], low[order]
         new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
@@ -189,7 +197,7 @@ def answered(requests: DataFrame) -> DataFrame:
         ends = np.cumsum(sizes)
         packed = [pack(*(o[e - n:e] for o in others)) for n, e in zip(sizes, ends, strict=True)]
         words = np.zeros(len(sizes), np.int64)
-        words[0] = (low[starts] & 3 == WORD).sum()
+        words[0] = (low[starts] & 1 == 0).sum()
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": table.column("n"),
                          "packed": pa.array(packed, pa.binary()), "words": pa.array(words)})
 
@@ -203,24 +211,29 @@ def own_counts(text: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
     return often[at]
 
 
-def scored(blocks: DataFrame, answers: DataFrame, totals: tuple[int, int], words: int) -> DataFrame:
-    """doc_id, n_tokens and the losses of every text; ``totals`` are the words of the background and the target."""
+def scored(blocks: DataFrame, answers: DataFrame, totals: Sequence[int], texts: Sequence[int],
+           words: int) -> DataFrame:
+    """doc_id, n_tokens and the losses of every text.
+
+    ``totals`` are the words, ``texts`` the texts with a word, each of the background and of the target.
+    """
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {name: [] for name in ("doc_id", "n_tokens", "target_loss", "background_loss")}
         for row in left.to_pylist():
             keys, hits = Keys(row), flags(row)
             replies = sorted(zip(*(right.column(c).to_pylist() for c in ("bucket", "n", "packed")), strict=True))
-            others = [unpack(packed, n, np.int64, np.int64) for _, n, packed in replies]
+            others = [unpack(packed, n, *[np.int64] * 4) for _, n, packed in replies]
             every = keys.counts(hits)
             if others:
-                every = every + np.stack([np.concatenate([o[k] for o in others]) for k in (0, 1)])
-            pair, context, word = ([every[k][p] for k in (0, 1)] for p in keys.places)
-            n, c, u = (own_counts(keys.text, p, len(keys.high)) for p in keys.places)
+                every = every + np.stack([np.concatenate(parts) for parts in zip(*others, strict=True)])
+            own_pairs, own_words = (own_counts(keys.text, p, len(keys.high)) for p in (keys.pair, keys.word))
+            own_contexts = own_counts(keys.text, keys.before, row["distinct"] + 1)
             length, losses = keys.lengths[keys.text], []
             for k, own in ((1, hits[keys.text].astype(np.int64)), (0, 1)):
-                alone = (word[k] - own * u + SMOOTHING) / (totals[k] - own * length + SMOOTHING * words)
-                seen = context[k] - own * c
-                follows = (pair[k] - own * n) / np.maximum(seen, 1)
+                alone = ((every[k][keys.word] - own * own_words + SMOOTHING)
+                         / (totals[k] - own * length + SMOOTHING * words))
+                seen = np.where(keys.first, texts[k], (every[k] - every[2 + k])[keys.context]) - own * own_contexts
+                follows = (every[k][keys.pair] - own * own_pairs) / np.maximum(seen, 1)
                 each = -np.log(np.where(seen > 0, BIGRAM * follows + (1 - BIGRAM) * alone, alone))
                 losses.append(np.bincount(keys.text, each, len(hits)) / np.maximum(keys.lengths, 1))
             none = keys.lengths == 0
@@ -251,12 +264,14 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, held: int = HE
     rows = blocks.select("block", F.posexplode(F.arrays_zip("ids", "lengths")).alias("at", "row"))
     rows = rows.select("block", "at", F.col("row.ids").alias("doc_id"), F.col("row.lengths").alias("length"))
     # both sides are shuffled at every size, since targets have no bound
+    size = [F.sum("length").alias("words"), F.count(F.when(F.col("length") > 0, True)).alias("texts")]
     hits = settle(rows.join(marked.hint("merge"), "doc_id", "left_semi").groupBy("block").agg(
-        F.collect_list("at").alias("hits"), F.sum("length").alias("within")))
-    background = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
-    within = hits.agg(F.sum("within")).first()[0] or 0
+        F.collect_list("at").alias("hits"), *size))
+    every = rows.agg(*size).first()
+    within = hits.agg(F.sum("words").alias("words"), F.sum("texts").alias("texts")).first()
+    totals, texts = ([every[c] or 0, within[c] or 0] for c in ("words", "texts"))
     flagged = blocks.join(hits.select("block", "hits"), "block", "left")
-    answers = settle(answered(asked(flagged, max(1, -(-background // held)))))
+    answers = settle(answered(asked(flagged, max(1, -(-totals[0] // held)))))
     words = answers.agg(F.sum("words")).first()[0] or 0
-    found = scored(flagged, answers.drop("words"), (background, within), words)
+    found = scored(flagged, answers.drop("words"), totals, texts, words)
     return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
