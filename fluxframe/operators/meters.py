@@ -16,8 +16,9 @@ def smoothed(series: DataFrame, name: str, step: str, value: str, window: int =
     rolled = over_last_rows(series, [name], [step], window, {
         "__last": F.collect_list(value),
         "avg": F.avg(value), "std": F.stddev_samp(value), "max": F.max(value)}, limit=limit)
-    middle = F.floor((F.size("__last") + 1) / 2).cast("int")
-    rolled = rolled.withColumn("median", F.element_at(F.array_sort("__last"), middle)).drop("__last")
+    # counted from 0; nothing where all of the last values are missing
+    middle = F.floor((F.size("__last") - 1) / 2).cast("int")
+    rolled = rolled.withColumn("median", F.get(F.array_sort("__last"), middle)).drop("__last")
     overall = series.groupBy(name).agg(F.avg(value).alias("global_avg"))
     return keyed_join(rolled, overall, [name])
 

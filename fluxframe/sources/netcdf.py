@@ -1,4 +1,4 @@
-"""Gridded NetCDF files as long tables. Needs xarray on driver and executors."""
+"""Gridded NetCDF files as long tables. Needs xarray on the executors."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from fluxframe.sources.planned import read_planned
+
 RENAMED = {"latitude": "lat", "longitude": "lon", "valid_time": "timestamp", "ELEVATION": "elev"}
 
 
@@ -67,10 +69,8 @@ class NetcdfReader(DataSourceReader):
 
 
 def read_netcdf(spark: SparkSession, paths: Sequence[str], steps: int = 24, time: str = "valid_time") -> DataFrame:
-    spark.dataSource.register(NetcdfSource)
-    loaded = (spark.read.format("netcdf_long").option("path", ",".join(paths))
-              .option("steps", str(steps)).option("time", time).load())
-    return tidy_names(loaded)
+    """Rows of all files, which have the variables of the first; axes are read by the tasks."""
+    return tidy_names(read_planned(spark, paths, NetcdfSource, {"steps": str(steps), "time": time}))
 
 
 def tidy_names(df: DataFrame) -> DataFrame:

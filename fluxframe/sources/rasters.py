@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from fluxframe import vocab
 from fluxframe.functions.arrays import cells_of_strip, clean_reflectance, clean_snow, clean_water
 from fluxframe.functions.text import raster_name_parts
+from fluxframe.sources.planned import read_planned
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
@@ -85,9 +86,9 @@ class StripReader(DataSourceReader):
 
 
 def read_strips(spark: SparkSession, paths: Sequence[str], height: int = vocab.TILE_PIXELS) -> DataFrame:
-    spark.dataSource.register(StripSource)
-    return (spark.read.format("raster_strips").option("path", ",".join(paths))
-            .option("height", str(height)).load())
+    """Strips of all files; their sizes are read by the tasks."""
+    options = {"height": str(height)}
+    return read_planned(spark, paths, StripSource, options, StripSource({}).schema())
 
 
 def require_raster(strips: DataFrame, bands: Sequence[int], width: int, height: int) -> DataFrame:
