@@ -1,4 +1,4 @@
-"""Stored layouts: co-located buckets, footers, numbered files, counted image runs, decimal axes."""
+"""Stored layouts: co-located buckets, footers, numbered files, counted image runs, migration, arriving files, decimal axes."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from fluxframe.queries.registry import events, query, rounded
 from fluxframe.session import scratch_root, SETTLED
 from fluxframe.sources import colocated, footers, rankfiles, shards
 from fluxframe.sources.tables import table
+from fluxframe.streaming.meters import running_meters
 
 
 def _scratch(spark) -> str:
@@ -88,3 +89,51 @@ def cube_decimal_axes(spark, folder):
     axes = merge.cube_axes(rows)
     back = merge.long_from_cube(merge.dense_cube(rows, ["size"], axes), ["size"], axes["lon"])
     return back.select("timestamp", F.col("lat"), F.col("lon"), F.col("size").cast("double").alias("size"))
+
+
+@query("""
+select p_partkey as coord_id, cast(20240101 + p_size % 5 as int) as modis_date, cast(cast(p_retailprice as float) as double) as value from part""")
+def migrated_images(spark, folder):
+    """Date folders of three layouts, brought to one: as the store writes them, with text numbers, with doubles and a note."""
+    path = _scratch(spark)
+    image_store.create_store(spark, path)
+    part = table(spark, folder, "part").select(
+        F.col("p_partkey").cast("long").alias("coord_id"), (F.col("p_size") % 5 + 20240101).cast("int").alias("modis_date"),
+        F.array(F.col("p_retailprice").cast("float")).alias("data"), "p_name")
+    group = F.col("modis_date") % 5
+    image_store.store_images(spark, path, part.where(group < 3).drop("p_name"), overwrite=False)
+    part.where(group == 3).select(F.col("coord_id").cast("string").alias("cell"), "modis_date", "data").write.mode(
+        "append").partitionBy("modis_date").parquet(path)
+    part.where(group == 4).select("coord_id", "modis_date", F.col("data").cast("array<double>").alias("data"), "p_name").write.mode(
+        "append").partitionBy("modis_date").parquet(path)
+    image_store.migrate_store(spark, path, {"coord_id": F.col("cell").cast("long")})
+    return image_store.existing_images(spark, path).select("coord_id", "modis_date", F.col("data")[0].cast("double").alias("value"))
+
+
+#: Rows of one batch of the stream below, which bounds what a series can have in a task.
+BATCH_ROWS = 500_000
+
+
+@query("""
+with rolled as (
+  select event_id, event_type, value, list_sort(list(value) over w) as l, avg(value) over w as a, stddev_samp(value) over w as s,
+    max(value) over w as m, sum(value) over (partition by event_type order by event_id rows unbounded preceding) as g
+  from events window w as (partition by event_type order by event_id rows between 19 preceding and current row))
+select event_id, event_type, round(value, 6) as value, round(l[(len(l) + 1) // 2], 6) as median, round(a, 6) as avg,
+  round(s, 5) as std, round(m, 6) as max, round(g, 2) as global_sum from rolled""")
+def arriving_meter(spark, folder):
+    """The meters of ``rolling_meter``, fed with one file folder after another; each time a new query goes on from the state."""
+    incoming, out, progress = _scratch(spark), _scratch(spark), _scratch(spark)
+    rows = events(spark, folder).select("event_id", "event_type", "value")
+    low, high, n = footers.with_footers(spark, f"{folder}/events.parquet").agg(F.min("event_id"), F.max("event_id"), F.count("*")).first()
+    steps = max(3, -(-n // BATCH_ROWS))
+    width = ((high or 0) - (low or 0)) // steps + 1
+    for k in range(steps):
+        start = (low or 0) + k * width
+        rows.where((F.col("event_id") >= start) & (F.col("event_id") < start + width)).write.mode("append").parquet(incoming)
+        stream = spark.readStream.schema(rows.schema).parquet(incoming)
+        (running_meters(stream, "event_type", "event_id", "value").writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination())
+    # a mean has no last digit to round at, but the sum has two
+    found = spark.read.parquet(out).withColumn("global_sum", F.round(F.col("global_avg") * F.col("steps"), 2)).drop("global_avg", "steps")
+    return rounded(rounded(found, 6, "value", "median", "avg", "max"), 5, "std")
