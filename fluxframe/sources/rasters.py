@@ -14,8 +14,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from fluxframe import vocab
 from fluxframe.functions.arrays import cells_of_strip, clean_reflectance, clean_snow, clean_water
 from fluxframe.functions.text import raster_name_parts
+from fluxframe.operators.dims import unknown_codes
+from fluxframe.session import settle
 from fluxframe.sources.planned import read_planned
 
+#: Degrees of longitude and latitude, as coordinates of facts are.
+COVER_CRS = "EPSG:4326"
+
 
 def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """Paths only: the content column is pruned, so no file is opened."""
@@ -50,7 +55,7 @@ class StripSource(DataSource):
 
     def schema(self) -> str:
         return ("path string, strip int, row int, height int, width int, west double, north double, "
-                "step double, bands array<array<double>>")
+                "step double, bands array<array<double>>, crs string")
 
     def reader(self, schema):
         return StripReader(self.options)
@@ -82,7 +87,8 @@ class StripReader(DataSourceReader):
             pixels = raster.read(window=Window(0, part.row, raster.width, part.height))
             yield (part.path, part.row // self.height, part.row, part.height, raster.width,
                    float(place.c), float(place.f), float(place.a),
-                   pixels.reshape(len(pixels), -1).astype(float).tolist())
+                   pixels.reshape(len(pixels), -1).astype(float).tolist(),
+                   None if raster.crs is None else raster.crs.to_string())
 
 
 def read_strips(spark: SparkSession, paths: Sequence[str], height: int = vocab.TILE_PIXELS) -> DataFrame:
@@ -91,11 +97,14 @@ def read_strips(spark: SparkSession, paths: Sequence[str], height: int = vocab.T
     return read_planned(spark, paths, StripSource, options, StripSource({}).schema())
 
 
-def require_raster(strips: DataFrame, bands: Sequence[int], width: int, height: int) -> DataFrame:
-    """Every file must have an allowed number of bands and the expected size."""
-    wrong = (strips.groupBy("path").agg(F.max("width").alias("width"), F.sum("height").alias("height"),
-                                        F.max(F.size("bands")).alias("bands"))
-             .where((F.col("width") != width) | (F.col("height") != height) | ~F.col("bands").isin(*bands)))
+def require_raster(strips: DataFrame, bands: Sequence[int], width: int, height: int, crs: str | None = None) -> DataFrame:
+    """Every file must have an allowed number of bands, the expected size and, if one is given, that reference system."""
+    shape = [F.max("width").alias("width"), F.sum("height").alias("height"), F.max(F.size("bands")).alias("bands")]
+    misfit = (F.col("width") != width) | (F.col("height") != height) | ~F.col("bands").isin(*bands)
+    if crs is not None:
+        shape.append(F.max("crs").alias("crs"))
+        misfit = misfit | ~F.col("crs").eqNullSafe(F.lit(crs))
+    wrong = strips.groupBy("path").agg(*shape).where(misfit)
     found = wrong.limit(1).collect()
     if found:
         raise ValueError(f"unexpected raster: {found[0].asDict()}")
@@ -112,6 +121,24 @@ def strip_pixels(strips: DataFrame, band: int = 1) -> DataFrame:
         F.col("code").cast("int").alias("code"))
 
 
+def land_cover(strips: DataFrame, width: int, height: int) -> DataFrame:
+    """(row, col, code) of a land-cover raster, after its shape, reference system and codes have been checked.
+
+    It must have one band of the expected size in ``COVER_CRS``, and no code
+    without a class. Strips are written once: the checks and the caller read that.
+    """
+    strips = settle(strips)
+    pixels = strip_pixels(require_raster(strips, [1], width, height, COVER_CRS))
+    unknown = unknown_codes(pixels).limit(5).collect()
+    if unknown:
+        raise ValueError(f"codes without a class: {sorted(r['code'] for r in unknown)}")
+    return pixels
+
+
+def read_land_cover(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
+    return land_cover(read_strips(spark, [path]), width, height)
+
+
 def strips_to_cells(reflectance: DataFrame, snow_water: DataFrame, columns: int = vocab.GRID_COLS) -> DataFrame:
     """Paired strips (key modis_date, strip) -> one cleaned 9*8*8 tensor per cell."""
     joined = (reflectance.select("modis_date", "strip", F.col("bands").alias("a4"))

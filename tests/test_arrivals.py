@@ -79,6 +79,7 @@ def test_strips_are_planned_by_tasks(spark, tmp_path, monkeypatch):
                     self.pixels = np.load(path)
                     self.height, self.width = self.pixels.shape
                     self.transform = types.SimpleNamespace(a=0.5, e=-0.5, c=10.0, f=20.0)
+                    self.crs = types.SimpleNamespace(to_string=lambda: "EPSG:4326")
 
                 def __enter__(self):
                     return self
@@ -101,5 +102,7 @@ def test_strips_are_planned_by_tasks(spark, tmp_path, monkeypatch):
         ("0.npy", 0, 0, 2, 3, 0.0), ("0.npy", 1, 2, 2, 3, 6.0), ("0.npy", 2, 4, 1, 3, 12.0), ("1.npy", 0, 0, 2, 2, 0.0)]
     assert read_planned(spark, paths, Stand, {"height": "2"}).count() == 4  # the layout comes from a task
     assert read_planned(spark, [], Stand, {}, Stand({}).schema()).count() == 0
+    cover = rasters.land_cover(read_planned(spark, paths[1:2], Stand, {"height": "1"}), 2, 2)
+    assert rows(cover.select("row", "col", "code")) == [(0, 0, 0), (0, 1, 1), (1, 0, 2), (1, 1, 3)]
     with pytest.raises(ValueError, match="no schema"):
         read_planned(spark, [], Stand, {})

@@ -130,3 +130,17 @@ def test_raster_shape(spark):
     assert rasters.require_raster(strips, [1], 16, 16) is strips
     with pytest.raises(ValueError, match="unexpected raster"):
         rasters.require_raster(strips, [7], 16, 16)
+
+
+@pytest.mark.parametrize(("crs", "codes", "message"), [
+    ("EPSG:3857", [1.0, 2.0], "unexpected raster"), (None, [1.0, 2.0], "unexpected raster"),
+    ("EPSG:4326", [1.0, 99.0], "without a class"), ("EPSG:4326", [1.0, 2.0], None)])
+def test_land_cover_checks(spark, crs, codes, message):
+    strips = spark.createDataFrame(
+        [("p", 0, r, 1, 2, -180.0, 90.0, 0.5, [codes], crs) for r in (0, 1)], rasters.StripSource({}).schema())
+    if message:
+        with pytest.raises(ValueError, match=message):
+            rasters.land_cover(strips, 2, 2)
+    else:
+        assert rows(rasters.land_cover(strips, 2, 2).select("row", "col", "code")) == [
+            (0, 0, 1), (0, 1, 2), (1, 0, 1), (1, 1, 2)]

@@ -132,6 +132,7 @@ def test_strip_reader(monkeypatch):
     class Raster:
         height, width = 20, 4
         transform = types.SimpleNamespace(a=0.25, e=-0.25, c=-180.0, f=90.0)
+        crs = None
         pixels = np.arange(160).reshape(2, 20, 4)
 
         def __enter__(self):
