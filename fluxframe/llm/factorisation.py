@@ -182,8 +182,10 @@ def _train(machine: Machine, at, x, y, weight, epochs: int, rng, batch: int = 12
 def score(docs: DataFrame, machine: Machine, n_chars: str = "n_chars") -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
-    A NULL text is scored as an empty one, a missing size as 0. Equal rows score
-    alike; an empty table gives no rows.
+    A NULL text is scored as an empty one, a missing size as 0; texts are taken
+    whole. Equal rows score alike and come back as often, a score of exactly 0.5
+    predicts 1, an empty table gives no rows. Columns other than doc_id, text and
+    ``n_chars`` are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # SIZE * (RANK + 1) numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"),
