@@ -30,17 +30,25 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that fail the base rules or lie outside their compression band."""
+    """Drop documents that fail the base rules or lie outside their compression band.
+
+    NULL and empty texts have no words and go; a row is judged by its text alone,
+    so that equal texts stay or go together.
+    """
     return compression.judge(docs, carry=True).where("kept").select("row.*")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies."""
+    """Keep the document with the smallest id of each group of near copies.
+
+    Repeated rows are copies: one stays. Texts without a word are linked with
+    nothing, and rows without a doc_id stay.
+    """
     return jaccard.one_of_each(docs, COPY_PERCENT, COPY_WORDS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 1024 tokens."""
+    """Pieces of documents in sequences of at most 1024 tokens; a NULL or empty text is the closing token alone."""
     return packing.pack(docs, *byte_bpe())
 
 
@@ -53,7 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written before the next one reads it."""
+    """All stages in order, each written before the next one reads it.
+
+    Texts are taken whole, whatever their length. All stages but the last keep
+    the columns of documents as they are, whatever their names; an empty table
+    stays empty.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))
