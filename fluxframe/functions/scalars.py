@@ -52,9 +52,8 @@ def time_of_day(ts: Column) -> Column:
 
 def timestamp_to_int(ts: Column) -> Column:
     """YYYYMMDDHHMMSS, built from parts so that it stays in generated code."""
-    days = F.year(ts) * 10000 + F.month(ts) * 100 + F.dayofmonth(ts)
     clock = F.hour(ts) * 10000 + F.minute(ts) * 100 + F.second(ts)
-    return days.cast("long") * 1_000_000 + clock
+    return date_number(ts).cast("long") * 1_000_000 + clock
 
 
 def int_to_date(ts_int: Column) -> Column:
@@ -62,6 +61,11 @@ def int_to_date(ts_int: Column) -> Column:
     return F.floor(ts_int / 1_000_000).cast("int")
 
 
+def date_number(ts: Column) -> Column:
+    """YYYYMMDD of a timestamp."""
+    return F.year(ts) * 10000 + F.month(ts) * 100 + F.dayofmonth(ts)
+
+
 def asset_date(name: Column) -> Column:
     """Date of an asset called ``.../YYYY_MM_DD``; malformed names give NULL."""
     leaf = F.element_at(F.split(name, "/"), -1)

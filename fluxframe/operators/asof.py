@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from fluxframe.functions.scalars import int_to_date
+from fluxframe.functions.scalars import date_number, int_to_date
 from fluxframe.operators.ordering import Hot, Limit, find_hot, running_last, spread
 
 
@@ -38,11 +38,13 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
 def with_image_date(rows: DataFrame, images: DataFrame, limit: Limit = None) -> DataFrame:
     """Attach ``image_date``, the date of the location's latest image, or NULL.
 
-    Only dates take part in the sort; what follows on the same location needs no
-    new shuffle.
+    ``timestamp`` is a YYYYMMDDHHMMSS number, or a timestamp where seconds are too
+    coarse to order the rows. Only dates take part in the sort; what follows on the
+    same location needs no new shuffle.
     """
     dates = images.select("coord_id", "modis_date")
-    dated = rows.withColumn("__date", int_to_date(F.col("timestamp")))
+    exact = isinstance(rows.schema["timestamp"].dataType, (T.TimestampType, T.TimestampNTZType))
+    dated = rows.withColumn("__date", (date_number if exact else int_to_date)(F.col("timestamp")))
     return asof_backward(dated, dates, ["coord_id"], "__date", "modis_date",
                          {"image_date": "modis_date"}, limit=limit).drop("__date")
 

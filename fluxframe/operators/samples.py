@@ -233,6 +233,8 @@ def grid_samples(facts: DataFrame, dim: DataFrame, length: int, predictors: Sequ
                  exclude: Sequence[str] = (), limit: Limit = None, single_image: bool = True) -> DataFrame:
     """Complete grid samples: window, static attributes and latest image.
 
+    ``timestamp`` is a YYYYMMDDHHMMSS number or a timestamp, and the bounds are of
+    its type; numbers know no fractions of a second, so those need the latter.
     The facts are shuffled by location once: images are found as dates in that
     order, windows are built, rows that are no samples go, and only then come
     attributes and tensors. The tensor join keeps the location's distribution.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fluxframe.functions.scalars import int_to_date, timestamp_to_int
+from fluxframe.functions.scalars import date_number, int_to_date, timestamp_to_int
 from fluxframe.operators import asof, layout, meters, ordering, samples, spatial
 from fluxframe.queries.registry import ON_THE_MAP, customers_on_the_map, events, moment, query, rounded
 from fluxframe.sources import footers
@@ -203,14 +203,14 @@ where f.n >= {L} and f.ts >= timestamp '2024-01-05 00:00:00'""")
 def grid_samples_full(spark, folder):
     facts = events(spark, folder).select(
         F.col("event_id").alias("id"), F.col("user_id").alias("coord_id"), "event_type",
-        timestamp_to_int(F.col("ts")).alias("timestamp"), "value")
+        F.col("ts").alias("timestamp"), "value")
     dim = customers_on_the_map(spark, folder).select(
         "coord_id", "lat", "lon", F.lit(0.0).alias("elev"), F.col("c_mktsegment").alias("igbp"))
     images = facts.where("event_type = 'purchase'").select(
-        "coord_id", int_to_date(F.col("timestamp")).alias("modis_date")).distinct()
+        "coord_id", date_number(F.col("timestamp")).alias("modis_date")).distinct()
     images = images.withColumn("data", F.array(F.lit(1.0).cast("float")))
     built = samples.grid_samples(facts.drop("event_type"), dim, L, ["value"], images,
-                                 20240105000000, 20240126235959, ["building"])
+                                 moment("2024-01-05 00:00:00"), moment("2024-01-26 23:59:59"), ["building"])
     total = F.aggregate("frame.value", F.lit(0.0), lambda a, v: a + v)
     return built.select("id", "coord_id", F.col("frame")[0]["id"].alias("first_id"),
                         F.round(total, 4).alias("sum_value"), "image_date",
@@ -232,11 +232,11 @@ from framed where n >= {L} and user_id in (select c_custkey from customer)""")
 def grid_samples_images(spark, folder):
     facts = events(spark, folder).select(
         F.col("event_id").alias("id"), F.col("user_id").alias("coord_id"), "event_type",
-        timestamp_to_int(F.col("ts")).alias("timestamp"), "value")
+        F.col("ts").alias("timestamp"), "value")
     dim = customers_on_the_map(spark, folder).select(
         "coord_id", "lat", "lon", F.lit(0.0).alias("elev"), F.col("c_mktsegment").alias("igbp"))
     images = facts.where("event_type = 'purchase'").select(
-        "coord_id", int_to_date(F.col("timestamp")).alias("modis_date")).distinct()
+        "coord_id", date_number(F.col("timestamp")).alias("modis_date")).distinct()
     images = images.withColumn("data", F.array(F.col("modis_date").cast("double")))
     built = samples.grid_samples(facts.drop("event_type"), dim, L, ["value"], images, single_image=False)
     total = F.aggregate(F.flatten("images"), F.lit(0.0), lambda a, v: a + v)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fluxframe import vocab
 from fluxframe.functions import geo
-from fluxframe.functions.scalars import int_to_date, timestamp_to_int
+from fluxframe.functions.scalars import date_number, timestamp_to_int
 from fluxframe.operators import mapping, nearest, network, samples, spatial
 from fluxframe.queries.registry import ON_THE_MAP, customers_on_the_map, events, query, rounded
 from fluxframe.sources.tables import table
@@ -164,12 +164,12 @@ def score_network(spark, folder):
     forward pass has no SQL form; tests compare it with a plain computation."""
     facts = events(spark, folder).select(
         F.col("event_id").alias("id"), F.col("user_id").alias("coord_id"),
-        timestamp_to_int(F.col("ts")).alias("timestamp"), (F.col("value") / 500 - 0.5).alias("TA"),
+        F.col("ts").alias("timestamp"), (F.col("value") / 500 - 0.5).alias("TA"),
         F.when(F.col("event_type") != "error", F.dayofyear("ts") / 183.0 - 1).alias("DOY"))
     dim = customers_on_the_map(spark, folder).select(
         "coord_id", "lat", "lon", F.lit(100.0).alias("elev"), F.lit("GRA").alias("igbp"))
     days = events(spark, folder).where("event_type = 'purchase'").select(
-        F.col("user_id").alias("coord_id"), int_to_date(timestamp_to_int(F.col("ts"))).alias("modis_date"),
+        F.col("user_id").alias("coord_id"), date_number(F.col("ts")).alias("modis_date"),
         (F.col("event_id") % 500).alias("vec_id")).groupBy("coord_id", "modis_date").agg(F.min("vec_id").alias("vec_id"))
     tiles = table(spark, folder, "embeddings").select(
         "vec_id", F.flatten(F.array_repeat("embedding", vocab.CHANNELS)).alias("data"))
@@ -177,6 +177,7 @@ def score_network(spark, folder):
     cfg = network.NetConfig(predictors=("DOY", "TA"), targets=("NEE", "GPP_DT"), length=16, width=32,
                             frequencies=6, embedding=8, heads=4, layers="wcs")
     built = samples.grid_samples(facts, dim, cfg.length, cfg.predictors, images)
+    built = built.withColumn("timestamp", timestamp_to_int(F.col("timestamp")))
     return network.score(built, network.init_weights(cfg), cfg, ["id", "coord_id", "timestamp"])
 
 

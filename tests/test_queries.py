@@ -64,3 +64,21 @@ def test_catalogue():
     assert set(driver.oracle_sql()) <= set(driver.queries())
     assert set(QUERIES) - set(ORACLE) == {"score_network"}
     assert {**QUERIES}.items() <= driver.queries().items()
+
+
+@pytest.mark.parametrize("name", ["grid_samples_full", "grid_samples_images"])
+@pytest.mark.parametrize("limit", [None, "67"])
+def test_fractions_of_a_second(spark, sf, tmp_path, name, limit):
+    """Rows of one second in an order that their ids do not have, and rows in the last second of the bound."""
+    connection = duckdb.connect()
+    for t in ("events", "customer"):
+        value = "select *" if t == "customer" else """select event_id, event_type, value, user_id % 7 as user_id, case when event_id % 9 = 0
+          then timestamp '2024-01-26 23:59:59' else date_trunc('day', ts) end + to_microseconds(900000 - event_id * 7919 % 800000) as ts"""
+        connection.execute(f"copy ({value} from '{sf}/{t}.parquet') to '{tmp_path}/{t}.parquet'")
+        connection.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    if limit:
+        spark.conf.set(HOT_KEY_ROWS, limit)
+    try:
+        assert compare(spark, str(tmp_path), connection, name)
+    finally:
+        spark.conf.unset(HOT_KEY_ROWS)
