@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from fluxframe import schema
 from fluxframe.functions import text
@@ -20,6 +20,8 @@ COORDINATES = ("timestamp", "lat", "lon")
 BASE = ("lat", "lon", "igbp", "timestamp")
 #: Where a row stood in the input, as noted by the reader of shards.
 POSITION = ("__shard", "__block", "__line")
+#: Longitudes in one tile of a cube.
+TILE = 128
 
 
 def numbered(shards: Sequence[DataFrame]) -> list[DataFrame]:
@@ -122,6 +124,28 @@ def cube_axes(df: DataFrame) -> dict[str, DataFrame]:
     return numbered_axes(df, {"timestamp": "time_index", "lat": "lat_index", "lon": "lon_index"}, descending=["lat"])
 
 
+def _cells(variables: Sequence[str], labels: Sequence[str], at: Column) -> Column:
+    """The cells of a group in their order; numbers in single precision."""
+    entry = F.struct(at.cast("int").alias("at"), *[F.col(v).cast("float").alias(v) for v in variables],
+                     *[F.col(v).cast("string").alias(v) for v in labels])
+    return F.array_sort(F.collect_list(entry)).alias("__cells")
+
+
+def _filled(v: str, label: bool, size: Column) -> Column:
+    """One variable of the cells of a group as an array of ``size``, with holes where no cell is."""
+    hole = F.lit(None).cast("string") if label else F.lit(float("nan")).cast("float")
+
+    def holes(count):
+        return F.array_repeat(hole, count.cast("int"))
+
+    # before each cell come as many holes as positions were skipped
+    def step(cell, k):
+        before = F.coalesce(F.get("__cells", k - 1)["at"], F.lit(-1))
+        return F.concat(holes(cell["at"] - before - 1), F.array(F.coalesce(cell[v], hole)))
+    tail = size - 1 - F.element_at("__cells", -1)["at"]
+    return F.coalesce(F.concat(F.flatten(F.transform("__cells", step)), holes(tail)), holes(size)).alias(v)
+
+
 def dense_cube(df: DataFrame, variables: Sequence[str], axes: dict[str, DataFrame] | None = None,
                labels: Sequence[str] = ()) -> DataFrame:
     """Rows of a dense cube: every (time, latitude) and one filled array per variable.
@@ -129,42 +153,50 @@ def dense_cube(df: DataFrame, variables: Sequence[str], axes: dict[str, DataFram
     Numbers become single precision and NaN where there is no row; ``labels``
     are text variables, NULL there. Works per grid line, so the largest group is
     one line of the grid, and lines without any row are made as well. Duplicates
-    must have been resolved.
+    must have been resolved. The cube has as many cells as its axes multiply to;
+    where they grow with the rows, ``cube_tiles`` holds the same cube in less.
     """
     axes = axes or cube_axes(df)
     lons, lats = axes["lon"].count(), axes["lat"].count()
     placed = df
     for column, axis in axes.items():
         placed = placed.join(axis, column)
-    entry = F.struct(F.col("lon_index").cast("int").alias("at"),
-                     *[F.col(v).cast("float").alias(v) for v in variables],
-                     *[F.col(v).cast("string").alias(v) for v in labels])
-    occupied = placed.groupBy("time_index", "lat_index").agg(F.array_sort(F.collect_list(entry)).alias("__cells"))
+    occupied = placed.groupBy("time_index", "lat_index").agg(_cells(variables, labels, F.col("lon_index")))
     grid = axes["timestamp"].withColumn("lat_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(lats - 1, 0)).cast("long"))))
     lines = grid.join(axes["lat"], "lat_index").join(occupied, ["time_index", "lat_index"], "left")
+    return lines.select("time_index", "timestamp", "lat_index", "lat",
+                        *[_filled(v, v in labels, F.lit(lons)) for v in (*variables, *labels)])
 
-    def filled(v):
-        hole = F.lit(None).cast("string") if v in labels else F.lit(float("nan")).cast("float")
-
-        def holes(count):
-            return F.array_repeat(hole, count.cast("int"))
 
-        # before each cell come as many holes as positions were skipped
-        def step(cell, k):
-            before = F.coalesce(F.get("__cells", k - 1)["at"], F.lit(-1))
-            return F.concat(holes(cell["at"] - before - 1), F.array(F.coalesce(cell[v], hole)))
-        tail = F.lit(lons - 1) - F.element_at("__cells", -1)["at"]
-        return F.coalesce(F.concat(F.flatten(F.transform("__cells", step)), holes(tail)), holes(F.lit(lons)))
+def cube_tiles(df: DataFrame, variables: Sequence[str], axes: dict[str, DataFrame] | None = None,
+               labels: Sequence[str] = (), width: int = TILE) -> DataFrame:
+    """The dense cube in tiles, ``width`` neighbouring longitudes of a (time, latitude) each, as chunked files hold it.
 
-    return lines.select("time_index", "timestamp", "lat_index", "lat",
-                        *[filled(v).alias(v) for v in (*variables, *labels)])
+    ``lon_start`` is the position of a tile's first cell; the last tile of a line
+    is cut at its end. A tile is filled like a line of ``dense_cube``. Tiles
+    without any row are not stored and stand for holes, so there are at most
+    ``width`` cells for each row however far the axes reach, and the largest
+    group is one tile.
+    """
+    axes = axes or cube_axes(df)
+    lons = axes["lon"].count()
+    placed = df
+    for column, axis in axes.items():
+        placed = placed.join(axis, column)
+    at = F.col("lon_index") % width
+    tiles = placed.groupBy("time_index", "timestamp", "lat_index", "lat", (F.col("lon_index") - at).alias("lon_start")).agg(
+        _cells(variables, labels, at))
+    size = F.least(F.lit(width), F.lit(lons) - F.col("lon_start"))
+    return tiles.select("time_index", "timestamp", "lat_index", "lat", "lon_start",
+                        *[_filled(v, v in labels, size) for v in (*variables, *labels)])
 
 
 def long_from_cube(cube: DataFrame, variables: Sequence[str], lons: DataFrame) -> DataFrame:
-    """Back to one row per cell; holes are dropped. ``lons`` maps lon_index to lon."""
+    """Lines or tiles back to one row per cell; holes are dropped. ``lons`` maps lon_index to lon."""
     zipped = F.arrays_zip(*variables)
-    cells = cube.select("timestamp", "lat", F.posexplode(zipped).alias("lon_index", "v"))
-    cells = cells.select("timestamp", "lat", "lon_index", "v.*")
+    first = F.col("lon_start") if "lon_start" in cube.columns else F.lit(0)
+    cells = cube.select("timestamp", "lat", first.alias("__first"), F.posexplode(zipped).alias("__at", "v"))
+    cells = cells.select("timestamp", "lat", (F.col("__first") + F.col("__at")).alias("lon_index"), "v.*")
     some = F.lit(False)
     for v in variables:
         some = some | ~F.isnan(v)

@@ -9,6 +9,7 @@ from fluxframe import vocab
 from fluxframe.functions import geo
 from fluxframe.operators import dims, layout, merge, meters, metrics, spatial
 from fluxframe.plans import evaluation
+from fluxframe.queries import QUERIES
 from fluxframe.sources.writers import latex_table
 from tests.conftest import rows
 
@@ -201,6 +202,34 @@ def test_cube(spark):
     assert rows(back) == rows(long.select("timestamp", "lat", "lon", "a"))
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 128])
+def test_cube_tiles(spark, width):
+    """Tiles are the lines of the dense cube, cut; tiles of holes alone are not stored."""
+    long = spark.createDataFrame(
+        [(t, float(t * 7 % 5), float((t * t * 3 + k * k) % 23), float(t + k) if k % 3 else None, float(k), f"c{k}")
+         for t in range(6) for k in range(4)], "timestamp long, lat double, lon double, a double, b double, igbp string")
+    long = long.dropDuplicates(["timestamp", "lat", "lon"]).cache()
+    axes = merge.cube_axes(long)
+    tiles = {(r.time_index, r.timestamp, r.lat_index, r.lat, r.lon_start): (repr(r.a), repr(r.b), r.igbp)
+             for r in merge.cube_tiles(long, ["a", "b"], axes, ["igbp"], width).collect()}
+    cut = {(r.time_index, r.timestamp, r.lat_index, r.lat, k): (repr(r.a[k:k + width]), repr(r.b[k:k + width]), r.igbp[k:k + width])
+           for r in merge.dense_cube(long, ["a", "b"], axes, ["igbp"]).collect() for k in range(0, len(r.a), width)
+           if any(x is not None for x in r.igbp[k:k + width])}
+    assert tiles == cut
+    back = merge.long_from_cube(merge.cube_tiles(long, ["a", "b"], axes, width=width), ["a", "b"], axes["lon"])
+    back = back.select("timestamp", "lat", "lon", F.when(~F.isnan("a"), F.col("a")).alias("a"), "b")
+    assert rows(back) == rows(long.select("timestamp", "lat", "lon", "a", "b"))
+
+
+def test_decimal_axes_take_a_bounded_number_of_cells(spark, sf, monkeypatch):
+    """Every part is a longitude; lines of all longitudes would take the product of the axes."""
+    cubes, back = [], merge.long_from_cube
+    monkeypatch.setattr(merge, "long_from_cube", lambda cube, *rest: cubes.append(cube) or back(cube, *rest))
+    found = QUERIES["cube_decimal_axes"](spark, sf).count()
+    cells = cubes[0].agg(F.sum(F.size("size"))).first()[0]
+    assert found <= cells <= 128 * found
+
+
 def test_rebuild_ids(spark):
     df = spark.createDataFrame([(7, 2, 5), (9, 1, 6), (3, 1, 6), (4, 2, 4)], "id long, coord_id long, timestamp long")
     assert rows(layout.rebuild_ids(df)) == [(1, 1, 6), (2, 1, 6), (3, 2, 4), (4, 2, 5)]
