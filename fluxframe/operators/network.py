@@ -11,13 +11,15 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from fluxframe import vocab
 
 MAX_WEIGHT_BYTES = 256 << 20
 ROWS_AT_ONCE = 128  # keeps the intermediate arrays inside the processor cache
+PIECE = 1 << 15  # numbers that several element-wise steps pass over before the next ones
 
 
 @dataclass(frozen=True)
@@ -91,43 +93,94 @@ def parameter_count(weights: dict[str, np.ndarray]) -> int:
 
 
 def _gelu(x):
-    # error function by the five-term rational fit, good to single precision
-    z = np.abs(x) * np.float32(np.sqrt(0.5))
-    t = 1 / (1 + np.float32(0.3275911) * z)
-    tail = np.full_like(t, 1.061405429)
-    for c in (-1.453152027, 1.421413741, -0.284496736, 0.254829592, 0.0):
-        tail *= t
-        tail += np.float32(c)
-    tail *= np.exp(-z * z)
-    return np.float32(0.5) * x * (1 + np.sign(x) * (1 - tail))
+    """In place; error function by the five-term rational fit, good to single precision."""
+    flat = x.reshape(-1)
+    half = np.float32(np.sqrt(0.5))
+    for first in range(0, flat.size, PIECE):
+        part = flat[first:first + PIECE]
+        z = np.abs(part)
+        z *= half
+        t = z * np.float32(0.3275911)
+        t += 1
+        np.reciprocal(t, out=t)
+        tail = t * np.float32(1.061405429)
+        for c in (-1.453152027, 1.421413741, -0.284496736, 0.254829592):
+            tail += np.float32(c)
+            tail *= t
+        np.multiply(z, z, out=t)
+        np.negative(t, out=t)
+        tail *= np.exp(t, out=t)
+        # x/2 (1 + erf) is x or 0 less half of |x| times what the error function lacks of one
+        z *= half
+        tail *= z
+        np.maximum(part, 0, out=part)
+        part -= tail
+    return x
 
 
 def _apply(w, name, x):
     # one large product instead of a stack of small ones
-    flat = x.reshape(-1, x.shape[-1]) @ w[name] + w[name + "/b"]
+    flat = x.reshape(-1, x.shape[-1]) @ w[name]
+    flat += w[name + "/b"]
     return flat.reshape(*x.shape[:-1], flat.shape[-1])
 
 
 def _norm(w, name, x):
-    centred = x - x.mean(-1, keepdims=True)
-    return centred / np.sqrt((centred ** 2).mean(-1, keepdims=True) + np.float32(1e-12)) * w[name] + w[name + "/b"]
+    width = x.shape[-1]
+    centred = x - (x.reshape(-1, width) @ np.full(width, 1 / width, np.float32)).reshape(*x.shape[:-1], 1)
+    centred /= np.sqrt(np.einsum("...i,...i->...", centred, centred)[..., None] / np.float32(width) + np.float32(1e-12))
+    centred *= w[name]
+    centred += w[name + "/b"]
+    return centred
 
 
-def _attend(w, slot, heads, x, source, hidden):
-    """Queries (N,Q,W) over source (N,S,D); True in ``hidden`` (N,1|Q,S) is ignored."""
-    def split(name, y):
-        return _apply(w, f"{slot}/{name}", y).reshape(*y.shape[:2], heads, -1).transpose(0, 2, 1, 3)
-
-    q, k, v = split("q", _norm(w, f"{slot}/n1", x)), split("k", source), split("v", source)
-    scores = q @ k.transpose(0, 1, 3, 2) / np.float32(np.sqrt(q.shape[-1]))
+def _powers(scores, hidden, axis):
+    """Exponentials in place, 0 where hidden; rows whose powers could leave single precision are shifted by their largest."""
+    small = max(scores.max(), -scores.min()) < 40
     if hidden is not None:
-        scores = np.where(hidden[:, None], np.float32(-np.inf), scores)
+        np.copyto(scores, np.float32(-np.inf), where=hidden)
+    if not small:
+        scores -= scores.max(axis, keepdims=True)
+    return np.exp(scores, out=scores)
+
+
+def _mix(q, k, v, heads, hidden):
+    """What queries (N,Q,W) take from tokens (N,S,W)."""
+    size = q.shape[-1] // heads
+    if q.shape[1] == 1:
+        # with one query each, products of whole rows are summed up by head
+        of_head = np.repeat(np.eye(heads, dtype=np.float32), size, 0)
+        scores = ((q * k).reshape(-1, q.shape[-1]) @ of_head).reshape(*k.shape[:2], heads) / np.float32(np.sqrt(size))
+        with np.errstate(invalid="ignore"):
+            weight = _powers(scores, None if hidden is None else hidden[:, 0, :, None], 1)
+            weight /= weight.sum(1, keepdims=True)
+            return ((weight.reshape(-1, heads) @ of_head.T).reshape(k.shape) * v).sum(1, keepdims=True)
+
+    def split(y):
+        return y.reshape(*y.shape[:2], heads, size).transpose(0, 2, 1, 3)
+
+    scores = split(q) @ split(k).transpose(0, 1, 3, 2)
+    scores /= np.float32(np.sqrt(size))
     with np.errstate(invalid="ignore"):
-        weight = np.exp(scores - scores.max(-1, keepdims=True))
-        mixed = (weight / weight.sum(-1, keepdims=True)) @ v
-    x = x + _apply(w, f"{slot}/o", mixed.transpose(0, 2, 1, 3).reshape(x.shape))
+        weight = _powers(scores, None if hidden is None else hidden[:, None], -1)
+        total = weight.reshape(-1, weight.shape[-1]) @ np.ones(weight.shape[-1], np.float32)
+        mixed = weight @ split(v)
+        mixed /= total.reshape(*weight.shape[:-1], 1)
+    return mixed.transpose(0, 2, 1, 3).reshape(q.shape)
+
+
+def _attend(w, slot, heads, x, source, hidden, at=None):
+    """Queries (N,Q,W) over source (N,S,D); True in ``hidden`` (N,1|Q,S) is ignored.
+
+    With ``at`` the source holds different entries only, and ``at`` tells which are meant.
+    """
+    q, k, v = _apply(w, f"{slot}/q", _norm(w, f"{slot}/n1", x)), _apply(w, f"{slot}/k", source), _apply(w, f"{slot}/v", source)
+    if at is not None:
+        k, v = k[at], v[at]
+    x = x + _apply(w, f"{slot}/o", _mix(q, k, v, heads, hidden))
     inner = _gelu(_apply(w, f"{slot}/up", _norm(w, f"{slot}/n2", x)))
-    return x + _apply(w, f"{slot}/down", inner)
+    x += _apply(w, f"{slot}/down", inner)
+    return x
 
 
 def _number_tokens(values, table, frequencies):
@@ -144,30 +197,43 @@ def forward(w: dict[str, np.ndarray], cfg: NetConfig, series: np.ndarray, static
     """series (B,L,P), static (B,3), class index (B) or -1, images (B,9,64) or NaN."""
     batch = len(series)
     known = [vocab.PREDICTORS.index(p) for p in cfg.predictors]
-    steps, steps_hidden = _number_tokens(series.reshape(batch * cfg.length, -1),
-                                         w["embed/series"][known], cfg.frequencies)
+    # windows overlap, so most values of a batch occur several times; each becomes a token once
+    tokens, at = [], np.empty(series.shape, np.int64)
+    for n, table in enumerate(w["embed/series"][known]):
+        values, found = np.unique(series[..., n], return_inverse=True)
+        at[..., n] = found.reshape(at.shape[:2]) + sum(map(len, tokens))
+        tokens.append(_number_tokens(values, table, cfg.frequencies)[0])
+    steps, steps_hidden = np.concatenate(tokens), np.isnan(series)
+    # rows of one place and image come one after another
+    fresh = np.ones(batch, bool)
+    fresh[1:] = (images[1:] != images[:-1]).any((1, 2)) | (static[1:] != static[:-1]).any(1) | (classes[1:] != classes[:-1])
+    place_at = np.cumsum(fresh) - 1
+    static, classes, images = static[fresh], classes[fresh], images[fresh]
     place, place_hidden = _number_tokens(static, w["embed/static"], cfg.frequencies)
 
     absent = np.isnan(images).any((1, 2))
     pixels = np.where(absent[:, None, None], np.float32(0), images)
     shown = np.stack([_apply(w, f"image/{c}", pixels[:, c]) for c in range(vocab.CHANNELS)], 1)
-    channels = np.concatenate([shown, np.broadcast_to(w["embed/channel"], (batch, *w["embed/channel"].shape))], -1)
+    channels = np.concatenate([shown, np.broadcast_to(w["embed/channel"], (len(images), *w["embed/channel"].shape))], -1)
     channels_hidden = absent[:, None] | ((pixels < 0).mean(-1) > cfg.mask_ratio)
 
     cover = np.where(classes[:, None] >= 0, w["embed/class"][np.maximum(classes, 0)], np.float32(0))[:, None]
     static_tokens = np.concatenate([channels, place, cover], 1)
-    static_hidden = np.concatenate([channels_hidden, place_hidden, classes[:, None] < 0], 1)[:, None]
+    static_hidden = np.concatenate([channels_hidden, place_hidden, classes[:, None] < 0], 1)[place_at, None]
 
-    x = np.broadcast_to(w["latent"], (batch, *w["latent"].shape))
+    # the heads read the last time step alone, and only layers of kind s look at other steps
+    final = cfg.layers.rfind("s")
+    x = np.broadcast_to(w["latent"] if final >= 0 else w["latent"][-1:], (batch, cfg.length if final >= 0 else 1, cfg.width))
     for position, kind in enumerate(cfg.layers):
         slot = cfg.slot(position)
         if kind == "w":
-            per_step = x.reshape(batch * cfg.length, 1, cfg.width)
-            x = _attend(w, slot, cfg.heads, per_step, steps, steps_hidden[:, None]).reshape(x.shape)
+            per_step = x.reshape(-1, 1, cfg.width)
+            own, own_hidden = (y[:, -x.shape[1]:].reshape(-1, y.shape[2]) for y in (at, steps_hidden))
+            x = _attend(w, slot, cfg.heads, per_step, steps, own_hidden[:, None], own).reshape(x.shape)
         elif kind == "c":
-            x = _attend(w, slot, cfg.heads, x, static_tokens, static_hidden)
+            x = _attend(w, slot, cfg.heads, x, static_tokens, static_hidden, place_at)
         else:
-            x = _attend(w, slot, cfg.heads, x, x, None)
+            x = _attend(w, slot, cfg.heads, x[:, -1:] if position == final else x, x, None)
     return np.concatenate([_apply(w, f"head/{t}", x[:, -1]) for t in cfg.targets], 1)
 
 
@@ -178,6 +244,18 @@ def flat_window(frame: str, predictors: Sequence[str]):
         *[F.coalesce(r[p].cast("float"), hole) for p in predictors])))
 
 
+def _rows(lists: pa.Array, size: int) -> np.ndarray:
+    """Lists of ``size`` numbers as the rows of a table; a missing list is NaN throughout."""
+    if not pc.all(pc.equal(pc.list_value_length(lists), size), min_count=0).as_py():
+        raise ValueError(f"a list does not have {size} numbers")
+    values = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    if not lists.null_count:
+        return values
+    table = np.full((len(lists), size), np.nan, values.dtype)
+    table[lists.is_valid().to_numpy(zero_copy_only=False)] = values
+    return table
+
+
 def score(samples: DataFrame, weights: dict[str, np.ndarray], cfg: NetConfig,
           keep: Sequence[str], frame: str = "frame", image: str | None = "data") -> DataFrame:
     """Add ``pred_<target>`` to samples that have frame, lat, lon, elev, igbp.
@@ -197,19 +275,22 @@ def score(samples: DataFrame, weights: dict[str, np.ndarray], cfg: NetConfig,
         (F.col(image) if image else F.lit(None).cast("array<float>")).alias("__image"))
     kept = prepared.select(*keep).schema
     result = T.StructType(kept.fields + [T.StructField(f"pred_{t}", T.DoubleType()) for t in cfg.targets])
-    blank = np.full(vocab.CHANNELS * vocab.PIXELS, np.nan, np.float32)
+    names = [*keep, *[f"pred_{t}" for t in cfg.targets]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            for first in range(0, len(batch), ROWS_AT_ONCE):
-                pdf = batch.iloc[first:first + ROWS_AT_ONCE]
-                series = np.stack(pdf["__window"].to_numpy()).reshape(len(pdf), cfg.length, -1)
-                images = np.stack([blank if i is None else i for i in pdf["__image"]])
-                out = forward(w, cfg, series, np.stack(pdf["__static"].to_numpy()), pdf["__class"].to_numpy(),
-                              images.reshape(len(pdf), vocab.CHANNELS, vocab.PIXELS))
-                yield pdf[list(keep)].assign(**{f"pred_{t}": out[:, n] for n, t in enumerate(cfg.targets)})
-
-    scored = prepared.mapInPandas(run, result)
+            series = _rows(batch.column("__window"), cfg.length * len(cfg.predictors))
+            static = _rows(batch.column("__static"), len(vocab.STATIC))
+            images = _rows(batch.column("__image"), vocab.CHANNELS * vocab.PIXELS)
+            known = batch.column("__class").to_numpy()
+            out = np.empty((len(series), len(cfg.targets)))
+            for first in range(0, len(series), ROWS_AT_ONCE):
+                part = slice(first, first + ROWS_AT_ONCE)
+                out[part] = forward(w, cfg, series[part].reshape(-1, cfg.length, len(cfg.predictors)), static[part], known[part],
+                                    images[part].reshape(-1, vocab.CHANNELS, vocab.PIXELS))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(column) for column in out.T]], names)
+
+    scored = prepared.mapInArrow(run, result)
     return scored.withColumns({f"pred_{t}": F.when(~F.isnan(f"pred_{t}"), F.col(f"pred_{t}"))
                                for t in cfg.targets})

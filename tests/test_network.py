@@ -96,6 +96,54 @@ def test_forward(inputs, shared):
         assert alone[0] == pytest.approx(got[n], abs=1e-5)
 
 
+@pytest.mark.parametrize("layers", ["wcs", "scw", "wc", "swsc"])
+def test_no_work_is_done_twice(monkeypatch, layers):
+    """Overlapping windows of one place: each value is a token once, and the last steps alone go on behind the last s."""
+    cfg = network.NetConfig(**{**CFG.__dict__, "layers": layers})
+    w = network.init_weights(cfg, 3)
+    rng = np.random.default_rng(2)
+    events = rng.normal(size=(22, 2)).astype(np.float32)
+    events[4, 1] = np.nan
+    series = np.stack([events[n:n + 3] for n in range(20)])
+    static = np.repeat(rng.normal(size=(2, 3)).astype(np.float32), 10, 0)
+    classes = np.repeat([1, 1, 2, -1], 5)
+    images = np.repeat(rng.normal(0.8, 1, size=(4, 9, 64)).astype(np.float32), [5, 3, 7, 5], 0)
+    images[15:] = np.nan
+    tokens, inner = [], []
+    number, gelu = network._number_tokens, network._gelu
+    monkeypatch.setattr(network, "_number_tokens", lambda values, *rest: tokens.append(values.size) or number(values, *rest))
+    monkeypatch.setattr(network, "_gelu", lambda x: inner.append(x.size // x.shape[-1]) or gelu(x))
+    got = network.forward(w, cfg, series, static, classes, images)
+    assert tokens[:2] == [22, 22] and tokens[2] < static.size
+    full, last = 60, 20
+    assert inner == {"wcs": [full, full, last], "scw": [last] * 3, "wc": [last] * 2, "swsc": [full, full, last, last]}[layers]
+    for n in range(20):
+        image = None if n >= 15 else images[n]
+        cls = vocab.CLASSES[classes[n]] if classes[n] >= 0 else None
+        assert got[n] == pytest.approx(plain(w, cfg, series[n], static[n], cls, image), abs=2e-4)
+
+
+@pytest.mark.parametrize("scale", [1, 30, 400])
+def test_large_scores(scale):
+    """Also scores beyond what single precision can raise to a power."""
+    rng = np.random.default_rng(1)
+    scores = (scale * rng.normal(size=(50, 7))).astype(np.float32)
+    hidden = rng.random((50, 7)) < 0.3
+    hidden[:, 0] = False
+    exact = np.where(hidden, -np.inf, scores.astype(float))
+    exact = np.exp(exact - exact.max(1, keepdims=True))
+    got = network._powers(scores.copy(), hidden, 1)
+    assert (got[hidden] == 0).all()
+    assert got / got.sum(1, keepdims=True) == pytest.approx(exact / exact.sum(1, keepdims=True), abs=1e-5)
+
+
+def test_list_sizes(spark):
+    df = spark.createDataFrame([(1, [(1.0, 1.0)] * 3, 0.1, 0.1, 0.1, "ENF", [0.5] * 575)],
+                               "id long, frame array<struct<TA:double,SW_IN:double>>, lat float, lon float, elev float, igbp string, data array<float>")
+    with pytest.raises(Exception, match="a list does not have 576 numbers"):
+        network.score(df, network.init_weights(CFG), CFG, ["id"]).collect()
+
+
 def test_weights():
     w, same, other = network.init_weights(CFG, 1), network.init_weights(CFG, 1), network.init_weights(CFG, 2)
     assert all((w[k] == same[k]).all() for k in w) and (w["latent"] != other["latent"]).any()
